@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from . import secrets
 from .packing import pack, tokenize_pieces
+from .records import round_trip
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,9 +27,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = round_trip(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in secrets.KINDS[:3]), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op7_binary_records": op7_binary_records,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
