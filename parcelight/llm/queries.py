@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from . import secrets
+from .decontaminate import decontaminate
 from .packing import pack, tokenize_pieces
 from .records import round_trip
 
@@ -20,6 +21,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# DuckDB texts may hold any characters; a window is the list of its words.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS win FROM (
+    SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM (SELECT item, w, least(13, len(w)) AS m FROM i WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT m FROM iw),
+dw AS (SELECT r, p, m, array_to_string(w[p : p + m - 1], ' ') AS win FROM (
+    SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m)),
+h AS (SELECT DISTINCT r, p, dw.m, item FROM dw JOIN iw ON dw.win = iw.win AND dw.m = iw.m),
+places AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT r, p, m FROM h)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenize_pieces(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     # the digest of each piece's ids; the ids themselves need not travel with it
@@ -27,6 +47,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = round_trip(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,10 +68,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op5_decontamination": op5_decontamination,
         "op7_binary_records": op7_binary_records,
         "op10_secret_scans": op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": OP5_SQL,
+    }
