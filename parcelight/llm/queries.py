@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from . import secrets
 from .decontaminate import decontaminate
+from .neardup import near_duplicates
 from .packing import pack, tokenize_pieces
 from .records import round_trip
 
@@ -58,6 +59,10 @@ def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
     base = F.filter("spans", lambda s: s["kind"] != "markov")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op5_decontamination": op5_decontamination,
         "op7_binary_records": op7_binary_records,
+        "op8_order_minhash": op8_order_minhash,
         "op10_secret_scans": op10_secret_scans,
     }
 
