@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from . import secrets
+from . import language, secrets, toxicity
 from .decontaminate import decontaminate
 from .neardup import near_duplicates
 from .packing import pack, tokenize_pieces
@@ -48,6 +48,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train_on_documents(docs)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256")
@@ -63,6 +68,13 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), exclude=language.held_out())
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
     base = F.filter("spans", lambda s: s["kind"] != "markov")
@@ -73,9 +85,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op7_binary_records": op7_binary_records,
         "op8_order_minhash": op8_order_minhash,
+        "op9_toxicity": op9_toxicity,
         "op10_secret_scans": op10_secret_scans,
     }
 
