@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, take
+from .common import annotated, restored, stored, take
 
 # ASCII digits, letters (upper case as lower) and all bytes of other characters form words.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -90,9 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     that one broadcast index covers.
     """
     spark = docs.sparkSession
-    items = take(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n_blocks = 1 + int(total) // block_chars
+    items, n_blocks = _items(benchmark, block_chars)
     texts = take(docs, "doc_id", "text")
     if n_blocks > 1:  # rows need a name of their own to bring the blocks' answers together
         texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
@@ -118,14 +116,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def _one_block(texts: DataFrame, items: DataFrame, width: int, spark) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs``, columns as they were, that :func:`decontaminate` does not call contaminated."""
+    items, n_blocks = _items(benchmark, block_chars)
+    if n_blocks > 1:  # the blocks' hits have to be brought together first
+        bad = decontaminate(docs, benchmark, width, share, block_chars).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    held = _broadcast_index(take(docs, "text"), items, width, docs.sparkSession)
+
+    def clean(text: str | None) -> bool:
+        n, _, starts, ends = overlap(text, held.value[1])
+        hit = sum(ends) - sum(starts)
+        return not (hit > 0 and share * hit >= n)
+
+    return restored(annotated(docs, "text", lambda: lambda texts: [clean(t) for t in texts], "_keep boolean").where("_keep"), docs.columns)
+
+
+def _items(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """Items with a text, and into how many blocks their text goes."""
+    items = take(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
+    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    return items, 1 + int(total) // block_chars
+
+
+def _broadcast_index(texts: DataFrame, items: DataFrame, width: int, spark):
     def vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"word": list({w for t in pdf["text"] for w in words(t)})})
 
     counts = _word_counts(texts, items.select("text").mapInPandas(vocabulary, "word binary").distinct())
     listed = sorted((r["item_id"], r["text"]) for r in items.collect())
-    held = spark.sparkContext.broadcast((np.array([i for i, _ in listed], dtype=object), _index(listed, width, counts)))
+    return spark.sparkContext.broadcast((np.array([i for i, _ in listed], dtype=object), _index(listed, width, counts)))
+
+
+def _one_block(texts: DataFrame, items: DataFrame, width: int, spark) -> DataFrame:
+    held = _broadcast_index(texts, items, width, spark)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, index = held.value

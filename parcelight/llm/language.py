@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import annotated, restored, take
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -140,3 +140,14 @@ def held_out(doc_id: str = "doc_id"):
 def train_on_documents(docs: DataFrame, max_rows: int = 1000) -> LanguageModel:
     rows = take(docs, "doc_id", "text", "lang")
     return train(rows.where(~held_out()), max_rows)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, columns as they were, whose text has a language with a score of ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = Scorer(held.value)
+        return lambda texts: [lang != UNKNOWN and s >= least for lang, s in map(score, texts)]
+
+    return restored(annotated(docs, "text", make, "_keep boolean").where("_keep"), docs.columns)

@@ -63,13 +63,17 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
-def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = tokenize_pieces(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    # the digest of each piece's ids; the ids themselves need not travel with it
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """Placed pieces with a digest of each piece's ids; the ids themselves need not travel with it."""
+    pieces = tokenize_pieces(docs, tokenizer_file("byte_bpe_50k.json"))
     digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(read(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,7 +17,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import position, positional, restored, take
 
 # The contract's patterns, with the letters of keywords in either case.
 KINDS = ("assign", "access", "hex", "markov")
@@ -106,15 +106,20 @@ def scan(docs: DataFrame, table: list[int], threshold: float = 0.4) -> DataFrame
 
     A token that touches a base span gives no span of its own.
     """
-    model = F.lit(table)
     df = take(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    return _scanned(df, table, threshold)
+
+
+def _scanned(df: DataFrame, table: list[int], threshold: float) -> DataFrame:
+    """``df`` with ``spans`` of its column ``text``; names that begin with ``m_``, ``base`` and ``more`` are taken."""
+    own, model = df.columns, F.lit(table)
     df = df.select("*", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, TOKEN), strict=True)))
     long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_LEAST
     always = lambda hit: F.lit(True)
     odd = lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & (_ratio(hit, model) >= F.lit(round(1000 * threshold)) * (F.length(hit) - 1))
-    df = df.select("doc_id", "text", F.concat(_spans("assign", ASSIGN, long_enough), _spans("access", ACCESS, always), _spans("hex", HEX, always)).alias("base"), _spans("markov", TOKEN, odd).alias("more"))
+    df = df.select(*own, F.concat(_spans("assign", ASSIGN, long_enough), _spans("access", ACCESS, always), _spans("hex", HEX, always)).alias("base"), _spans("markov", TOKEN, odd).alias("more"))
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.select("doc_id", "text", F.array_sort(F.concat("base", free)).alias("spans"))
+    return df.select(*own, F.array_sort(F.concat("base", free)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -131,3 +136,16 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
+def redact(docs: DataFrame, table: list[int], threshold: float = 0.4, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark``, and ``n_chars``, if there, counted anew for
+    texts that changed.  All rows and other columns stay as they are; a null text stays null."""
+    names, text = docs.columns, f"_c{position(docs, 'text')}"
+    df = _scanned(positional(docs).withColumn("text", F.coalesce(F.col(text), F.lit(""))), table, threshold)
+    found = F.size("spans") > 0
+    df = df.withColumn(text, F.when(found, redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col(text)))
+    if "n_chars" in names:
+        count = f"_c{names.index('n_chars')}"
+        df = df.withColumn(count, F.when(found, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(count)))
+    return restored(df, names)
