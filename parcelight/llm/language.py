@@ -78,21 +78,19 @@ def train(labelled: DataFrame, max_rows: int = 1000, longest: int = 4, least: in
 
 
 class Scorer:
-    def __init__(self, model: LanguageModel, max_cached: int = 200_000):
+    def __init__(self, model: LanguageModel, max_cached: int = 400_000):
         self.m, self.max_cached = model, max_cached
-        self.backed: dict[str, np.ndarray] = {}
+        self.backed: dict[str, list[int]] = {}
 
-    def back_off(self, word: str) -> np.ndarray:
+    def back_off(self, word: str) -> list[int]:
+        """Rows of the known n-grams of the greatest length at which an unseen word has any."""
         got = self.backed.get(word)
         if got is None:
-            get = self.m.row.get
+            get, got = self.m.row.get, []
             for n in range(min(self.m.longest, len(word) + 2), 0, -1):
-                at = [i for g in grams(word, n) if (i := get("\0" + g)) is not None]
-                if at:
-                    got = self.m.log_prob[at].mean(axis=0)
+                got = [i for g in grams(word, n) if (i := get("\0" + g)) is not None]
+                if got:
                     break
-            else:
-                got = np.zeros(len(self.m.languages))
             if len(self.backed) >= self.max_cached:
                 self.backed.clear()
             self.backed[word] = got
@@ -103,13 +101,16 @@ class Scorer:
         if not self.m.languages or not any(ch.isalpha() for w in c for ch in w):
             return UNKNOWN, 0.0
         get = self.m.row.get
-        at = np.fromiter((get(w, -1) for w in c), np.int64, len(c))
-        n = np.fromiter(c.values(), np.float64, len(c))
-        known = at >= 0
-        total = n[known] @ self.m.log_prob[at[known]]
-        if not known.all():
-            total = total + sum(k * self.back_off(w) for w, k, ok in zip(c, n, known, strict=True) if not ok)
-        mean = total / n.sum()
+        at, share = [], []
+        for w, n in c.items():
+            i = get(w)
+            if i is not None:
+                at.append(i)
+                share.append(n)
+            elif rows := self.back_off(w):  # the mean over its n-grams
+                at += rows
+                share += [n / len(rows)] * len(rows)
+        mean = np.array(share, float) @ self.m.log_prob[at] / c.total() if at else np.zeros(len(self.m.languages))
         p = np.exp(mean - mean.max())
         k = int(np.argmax(p))  # ties go to the first language by name
         return self.m.languages[k], float(min(1.0, max(0.0, p[k] / p.sum())))
