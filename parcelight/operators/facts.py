@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contract import COMPLETED, DIMENSIONS, INTERVALS, TRACKING_ANOMALIES, WAREHOUSE_ANOMALIES, WAREHOUSE_INTERVALS
 from ..functions.scalars import dimension, finite, hours_between, is_empty
+from ..sources.shared import stored
 from .prep import distinct_warnings, instant, prepare_events, prepare_orders, warning
 
 
@@ -31,6 +32,11 @@ class Facts:
     tracking: DataFrame
 
 
+def kept(f: Facts) -> Facts:
+    """The same facts as stored tables, for when several aggregations read them."""
+    return Facts(stored(f.orders, "orders"), stored(f.intervals, "intervals"), stored(f.eligible, "eligible"), stored(f.warnings, "warnings"), f.totals, stored(f.warehouse, "warehouse"), stored(f.tracking, "tracking"))
+
+
 def decide(value: Column, missing: Column, status: Column) -> Column:
     """true, false, not_computable, pending or excluded."""
     done = F.when(missing, "not_computable").when(value, "true").otherwise("false")

@@ -115,6 +115,11 @@ SELECT a, b, CAST(count(*) AS BIGINT) AS n, round(avg(gap), 6) AS mean_gap FROM
 SELECT 'V-' || upper(substr(sha256(path), 1, 8)) AS variant, path, CAST(count(*) AS BIGINT) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY path ORDER BY n DESC, path LIMIT 20"""
     q["order_timeline"] = f", {_EVENTS} SELECT id, event_code, CAST(event_time AS VARCHAR) AS at FROM me WHERE order_id = 'ORD-1'"
     q["sim_promise"] = "SELECT " + _rate("otif") + " AS base_otif, " + _rate("CASE WHEN NOT done THEN 'x' WHEN o1 IS NULL OR o2 IS NULL THEN 'x' WHEN actual <= promised + INTERVAL 12 HOUR AND o2 THEN 'true' ELSE 'false' END") + " AS scenario_otif FROM oe"
+    q["browser_pairs"] = """, s AS (SELECT shipment_id, lag(event_code) OVER w AS a, event_code AS b, epoch_us(event_time - lag(event_time) OVER w) / 3.6e9 AS h FROM fx_tracking WINDOW w AS (PARTITION BY shipment_id ORDER BY event_time, source_index))
+SELECT a || '_to_' || b AS code, CAST(count(h) AS BIGINT) AS n, CAST(count(DISTINCT shipment_id) AS BIGINT) AS entities, round(avg(h), 6) AS mean, round(quantile_cont(h, 0.5), 6) AS median, round(quantile_cont(h, 0.9), 6) AS p90 FROM s WHERE a IS NOT NULL GROUP BY a, b"""
+    q["validated_orders"] = """, t AS (SELECT source_index AS k, order_status FROM fx_orders WHERE ordered_quantity IS NOT NULL)
+SELECT 'ERROR' AS severity, 'INVALID_DATETIME' AS code, CAST(count(*) AS BIGINT) AS n FROM t WHERE k % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'ERROR', 'QUANTITY_OUT_OF_RANGE', CAST(count(*) AS BIGINT) FROM t WHERE k % 19 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'WARNING', 'STATUS_UNMAPPED', CAST(count(*) AS BIGINT) FROM t WHERE k % 23 = 0 OR order_status = 'unmapped' HAVING count(*) > 0"""
     q["orphan_events"] = "SELECT event_id, order_id FROM fx_warehouse e WHERE NOT EXISTS (SELECT 1 FROM fx_orders o WHERE o.order_id = e.order_id)"
     return {k: HEAD + v for k, v in q.items()} | plain()
 
