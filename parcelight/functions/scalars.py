@@ -138,7 +138,7 @@ def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-8 bytes."""
     data = F.hex(F.encode(text, "UTF-8"))
     byte = lambda i: F.conv(F.substring(data, i * 2 - 1, F.lit(2)), 16, 10).cast("long")
-    mixed = F.aggregate(F.sequence(F.lit(1), F.length(data) / 2), F.lit(2166136261).cast("long"), lambda h, i: ((h.bitwiseXOR(byte(i.cast("int")))) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    mixed = F.aggregate(F.sequence(F.lit(1), (F.length(data) / 2).cast("int")), F.lit(2166136261).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.when(F.length(data) == 0, F.lit(2166136261).cast("long")).otherwise(mixed)
 
 
