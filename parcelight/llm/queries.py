@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,26 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op10_sql() -> str:
+    """Spans in DuckDB: the pieces between matches give the places, as in Spark; the model's table is a list."""
+    counts = Counter((y, t[i : i + 2]) for t, y in secrets.sample_rows() for i in range(len(t) - 1))
+    table, k = secrets.ratios(counts), len(secrets.ALPHABET)
+    q = lambda p: p.replace("'", "''")
+    patterns = zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.TOKEN), strict=True)
+    hits = " UNION ALL ".join(f"SELECT r, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{q(p)}') AS hits, string_split_regex(t, '{q(p)}') AS gaps FROM d" for rank, (kind, p) in enumerate(patterns))
+    ratio = f"list_sum(list_transform(range(1, length(hit)), lambda i: w[(instr('{secrets.ALPHABET}', substr(hit, i, 1)) - 1) * {k} + instr('{secrets.ALPHABET}', substr(hit, i + 1, 1))]))"
+    names = "coalesce(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rank), '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), tb AS (SELECT {table} AS w), m AS ({hits}),
+e AS (SELECT r, kind, rank, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT r, kind, rank, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda h: length(h))), 0) AS BIGINT) AS st FROM e),
+f AS (SELECT r, kind, rank, hit, st, st + length(hit) AS en FROM s, tb WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{q(secrets.ASSIGN)}', 2)) >= {secrets.ASSIGN_LEAST}
+    WHEN 'markov' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND {ratio} >= 400 * (length(hit) - 1) ELSE true END),
+g AS (SELECT * FROM f WHERE kind <> 'markov' OR NOT EXISTS (SELECT 1 FROM f b WHERE b.r = f.r AND b.kind <> 'markov' AND b.st < f.en AND f.st < b.en)),
+a AS (SELECT r, CAST(count(*) FILTER (WHERE kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (WHERE kind = 'hex') AS BIGINT) AS n_hex, {names} AS spans,
+    coalesce(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rank) FILTER (WHERE kind <> 'markov'), '') AS base FROM g GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
+
+
 def packed_digest(docs: DataFrame) -> DataFrame:
     """Placed pieces with a digest of each piece's ids; the ids themselves need not travel with it."""
     pieces = tokenize_pieces(docs, tokenizer_file("byte_bpe_50k.json"))
@@ -146,4 +167,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": OP3_SQL,
         "op5_decontamination": OP5_SQL,
         "op6_top_k": OP6_SQL,
+        "op10_secret_scans": op10_sql(),
     }

@@ -40,7 +40,7 @@ STEMS = (
 ).split()
 
 
-def default_samples(spark: SparkSession, n: int = 3000, seed: int = 7) -> DataFrame:
+def sample_rows(n: int = 3000, seed: int = 7) -> list[tuple[str, bool]]:
     """Labelled samples (text, random boolean) from a seeded rule: strings drawn evenly from usual key
     alphabets, and identifiers, paths and constants joined from :data:`STEMS`."""
     rng = random.Random(seed)
@@ -48,7 +48,11 @@ def default_samples(spark: SparkSession, n: int = 3000, seed: int = 7) -> DataFr
     rows = [("".join(rng.choices(rng.choice(keys), k=rng.randint(20, 48))), True) for _ in range(n)]
     joins = (lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "_".join(w).upper(), lambda w: "".join(w), lambda w: "_".join(w) + str(rng.randint(0, 2030)))
     rows += [(rng.choice(joins)(rng.choices(STEMS, k=rng.randint(2, 5))), False) for _ in range(n)]
-    return spark.createDataFrame(rows, "text string, random boolean")
+    return rows
+
+
+def default_samples(spark: SparkSession, n: int = 3000, seed: int = 7) -> DataFrame:
+    return spark.createDataFrame(sample_rows(n, seed), "text string, random boolean")
 
 
 def train(samples: DataFrame, add: float = 0.5) -> list[int]:
@@ -57,15 +61,19 @@ def train(samples: DataFrame, add: float = 0.5) -> list[int]:
     Pairs of each label are counted with DataFrame functions; at most two rows per pair come back.
     Characters outside the alphabet are left out; ``add`` smooths unseen pairs.
     """
-    k = len(ALPHABET)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))
     counts = samples.where("text is not null and random is not null and length(text) > 1").select("random", pair.alias("pair")).groupBy("random", "pair").count()
-    at = {c: i for i, c in enumerate(ALPHABET)}
+    return ratios({(r["random"], r["pair"]): r["count"] for r in counts.collect()}, add)
+
+
+def ratios(counts: dict[tuple[bool, str], int], add: float = 0.5) -> list[int]:
+    """The table of :func:`train` from counts per label and pair."""
+    k, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
     seen = {True: [0.0] * (k * k), False: [0.0] * (k * k)}
-    for r in counts.collect():
-        a, b = (at.get(c) for c in r["pair"])
+    for (y, pair), n in counts.items():
+        a, b = (at.get(c) for c in pair)
         if a is not None and b is not None:
-            seen[r["random"]][a * k + b] += r["count"]
+            seen[y][a * k + b] += n
     out = []
     for a in range(k):
         rows = {y: seen[y][a * k : a * k + k] for y in seen}

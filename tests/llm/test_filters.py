@@ -209,7 +209,7 @@ def test_url_collision_is_not_a_match(tmp_path, monkeypatch):
     assert index.judge(["a.com", "b.com", "c.com"], ["/x", "/y", "/x"]) == (["a.com/x", "b.com/y", None], ["block", "block", None])
 
 
-@pytest.mark.parametrize("name", ["op3_url_filters", "op5_decontamination", "op6_top_k"])
+@pytest.mark.parametrize("name", ["op3_url_filters", "op5_decontamination", "op6_top_k", "op10_secret_scans"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages", "embeddings"):
