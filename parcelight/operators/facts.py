@@ -37,6 +37,12 @@ def kept(f: Facts) -> Facts:
     return Facts(stored(f.orders, "orders"), stored(f.intervals, "intervals"), stored(f.eligible, "eligible"), stored(f.warnings, "warnings"), f.totals, stored(f.warehouse, "warehouse"), stored(f.tracking, "tracking"))
 
 
+def evaluated(orders: DataFrame, warehouse: DataFrame, tracking: DataFrame) -> Facts:
+    """Stored facts; every intermediate table is computed once."""
+    f = evaluate(orders, warehouse, tracking, keep=lambda df: stored(df, "step"))
+    return Facts(stored(f.orders, "orders"), f.intervals, stored(f.eligible, "eligible"), stored(f.warnings, "warnings"), f.totals, f.warehouse, f.tracking)
+
+
 def decide(value: Column, missing: Column, status: Column) -> Column:
     """true, false, not_computable, pending or excluded."""
     done = F.when(missing, "not_computable").when(value, "true").otherwise("false")
@@ -101,12 +107,13 @@ def interval_groups(warehouse: DataFrame, tracking: DataFrame) -> DataFrame:
     return pair(parts, ["order_id", "shipment", "location"])
 
 
-def evaluate(orders: DataFrame, warehouse: DataFrame, tracking: DataFrame) -> Facts:
+def evaluate(orders: DataFrame, warehouse: DataFrame, tracking: DataFrame, keep=lambda df: df) -> Facts:
+    """``keep`` may store the intermediate tables that several steps read."""
     o = prepare_orders(orders)
-    wh, wh_warnings = prepare_events(warehouse, "event_id", o.valid)
-    tr, tr_warnings = prepare_events(tracking, "tracking_event_id", o.valid)
-    decided = order_decisions(o.valid)
-    groups = interval_groups(wh, tr)
+    wh, wh_warnings = prepare_events(warehouse, "event_id", o.valid, keep)
+    tr, tr_warnings = prepare_events(tracking, "tracking_event_id", o.valid, keep)
+    decided = keep(order_decisions(o.valid))
+    groups = keep(interval_groups(wh, tr))
     bad_wh = wh.where(F.col("event_code").isin(*WAREHOUSE_ANOMALIES)).select("order_id").distinct().withColumn("qc_failed", F.lit(True))
     bad_tr = tr.where(F.col("event_code").isin(*TRACKING_ANOMALIES)).groupBy("order_id").agg(F.array_sort(F.collect_set("event_code")).alias("tracking_anomalies"))
     facts = decided.join(bad_wh, "order_id", "left").join(bad_tr, "order_id", "left")

@@ -58,15 +58,15 @@ def prepare_orders(orders: DataFrame) -> Orders:
     return Orders(valid, totals, warnings)
 
 
-def prepare_events(events: DataFrame, id_col: str, valid_orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prepare_events(events: DataFrame, id_col: str, valid_orders: DataFrame, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Usable events with ``event_ts``, and warnings.
 
     In order: blank ids go, repeats collapse or are set aside, then an event goes if its order is not valid,
     if its time is no instant, or if it precedes the order's creation.  An event earlier than the one before
-    it in the source (same order and shipment, among those that stay) is only marked.
+    it in the source (same order and shipment, among those that stay) is only marked.  ``keep`` may store what several later steps read.
     """
     blank = events.where(is_empty(id_col))
-    one = deduplicated(events.where(~is_empty(id_col)), id_col)
+    one = keep(deduplicated(events.where(~is_empty(id_col)), id_col))
     created = valid_orders.select("order_id", instant(valid_orders, "created_at").alias("created_ts"), F.lit(True).alias("known"))
     shipment = F.coalesce(F.nullif(F.col("shipment_id"), F.lit("")), F.lit("unknown")) if "shipment_id" in events.columns else F.lit("")
     location = F.coalesce(F.nullif(F.col("location_code"), F.lit("")), F.lit("unknown")) if "location_code" in events.columns else F.lit("")
@@ -74,7 +74,7 @@ def prepare_events(events: DataFrame, id_col: str, valid_orders: DataFrame) -> t
     fault = F.when(F.col("known").isNull(), "ORPHAN_EVENT").when(F.col("event_ts").isNull(), "INVALID_EVENT_TIME").when(F.col("event_ts") < F.col("created_ts"), "EVENT_BEFORE_ORDER_CREATED")
     rows = rows.withColumn("fault", fault).withColumn("shipment", shipment).withColumn("location", location)
     before = F.lag("event_ts").over(Window.partitionBy("order_id", "shipment").orderBy("source_index", id_col))
-    kept = rows.where("fault is null").withColumn("out_of_order", F.coalesce(F.col("event_ts") < before, F.lit(False)))
+    kept = keep(rows.where("fault is null").withColumn("out_of_order", F.coalesce(F.col("event_ts") < before, F.lit(False))))
     again = kept.groupBy("order_id", "event_code", "event_ts", "shipment", "location").agg(F.count(F.lit(1)).alias("k"), F.min_by(id_col, "source_index").alias("first_id")).where("k > 1")
     parts = [
         warning(blank, "EVENT_ID_MISSING", "order_id"), warning(one.where("conflict"), "DUPLICATE_EVENT_CONFLICT", None, id_col), warning(one.where("n > 1 and not conflict"), "EXACT_DUPLICATE_EVENT", None, id_col),

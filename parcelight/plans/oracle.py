@@ -40,7 +40,7 @@ def _rate(c: str) -> str:
 
 
 KPI = f"""CAST(count(*) AS BIGINT) AS n, {_rate('ot')} AS ot_rate, {_rate('in_full')} AS if_rate, {_rate('otif')} AS otif_rate,
-round(avg(hours), 6) AS mean_hours, round(quantile_cont(hours, 0.5), 6) AS median_hours, round(quantile_cont(hours, 0.9), 6) AS p90_hours"""
+round(avg(hours), 8) AS mean_hours, round(quantile_cont(hours, 0.5), 6) AS median_hours, round(quantile_cont(hours, 0.9), 6) AS p90_hours"""
 
 NODES = """CAST(count(hours) AS BIGINT) AS n, CAST(count(DISTINCT order_id) AS BIGINT) AS computable, round(avg(hours), 6) AS mean, round(quantile_cont(hours, 0.5), 6) AS median, round(quantile_cont(hours, 0.9), 6) AS p90"""
 

@@ -34,7 +34,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> facts.Facts:
     """Facts of the registered tables, evaluated once per application and stored beside them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _evaluated:
-        _evaluated[key] = facts.kept(facts.evaluate(*registered(spark, sf_dir)))
+        _evaluated[key] = facts.evaluated(*registered(spark, sf_dir))
     return _evaluated[key]
 
 
@@ -50,7 +50,7 @@ def _r(*names: str) -> list:
 def _kpi(orders: DataFrame, keys: list[str]) -> DataFrame:
     a = metrics.order_aggregates(orders, keys)
     rate = lambda c: F.round(S.ratio(F.col(f"{c}_true"), F.col(f"{c}_true") + F.col(f"{c}_false")), 6)
-    return a.select(*keys, F.col("n_valid").alias("n"), rate("ot").alias("ot_rate"), rate("in_full").alias("if_rate"), rate("otif").alias("otif_rate"), F.round("d_mean", 6).alias("mean_hours"), F.round("d_p50", 6).alias("median_hours"), F.round("d_p90", 6).alias("p90_hours"))
+    return a.select(*keys, F.col("n_valid").alias("n"), rate("ot").alias("ot_rate"), rate("in_full").alias("if_rate"), rate("otif").alias("otif_rate"), F.round("d_mean", 8).alias("mean_hours"), F.round("d_p50", 6).alias("median_hours"), F.round("d_p90", 6).alias("p90_hours"))
 
 
 def _grouped(key) -> Query:
@@ -192,12 +192,12 @@ def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sim_pickup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = simulate.Scenario(pickup=simulate.Improvement("ready_to_pickup", 1.0))
-    return simulate.run(registered(spark, sf_dir), s, keep=lambda df: stored(df, "scenario")).comparison.select("code", *_r("baseline", "scenario", "difference", "relative"))
+    return simulate.run(registered(spark, sf_dir), s, keep=lambda df: stored(df, "scenario"), evaluated=_facts(spark, sf_dir)).comparison.select("code", *_r("baseline", "scenario", "difference", "relative"))
 
 
 def sim_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = simulate.Scenario(warehouse=(simulate.Improvement("picking", 50, percent=True), simulate.Improvement("packing", 0.5)))
-    return simulate.run(registered(spark, sf_dir), s, keep=lambda df: stored(df, "scenario")).adjustments.groupBy("interval_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reduction"), 4).alias("hours_saved"))
+    return simulate.run(registered(spark, sf_dir), s, keep=lambda df: stored(df, "scenario"), evaluated=_facts(spark, sf_dir)).adjustments.groupBy("interval_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reduction"), 4).alias("hours_saved"))
 
 
 def sim_carrier_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
