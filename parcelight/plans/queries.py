@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def _kpi(orders: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _grouped(key) -> Query:
-    return lambda s, d: _kpi(_decided(s, d).withColumn("group_key", key), ["group_key"])
+    return lambda s, d: _kpi(_decided(s, d).withColumn("group_key", key()), ["group_key"])
 
 
 def _rule(fn, rule_id: str, *cols: str, **overrides: float) -> Query:
@@ -226,14 +227,14 @@ def validated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    day = S.local_date("created_ts", ZONE).cast("string")
-    week = S.week_start("created_ts", ZONE).cast("string")
+    # expressions need a session, so each query builds its own when it runs
+    day, week = partial(S.local_date, "created_ts", ZONE), partial(S.week_start, "created_ts", ZONE)
     D = diagnostics
     interval = lambda c: lambda s, d: _facts(s, d).intervals.where(F.col("interval_code") == c).select("order_id", F.coalesce("shipment", F.lit("")).alias("shipment"), *_r("hours"))
     return {
         "kpi_overall": lambda s, d: _kpi(_decided(s, d), []),
-        "otif_by_warehouse": _grouped(F.col("warehouse_id")), "otif_by_carrier": _grouped(F.col("carrier_id")), "otif_by_region": _grouped(F.col("destination_region")), "otif_by_channel": _grouped(F.col("sales_channel")),
-        "trend_date": _grouped(day), "trend_week": _grouped(week),
+        "otif_by_warehouse": _grouped(lambda: F.col("warehouse_id")), "otif_by_carrier": _grouped(lambda: F.col("carrier_id")), "otif_by_region": _grouped(lambda: F.col("destination_region")), "otif_by_channel": _grouped(lambda: F.col("sales_channel")),
+        "trend_date": _grouped(lambda: day().cast("string")), "trend_week": _grouped(lambda: week().cast("string")),
         "order_decisions": lambda s, d: _decided(s, d).select("order_id", "ot", "in_full", "otif", *_r("duration_hours")),
         "prepared_warehouse_events": lambda s, d: _facts(s, d).warehouse.select("event_id", "order_id", "event_code", "source_index"),
         "prepared_tracking_events": lambda s, d: _facts(s, d).tracking.select("tracking_event_id", "order_id", "event_code", "source_index"),
