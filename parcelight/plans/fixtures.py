@@ -15,6 +15,12 @@ TRACKING_STEPS = "carrier_picked_up origin_departed in_transit arrived_at_hub de
 _WH_MINUTES = ("10 + k % 15", "30 + (k * 7) % 240", "40 + (k * 11) % 100", "20 + (k * 13) % 110", "20 + (k * 17) % 80", "5", "30 + (k * 19) % 100", "15", "5")
 _TR_MINUTES = ("120 + (k * 23) % 720", "60", "60", "600 + (k * 29) % 900 + CASE WHEN s % 5 = 0 THEN 1440 ELSE 0 END", "60 + (k * 31) % 300", "300 + (k * 37) % 1200", "120 + (k * 41) % 1500", "60 + (k * 43) % 780")
 
+#: Date text of five files, one per order priority: day first, month first, both, undecided days only, with AM and PM.
+_D, _M, _Y = (f"CAST({f}(o_orderdate) AS VARCHAR(4))" for f in ("day", "month", "year"))
+DATE_TEXT = f"""CASE WHEN o_orderpriority = '1-URGENT' OR (o_orderpriority = '3-MEDIUM' AND o_orderkey % 2 = 0) THEN {_D} || '/' || {_M} || '/' || {_Y} WHEN o_orderpriority LIKE '4%' THEN
+    CASE WHEN day(o_orderdate) <= 12 THEN {_D} || '/' || {_M} || '/' || {_Y} ELSE {_Y} || '年' || {_M} || '月' || {_D} || '日' END
+    ELSE {_M} || '/' || {_D} || '/' || {_Y} || CASE WHEN o_orderpriority LIKE '5%' THEN ' 3:05 PM' ELSE '' END END"""
+
 
 def _sum(parts, n: int) -> str:
     return " + ".join(f"({p})" for p in parts[:n])

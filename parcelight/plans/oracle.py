@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.browser_mapping import VALUE_PATTERNS
 from .fixtures import ctes
 
 _CODES = "('order_to_pick', 'order_received', 'picking_started', 'w'), ('picking', 'picking_started', 'picking_completed', 'w'), ('pick_to_qc', 'picking_completed', 'quality_check_started', 'w'), ('quality_check', 'quality_check_started', 'quality_check_completed', 'w'), ('packing', 'packing_started', 'packing_completed', 'w'), ('ready_to_pickup', 'ready_to_ship', 'carrier_picked_up', 'x'), ('carrier_transit', 'carrier_picked_up', 'delivered', 's'), ('hub_dwell', 'arrived_at_hub', 'departed_hub', 'l')"
@@ -121,12 +122,50 @@ SELECT a || '_to_' || b AS code, CAST(count(h) AS BIGINT) AS n, CAST(count(DISTI
 SELECT 'ERROR' AS severity, 'INVALID_DATETIME' AS code, CAST(count(*) AS BIGINT) AS n FROM t WHERE k % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'ERROR', 'QUANTITY_OUT_OF_RANGE', CAST(count(*) AS BIGINT) FROM t WHERE k % 19 = 0 HAVING count(*) > 0
 UNION ALL SELECT 'WARNING', 'STATUS_UNMAPPED', CAST(count(*) AS BIGINT) FROM t WHERE k % 23 = 0 OR order_status = 'unmapped' HAVING count(*) > 0"""
     q["orphan_events"] = "SELECT event_id, order_id FROM fx_warehouse e WHERE NOT EXISTS (SELECT 1 FROM fx_orders o WHERE o.order_id = e.order_id)"
+    q |= _edge()
     return {k: HEAD + v for k, v in q.items()} | plain()
 
 
+def _edge() -> dict[str, str]:
+    """The edge dialect's decisions, then its four results."""
+    up = lambda x, d: f"floor(({x}) * {10**d} + 0.5) / {float(10**d)}"
+    head = f""", eo AS (SELECT *, actual <= promised AS a, delivered >= ordered AS b, {up("epoch_us(actual - created_at) / 3.6e9", 2)} AS h FROM od),
+er AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a AND b END AS c, coalesce(NOT a, false) AS late, coalesce(h >= 82, false) AS tail, coalesce(h >= 82 AND carrier_id = 'CAR-2', false) AS watched,
+    coalesce(NOT a, false) OR coalesce(NOT b, false) OR order_status = 'returned' OR coalesce(h >= 82, false) AS bad FROM eo)
+"""
+
+    def metrics(key: str) -> str:
+        by, group = (f"{key}, ", f" GROUP BY {key}") if key else ("", "")
+        rate = lambda code, c: f"SELECT {by}'{code}' AS code, {up(f'CAST(count(*) FILTER (WHERE {c}) AS DOUBLE) / nullif(count({c}), 0)', 4)} AS value, CAST(count(*) FILTER (WHERE {c}) AS BIGINT) AS numerator, CAST(count({c}) AS BIGINT) AS denominator, {up(f'CAST(count({c}) AS DOUBLE) / count(*)', 4)} AS coverage, CAST(count(*) - count({c}) AS BIGINT) AS pending FROM er{group}"
+        hours = lambda code, e: f"SELECT {by}'fulfillment_duration_{code}_hours', {up(e, 2)}, NULL, NULL, {up('CAST(count(h) AS DOUBLE) / count(*)', 4)}, CAST(count(*) - count(h) AS BIGINT) FROM er{group}"
+        return " UNION ALL ".join([rate("ot_rate", "a"), rate("if_rate", "b"), rate("otif_rate", "c"), rate("anomaly_order_rate", "bad"), hours("mean", "avg(h)"), hours("median", "quantile_cont(h, 0.5)"), hours("p90", "quantile_cont(h, 0.9)")])
+
+    rule = lambda rid, cat, sev, pri, c: f"SELECT '{rid}' AS rule_id, '{cat}' AS category, '{sev}' AS severity, {pri} AS priority, CAST(count(*) AS BIGINT) AS affected, min(order_id) AS first_order, {up('count(*) / CAST((SELECT count(*) FROM er) AS DOUBLE)', 4)} AS coverage FROM er WHERE {c} HAVING count(*) > 0"
+    return {
+        "edge_metrics": head + metrics(""), "edge_by_carrier": head + metrics("carrier_id"),
+        "edge_findings": head + " UNION ALL ".join([rule("FL-WH-001", "warehouse_delay", "high", 10, "tail"), rule("FL-CR-001", "carrier_relative", "high", 8, "watched"), rule("FL-OT-001", "last_mile_backlog", "medium", 6, "late")]),
+        "edge_nodes": f"""SELECT code AS interval_code, CAST(count(hours) AS BIGINT) AS n, round(avg(hours), 6) AS mean, round(quantile_cont(hours, 0.5), 6) AS median, round(quantile_cont(hours, 0.9), 6) AS p90, CAST((SELECT count(*) FROM od) AS BIGINT) AS eligible,
+{up("count(hours) / CAST((SELECT count(*) FROM od) AS DOUBLE)", 4)} AS coverage, quantile_cont(hours, 0.9) >= 18 AS is_bottleneck FROM iv GROUP BY code""",
+        "edge_filter_coverage": f"SELECT CAST(count(*) FILTER (WHERE f) AS BIGINT) AS order_count, CAST(count(*) AS BIGINT) AS unfiltered_order_count, {up('count(*) FILTER (WHERE f) / CAST(count(*) AS DOUBLE)', 4)} AS data_coverage FROM (SELECT carrier_id = 'CAR-2' AND warehouse_id IN ('WH-1', 'WH-2', 'WH-3') AS f FROM od)",
+    }
+
+
+def _profile(column: str) -> str:
+    shares = ", ".join(f"""round(avg(CASE WHEN regexp_matches(v, '{p}') THEN 1e0 ELSE 0e0 END), 6) AS "{k}\"""" for k, p in VALUE_PATTERNS.items())
+    return f"""SELECT '{column}' AS "column", CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS "distinct", {shares}, round(count(DISTINCT v) / CAST(count(*) AS DOUBLE), 6) AS "unique" FROM (SELECT trim(CAST({column} AS VARCHAR)) AS v FROM orders) WHERE v <> ''"""
+
+
 def plain() -> dict[str, str]:
     """Queries over the driver's own tables."""
+    d, m, both = "day(o_orderdate)", "month(o_orderdate)", "day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)"
+    first = "(o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') OR (o_orderpriority = '3-MEDIUM' AND o_orderkey % 2 = 0))"
+    count = lambda c, n: f"CAST(count(*) FILTER (WHERE {c}) AS BIGINT) AS {n}"
     return {
+        "date_orders": f"""SELECT *, CASE WHEN dmy > 0 AND mdy = 0 THEN 'DMY' WHEN mdy > 0 AND dmy = 0 THEN 'MDY' END AS date_order, (dmy > 0 AND mdy > 0) OR (dmy = 0 AND mdy = 0 AND undecided > 0) AS ambiguous FROM (
+SELECT o_orderpriority AS file, {count(f"{first} AND o_orderpriority NOT LIKE '4%' AND {d} > 12", "dmy")}, {count(f"NOT {first} AND ({d} > 12 OR (o_orderpriority LIKE '5%' AND {d} <> {m}))", "mdy")},
+    {count(f"{both} AND o_orderpriority NOT LIKE '5%'", "undecided")} FROM orders GROUP BY o_orderpriority)""",
+        "parsed_dates": f"SELECT o_orderkey, CASE WHEN e THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day, CASE WHEN e THEN 'DATE_ORDER_REQUIRED' END AS error FROM (SELECT *, o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') AND {both} AS e FROM orders)",
+        "column_profiles": " UNION ALL ".join(_profile(c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")),
         "event_gaps": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(gap), 6) AS mean_gap_hours FROM (SELECT event_type, epoch_us(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 3.6e9 AS gap FROM events) WHERE gap IS NOT NULL GROUP BY event_type",
         "privacy_scan": "SELECT CAST(count(*) FILTER (WHERE regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])')) AS BIGINT) AS mobile, CAST(count(*) FILTER (WHERE regexp_matches(text, '(^|[^0-9])[0-9]{17}[0-9Xx]($|[^0-9])')) AS BIGINT) AS id_card, CAST(count(*) FILTER (WHERE regexp_matches(text, '(^|[^0-9])[0-9]{11}($|[^0-9])')) AS BIGINT) AS eleven_digits FROM documents",
         "csv_escape": "SELECT o_orderkey, CASE WHEN regexp_matches(ltrim(v), '^[=+@-]') THEN '''' || v ELSE v END AS cell, '***' || right(CAST(o_orderkey AS VARCHAR), CASE WHEN length(CAST(o_orderkey AS VARCHAR)) < 4 THEN 1 ELSE 4 END) AS masked FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '-' || CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 5 = 0 THEN '=' || o_orderpriority ELSE o_orderpriority END AS v FROM orders)",

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import resolve_rules
+from ..functions import dates
 from ..functions import scalars as S
-from ..operators import browser, dashboard, diagnostics, facts, ingest, metrics, prep, recommend, simulate
+from ..operators import browser, browser_mapping, dashboard, diagnostics, edge, facts, ingest, metrics, prep, recommend, simulate
+from ..sources import cases
 from ..sources.shared import stored
 from . import fixtures
 
@@ -226,6 +228,53 @@ def validated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validate(text, ingest.CONTRACTS["orders"], mapping).report().select("severity", "code", "n")
 
 
+def _edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edge.decided(_decided(spark, sf_dir), "CAR-2")
+
+
+def edge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir)
+    return edge.node_summary(f.intervals, f.orders).select("interval_code", "n", *_r("mean", "median", "p90"), "eligible", "coverage", "is_bottleneck")
+
+
+def edge_filter_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _edge(spark, sf_dir)
+    return edge.filter_coverage(o.where("carrier_id = 'CAR-2' AND warehouse_id IN ('WH-1', 'WH-2', 'WH-3')"), o)
+
+
+def _date_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_orderpriority AS file", f"{fixtures.DATE_TEXT} AS text")
+
+
+def date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dates.date_order_evidence(_date_files(spark, sf_dir), "text", ["file"])
+
+
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _date_files(spark, sf_dir)
+    held = dates.date_order_evidence(rows, "text", ["file"]).select("file", "date_order")
+    p = dates.with_import_dates(rows.join(held, "file"), "text", "UTC", order_column="date_order", out="p")
+    return p.select("o_orderkey", F.coalesce(F.col("p.day"), F.to_date("p.value")).cast("string").alias("day"), "p.error")
+
+
+def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    p = browser_mapping.profiles(o.select(*(F.col(c).cast("string").alias(c) for c in PROFILED)))
+    return p.select("column", "n", "distinct", *_r(*browser_mapping.VALUE_PATTERNS), *_r("unique"))
+
+
+PROFILED = ("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the three generated cases against the ranges that they promise; no table of the folder is read."""
+    parts = []
+    for name, case in cases.CASES.items():
+        f = facts.evaluate(*cases.generate(spark, case))
+        parts.append(cases.range_check(case, metrics.build_metrics(f)).select(F.lit(name).alias("case"), "code", *_r("value", "least", "most"), "within"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def queries() -> dict[str, Query]:
     # expressions need a session, so each query builds its own when it runs
     day, week = partial(S.local_date, "created_ts", ZONE), partial(S.week_start, "created_ts", ZONE)
@@ -255,5 +304,7 @@ def queries() -> dict[str, Query]:
         "affected_orders": lambda s, d: D.affected_orders(_analysis(s, d)[1]),
         "transitions": transitions, "process_variants": variants, "order_timeline": timeline, "sim_promise": sim_promise, "orphan_events": orphan_events,
         "sim_pickup": sim_pickup, "sim_warehouse": sim_warehouse, "sim_carrier_mix": sim_carrier_mix, "recommendations": recommendations, "browser_pairs": browser_pairs, "validated_orders": validated_orders,
+        "edge_metrics": lambda s, d: edge.metrics(_edge(s, d)), "edge_by_carrier": lambda s, d: edge.metrics(_edge(s, d), ["carrier_id"]), "edge_findings": lambda s, d: edge.findings(_edge(s, d)), "edge_nodes": edge_nodes, "edge_filter_coverage": edge_filter_coverage,
+        "date_orders": date_orders, "parsed_dates": parsed_dates, "column_profiles": column_profiles, "case_checks": case_checks,
         "event_gaps": event_gaps, "first_interval_events": first_interval_events, "privacy_scan": privacy_scan, "csv_escape": csv_escape,
     }
