@@ -6,10 +6,12 @@ smallest hashes under that table's permutation and keeps them in text order, so
 in a table when they share those k-mers in the same order: a probe for edit similarity.  Texts that
 agree in a table meet in a bucket.
 
-Equal texts are one node.  A bucket is never expanded into pairs: each member is compared with two
-leaders of the bucket (those of smallest and largest hashed component), and after the links so
-found are closed into components, with two leaders of components other than its own, for a
-number of rounds, until a round finds no link.  Pairs are verified on whole texts: the shared labelled
+Equal texts are one node.  A bucket is not expanded into pairs at once: its members are compared with a few
+leaders of other components, the links so found are closed into components, and the leaders retire.  The next
+round takes four times as many leaders, first one of each component, and of those the ones with most links
+(hubs).  This goes on until every bucket is closed: its members that never led lie in one component, so that
+each pair of a bucket is linked, tested, or excluded because the sizes alone keep it below the threshold.
+Pairs are verified on whole texts: the shared labelled
 k-mers within the band that the threshold allows are chained in the order of both texts, and the chain's
 length decides.  Two texts link if chain / (k-mers of both - chain) is at least ``least``, counted
 with labels or over distinct k-mers.
@@ -24,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import position, positional, restored, stored, take
@@ -116,10 +118,19 @@ def order_minhash(s: np.ndarray, tables: int, depth: int) -> np.ndarray:
 
 def similarity(a: np.ndarray, b: np.ndarray, k: int, least: float) -> float:
     """Similarity of two texts given as word hashes; 0 as soon as it must be below ``least``."""
-    sa, sb = shingles(a, k), shingles(b, k)
-    la, lb = labelled(sa), labelled(sb)
+    return chained(prepared(a, k), prepared(b, k), least)
+
+
+def prepared(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k-mers of a text, with labels, and those that differ."""
+    s = shingles(a, k)
+    return s, labelled(s), np.unique(s)
+
+
+def chained(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
+    """:func:`similarity` of prepared texts."""
+    (sa, la, da), (_, lb, db) = x, y
     both = len(la) + len(lb)
-    da, db = np.unique(sa), np.unique(sb)
     shared = len(np.intersect1d(da, db, assume_unique=True))
     _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
     if len(ia) < least * (both - len(ia)) and shared < least * (len(da) + len(db) - shared):
@@ -178,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int = 20, depth: int = 4, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int = 20, depth: int = 4) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size.
 
     Texts of equal words are one class.  Texts without a word are a class if they are equal, the empty
@@ -189,19 +200,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            nodes, keys = [], []
+            nodes, keys, sizes, kinds = [], [], [], []
             for text in pdf["text"]:
                 w = words(text)
-                nodes.append(_node(w, text))
-                keys.append(order_minhash(labelled(shingles(word_hashes(w), k)), tables, depth).view("<i8") if w else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "keys": keys})
+                s = shingles(word_hashes(w), k)
+                nodes.append(_node(w, text)), sizes.append(len(s)), kinds.append(len(np.unique(s)))
+                keys.append(order_minhash(labelled(s), tables, depth).view("<i8") if w else [])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "keys": keys, "size": sizes, "kinds": kinds})
 
     # doc_id travels as text: a null among longs would turn them into floats
     as_text = F.col("doc_id").cast("string").alias("doc_id")
-    drawn = texts.where("text is not null").select(as_text, "text").mapInPandas(sketch, "doc_id string, node long, keys array<long>")
+    drawn = texts.where("text is not null").select(as_text, "text").mapInPandas(sketch, "doc_id string, node long, keys array<long>, size long, kinds long")
     prep = stored(drawn.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
-    nodes = stored(prep.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "nodes")
-    bucketed = nodes.select("node", F.explode("keys").alias("bucket"))
+    nodes = stored(prep.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("keys", "size", "kinds"))), "nodes")
+    bucketed = nodes.select("node", "size", "kinds", F.explode(F.array_distinct("keys")).alias("bucket"))
     # only buckets with company matter
     crowd = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     rows = stored(bucketed.join(crowd, "bucket"), "buckets")
@@ -209,24 +221,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
     found: DataFrame | None = None
     tried: DataFrame | None = None
     labels: DataFrame | None = None
-    for _ in range(rounds):
-        named = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        lead = F.struct(_hash("comp").alias("h"), "comp", "node")
-        ends = named.groupBy("bucket").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).where("lo.comp <> hi.comp")
-        leader = F.explode(F.array("lo", "hi"))
-        pairs = named.join(ends, "bucket").select("node", "comp", leader.alias("lead")).where("comp <> lead.comp")
-        pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    active, n_leaders = rows, 2
+    while True:
+        # a bucket is open while members that never led lie in several components
+        if labels is None:
+            named = active.withColumns({"comp": F.col("node"), "degree": F.lit(0).cast("long")})
+        else:
+            named = active.join(labels, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "degree": F.coalesce("degree", F.lit(0))})
+        bounds = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        named = stored(named.join(bounds, "bucket"), "open")
+        if named.isEmpty():
+            break
+        order = (F.desc("degree"), _hash("node"), "node")
+        lead = named.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*order))).where(F.col("turn") <= n_leaders)
+        lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", *order))).where(F.col("place") <= n_leaders)
+        lead = stored(lead.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("node", "comp", "size", "kinds"))), "leaders")
+        within = lambda c: F.least(c, f"lead_{c}") >= least * F.greatest(c, f"lead_{c}") - 1e-6
+        pairs = named.join(lead, "bucket").where("comp <> lead_comp").where(within("size") | within("kinds"))
+        pairs = pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         links = stored(_verified(pairs, hashed, k, least), "links")
-        if links.isEmpty():
-            break
-        found = links if found is None else found.unionByName(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(found)
+        active = named.select(*rows.columns).join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
+        n_leaders *= 4
+        if not links.isEmpty():
+            found = links if found is None else found.unionByName(links)
+            degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            labels = stored(components(found).join(degree, "node"), "labels")
     member = nodes.select("node", "first_id", "n")
-    member = member.withColumn("comp", F.col("node")) if labels is None else member.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = member.withColumn("comp", F.col("node")) if labels is None else member.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = member.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     classes = member.select("node", "comp").join(heads, "comp").select("node", "class_id", "class_size")
     out = prep.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_size")
@@ -253,9 +278,9 @@ def _word_table(texts: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) ->
 
 def _verified(pairs: DataFrame, hashed: DataFrame, k: int, least: float) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = lambda raw: mix(np.frombuffer(raw, "<u4").astype("<u8"))
+        load = lru_cache(32)(lambda raw: prepared(mix(np.frombuffer(raw, "<u4").astype("<u8")), k))
         for pdf in batches:
-            good = [similarity(load(x), load(y), k, least) >= least for x, y in zip(pdf["ha"], pdf["hb"], strict=True)]
+            good = [chained(load(x), load(y), least) >= least for x, y in zip(pdf["ha"], pdf["hb"], strict=True)]
             yield pdf.loc[good, ["a", "b"]]
 
     ha = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))

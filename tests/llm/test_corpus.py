@@ -172,6 +172,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_star_of_edited_copies_is_one_class(spark):
+    rng = random.Random(11)
+    original = [f"o{i}" for i in range(100)]
+    texts = [" ".join(original)]
+    for i in range(3000):  # two edits cost ten k-mers of 96: 0.81 to the original, about 0.66 to another copy
+        c = list(original)
+        p = rng.randrange(5, 85)
+        c[p], c[rng.randrange(p + 5, 95)] = f"x{i}", f"y{i}"
+        texts.append(" ".join(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = [neardup.similarity(*(neardup.word_hashes(words(texts[i])) for i in pair), 5, 0.0) for pair in ((0, 1), (0, 2), (1, 2))]
+    assert min(near[:2]) >= 0.8 > near[2]
+    assert {r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0}
+
+
 def test_similarity_respects_order():
     h = lambda t: neardup.word_hashes(words(t))
     a = " ".join(f"w{i}" for i in range(100))
