@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, restored, stored, take
+from .common import annotated, position, positional, restored, stored, take
 
 # ASCII digits, letters (upper case as lower) and all bytes of other characters form words.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -89,13 +89,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     equal id are one; repeated documents keep a row each.  ``block_chars`` bounds the text of the items
     that one broadcast index covers.
     """
-    spark = docs.sparkSession
     items, n_blocks = _items(benchmark, block_chars)
     texts = take(docs, "doc_id", "text")
     if n_blocks > 1:  # rows need a name of their own to bring the blocks' answers together
         texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     else:
         texts = texts.withColumn("row", F.lit(0).cast("long"))
+    return _judged(texts, items, n_blocks, width, share).drop("row")
+
+
+def _judged(texts: DataFrame, items: DataFrame, n_blocks: int, width: int, share: int) -> DataFrame:
+    """:func:`decontaminate` for ``texts`` (row, doc_id, text), with ``row``, which names a row if there are several blocks."""
+    spark = texts.sparkSession
     parts = [_one_block(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b) if n_blocks > 1 else items, width, spark) for b in range(n_blocks)]
     out = parts[0]
     if n_blocks > 1:
@@ -110,9 +115,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
             joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["hit_starts"].alias("hit_starts"), F.greatest(last(acc)["hit_ends"], s["hit_ends"]).alias("hit_ends"))))
             return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["hit_ends"] >= s["hit_starts"]), joined).otherwise(F.concat(acc, F.array(s)))
 
-        out = out.withColumn("spans", F.aggregate("spans", none, merge)).select("doc_id", "n_words", "items", F.col("spans.hit_starts").alias("hit_starts"), F.col("spans.hit_ends").alias("hit_ends"))
+        out = out.withColumn("spans", F.aggregate("spans", none, merge)).select("row", "doc_id", "n_words", "items", F.col("spans.hit_starts").alias("hit_starts"), F.col("spans.hit_ends").alias("hit_ends"))
     n_hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hit_starts", "hit_ends")
+    out = out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), "items", "hit_starts", "hit_ends")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -120,8 +125,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, sh
     """The rows of ``docs``, columns as they were, that :func:`decontaminate` does not call contaminated."""
     items, n_blocks = _items(benchmark, block_chars)
     if n_blocks > 1:  # the blocks' hits have to be brought together first
-        bad = decontaminate(docs, benchmark, width, share, block_chars).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+        rows = stored(positional(docs).withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        texts = rows.select("row", F.col(f"_c{position(docs, 'doc_id')}").alias("doc_id"), F.col(f"_c{position(docs, 'text')}").alias("text"))
+        bad = _judged(texts, items, n_blocks, width, share).where("contaminated").select("row")
+        return restored(rows.join(bad, "row", "left_anti"), docs.columns)
     held = _broadcast_index(take(docs, "text"), items, width, docs.sparkSession)
 
     def clean(text: str | None) -> bool:
