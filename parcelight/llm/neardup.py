@@ -98,22 +98,53 @@ def _seeds(tables: int) -> np.ndarray:
     return mix(np.arange(1, tables + 1, dtype="<u8") * np.uint64(_P)) | np.uint64(1)
 
 
-def order_minhash(s: np.ndarray, tables: int, depth: int) -> np.ndarray:
-    """One 64-bit key per table from labelled k-mers ``s``."""
+def _smallest(s: np.ndarray, tables: int, depth: int) -> np.ndarray:
+    """The k-mers of smallest hashes in text order, one row per table."""
     seeds, n = _seeds(tables), len(s)
     d = min(depth, n)
-    keys = np.zeros(tables, "<u8")
+    if d == n:
+        return np.broadcast_to(s, (tables, n))
+    out = np.empty((tables, d), "<u8")
     step = max(1, 2_000_000 // n)
     for lo in range(0, tables, step):
         rank = s[None, :] * seeds[lo : lo + step, None]
         rank ^= rank >> np.uint64(32)
-        at = np.argpartition(rank, d - 1, axis=1)[:, :d] if d < n else np.broadcast_to(np.arange(n), (len(rank), n)).copy()
+        at = np.argpartition(rank, d - 1, axis=1)[:, :d]
         at.sort(axis=1)  # text order
-        key = seeds[lo : lo + step].copy()
-        for i in range(d):
-            key = mix(key * np.uint64(_P) + s[at[:, i]])
-        keys[lo : lo + step] = key
-    return keys
+        out[lo : lo + step] = s[at]
+    return out
+
+
+def _keyed(drawn: np.ndarray, tag: int = 0) -> np.ndarray:
+    key = _seeds(len(drawn)) + np.array([tag], "<u8")
+    for i in range(drawn.shape[1]):
+        key = mix(key * np.uint64(_P) + drawn[:, i])
+    return key
+
+
+def order_minhash(s: np.ndarray, tables: int, depth: int) -> np.ndarray:
+    """One 64-bit key per table from labelled k-mers ``s``."""
+    return _keyed(_smallest(s, tables, depth))
+
+
+def sketch_keys(s: np.ndarray, tables: int, depth: int, short: int = 16) -> tuple[np.ndarray, int]:
+    """Bucket keys of a text's k-mers ``s``, so that both measures of :func:`similarity` have candidates; how many k-mers differ.
+
+    Labelled k-mers serve the labelled measure.  A text that repeats k-mers also has keys over its first
+    occurrences, which meet those of a text without repeats, and keys over the same k-mers in the order of their
+    values, as a chain of two texts with repeats need not follow their first occurrences.  Texts of at most
+    ``short`` k-mers also have keys of half the depth: among so few, ``depth`` shared ones are rarely all smallest.
+    """
+    lab, half = labelled(s), max(1, depth // 2)
+    once = s[lab == s]  # in the order in which they first occur
+    out = [order_minhash(lab, tables, depth)]
+    if len(s) <= short:
+        out.append(_keyed(_smallest(lab, tables, half), 1))
+    if len(once) < len(s):
+        for d in (depth, half) if len(once) <= short else (depth,):
+            drawn = _smallest(once, tables, d)
+            out += [_keyed(drawn, d != depth), _keyed(np.sort(drawn, axis=1), 2 + (d != depth))]
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0], len(once)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, k: int, least: float) -> float:
@@ -128,7 +159,13 @@ def prepared(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def chained(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
-    """:func:`similarity` of prepared texts."""
+    """:func:`similarity` of prepared texts, in either order: of equally long chains the one found may hold fewer distinct k-mers."""
+    found = _chained(x, y, least)
+    repeats = all(len(s) > len(d) for s, _, d in (x, y))
+    return max(found, _chained(y, x, least)) if repeats and 0 < found < least else found
+
+
+def _chained(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
     (sa, la, da), (_, lb, db) = x, y
     both = len(la) + len(lb)
     shared = len(np.intersect1d(da, db, assume_unique=True))
@@ -204,8 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
             for text in pdf["text"]:
                 w = words(text)
                 s = shingles(word_hashes(w), k)
-                nodes.append(_node(w, text)), sizes.append(len(s)), kinds.append(len(np.unique(s)))
-                keys.append(order_minhash(labelled(s), tables, depth).view("<i8") if w else [])
+                found, n = sketch_keys(s, tables, depth) if w else (s, 0)
+                nodes.append(_node(w, text)), sizes.append(len(s)), kinds.append(n), keys.append(found.view("<i8"))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "keys": keys, "size": sizes, "kinds": kinds})
 
     # doc_id travels as text: a null among longs would turn them into floats

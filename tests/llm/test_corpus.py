@@ -187,6 +187,31 @@ def test_a_star_of_edited_copies_is_one_class(spark):
     assert {r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0}
 
 
+def test_repeated_passages_and_short_texts_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for g in range(12):
+        passage = [f"p{g}x{i}" for i in range(20)]
+        texts += [" ".join(passage * n) for n in (1, 2, 10, 40)]
+        texts.append(" ".join((passage[10:] + passage[:10]) * 5))
+        texts.append(" ".join(passage[:-1] + ["edited"]) + " " + " ".join(passage * 20))
+    for g in range(400):  # four and five k-mers
+        short = [f"s{g}x{i}" for i in range(9)]
+        texts += [" ".join(short), " ".join(short[:8])]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    made = [neardup.word_hashes(words(t)) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            # other families share no word
+            if texts[i].split("x")[0] == texts[j].split("x")[0] and want[i] != want[j] and neardup.similarity(made[i], made[j], 5, 0.8) >= 0.8:
+                x, y = sorted((want[i], want[j]))
+                want = [x if w == y else w for w in want]
+    assert got == dict(enumerate(want))
+
+
 def test_similarity_respects_order():
     h = lambda t: neardup.word_hashes(words(t))
     a = " ".join(f"w{i}" for i in range(100))
