@@ -6,15 +6,19 @@ smallest hashes under that table's permutation and keeps them in text order, so
 in a table when they share those k-mers in the same order: a probe for edit similarity.  Texts that
 agree in a table meet in a bucket.
 
-Equal texts are one node.  A bucket is not expanded into pairs at once: its members are compared with a few
+Equal texts are one node.  A bucket is not expanded into pairs: its members are compared with a few
 leaders of other components, the links so found are closed into components, and the leaders retire.  The next
 round takes four times as many leaders, first one of each component, and of those the ones with most links
-(hubs).  This goes on until every bucket is closed: its members that never led lie in one component, so that
-each pair of a bucket is linked, tested, or excluded because the sizes alone keep it below the threshold.
-Pairs are verified on whole texts: the shared labelled
-k-mers within the band that the threshold allows are chained in the order of both texts, and the chain's
-length decides.  Two texts link if chain / (k-mers of both - chain) is at least ``least``, counted
-with labels or over distinct k-mers.
+(hubs), as long as a good share of the compared pairs links.  A bucket is then open while members that never led lie
+in several components.  All members of open buckets are joined at last by their rarest k-mers: of two similar
+texts the shared k-mers are so many that one stands early in both when each text's k-mers are ordered by rarity,
+and its places and the two sizes bound what they can share.  So each pair of a bucket is linked, tested,
+or excluded by an exact bound, and edited copies that share no more than a common passage are never paired.
+Pairs are verified on whole texts by a banded alignment of their labelled k-mers: a match scores one, a gap
+nothing, and cells farther from the diagonal than the threshold allows are never visited.  As a labelled k-mer
+stands once in a text, the matrix has at most one match in a row and in a column, so the best path
+through the band is the longest chain of matches that rises in both texts.  Two texts link if
+aligned / (k-mers of both - aligned) is at least ``least``, counted with labels or over distinct k-mers.
 """
 
 from __future__ import annotations
@@ -149,7 +153,7 @@ def sketch_keys(s: np.ndarray, tables: int, depth: int, short: int = 16) -> tupl
 
 def similarity(a: np.ndarray, b: np.ndarray, k: int, least: float) -> float:
     """Similarity of two texts given as word hashes; 0 as soon as it must be below ``least``."""
-    return chained(prepared(a, k), prepared(b, k), least)
+    return aligned(prepared(a, k), prepared(b, k), least)
 
 
 def prepared(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,26 +162,27 @@ def prepared(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return s, labelled(s), np.unique(s)
 
 
-def chained(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
-    """:func:`similarity` of prepared texts, in either order: of equally long chains the one found may hold fewer distinct k-mers."""
-    found = _chained(x, y, least)
+def aligned(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
+    """:func:`similarity` of prepared texts, in either order: of equally good paths the one found may hold fewer distinct k-mers."""
+    found = _banded(x, y, least)
     repeats = all(len(s) > len(d) for s, _, d in (x, y))
-    return max(found, _chained(y, x, least)) if repeats and 0 < found < least else found
+    return max(found, _banded(y, x, least)) if repeats and 0 < found < least else found
 
 
-def _chained(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
+def _banded(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> float:
     (sa, la, da), (_, lb, db) = x, y
     both = len(la) + len(lb)
     shared = len(np.intersect1d(da, db, assume_unique=True))
     _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
     if len(ia) < least * (both - len(ia)) and shared < least * (len(da) + len(db) - shared):
         return 0.0
+    # matches within the band, by their row; a path that leaves it has too many gaps
     band = (1 - least) / (1 + least) * both
     near = np.abs(ia - ib) <= band
     ia, ib = ia[near], ib[near]
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order].tolist()
-    # longest chain that rises in both texts
+    # best path: the least column at which a path of each length ends
     tails: list[int] = []
     tail_at: list[int] = []
     before = [-1] * len(ib)
@@ -226,6 +231,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "comp")
 
 
+#: What names a row's document and text wherever it is read again: the id, whether it has none, 128 bits of its text.
+NAME = ("d", "nameless", "t1", "t2")
+
+
+def _name(doc_id: str, text: str) -> list[Column]:
+    d = F.col(doc_id).cast("long")
+    return [F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("nameless"), F.xxhash64(F.lit(5), text).alias("t1"), F.xxhash64(F.lit(11), text).alias("t2")]
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int = 20, depth: int = 4) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size.
 
@@ -234,6 +248,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
     doc_id stays null, and a class of such documents alone has a null class_id.
     """
     texts = take(docs, "doc_id", "text")
+    prep, member = _classes(texts, k, least, tables, depth)
+    heads = member.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+    classes = member.select("node", "comp").join(heads, "comp").select("node", "class_id", "class_size")
+    out = prep.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_size")
+    return out.unionByName(texts.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+
+
+def _classes(texts: DataFrame, k: int, least: float, tables: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a text (doc_id, its name, node), and nodes with their class (node, first_id, n, comp)."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -243,13 +266,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
                 s = shingles(word_hashes(w), k)
                 found, n = sketch_keys(s, tables, depth) if w else (s, 0)
                 nodes.append(_node(w, text)), sizes.append(len(s)), kinds.append(n), keys.append(found.view("<i8"))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "keys": keys, "size": sizes, "kinds": kinds})
+            yield pd.DataFrame({c: pdf[c] for c in NAME} | {"node": nodes, "keys": keys, "size": sizes, "kinds": kinds})
 
-    # doc_id travels as text: a null among longs would turn them into floats
-    as_text = F.col("doc_id").cast("string").alias("doc_id")
-    drawn = texts.where("text is not null").select(as_text, "text").mapInPandas(sketch, "doc_id string, node long, keys array<long>, size long, kinds long")
-    prep = stored(drawn.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
-    nodes = stored(prep.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("keys", "size", "kinds"))), "nodes")
+    drawn = texts.where("text is not null").select(*_name("doc_id", "text"), "text")
+    drawn = drawn.mapInPandas(sketch, "d long, nameless boolean, t1 long, t2 long, node long, keys array<long>, size long, kinds long")
+    prep = stored(drawn.withColumn("doc_id", F.when(~F.col("nameless"), F.col("d"))), "sketches")
+    first_row = F.min(F.struct(*NAME)).alias("row")
+    nodes = stored(prep.groupBy("node").agg(F.min("doc_id").alias("first_id"), first_row, F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("keys", "size", "kinds"))), "nodes")
     bucketed = nodes.select("node", "size", "kinds", F.explode(F.array_distinct("keys")).alias("bucket"))
     # only buckets with company matter
     crowd = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -258,9 +281,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
     found: DataFrame | None = None
     tried: DataFrame | None = None
     labels: DataFrame | None = None
-    active, n_leaders = rows, 2
+    active, n_leaders, fruitful = rows, 2, True
+    within = lambda c: F.least(c, f"lead_{c}") >= least * F.greatest(c, f"lead_{c}") - 1e-6
     while True:
-        # a bucket is open while members that never led lie in several components
         if labels is None:
             named = active.withColumns({"comp": F.col("node"), "degree": F.lit(0).cast("long")})
         else:
@@ -269,55 +292,101 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
         named = stored(named.join(bounds, "bucket"), "open")
         if named.isEmpty():
             break
-        order = (F.desc("degree"), _hash("node"), "node")
-        lead = named.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*order))).where(F.col("turn") <= n_leaders)
-        lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", *order))).where(F.col("place") <= n_leaders)
-        lead = stored(lead.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("node", "comp", "size", "kinds"))), "leaders")
-        within = lambda c: F.least(c, f"lead_{c}") >= least * F.greatest(c, f"lead_{c}") - 1e-6
-        pairs = named.join(lead, "bucket").where("comp <> lead_comp").where(within("size") | within("kinds"))
-        pairs = pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if fruitful:
+            order = (F.desc("degree"), _hash("node"), "node")
+            lead = named.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*order))).where(F.col("turn") <= n_leaders)
+            lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", *order))).where(F.col("place") <= n_leaders)
+            lead = stored(lead.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("node", "comp", "size", "kinds"))), "leaders")
+            pairs = named.join(lead, "bucket").where("comp <> lead_comp").where(within("size") | within("kinds"))
+            pairs = pairs.select(F.least("node", "lead_node").alias("a"), F.greatest("node", "lead_node").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        else:
+            pairs = _rare_pairs(named.select("node", "comp").distinct(), hashed, k, least)
         pairs = stored(pairs, "pairs")
         links = stored(_verified(pairs, hashed, k, least), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        active = named.select(*rows.columns).join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
-        n_leaders *= 4
-        if not links.isEmpty():
+        n_links = links.count()
+        if n_links:
             found = links if found is None else found.unionByName(links)
             degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
             labels = stored(components(found).join(degree, "node"), "labels")
+        if not fruitful:
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        active = named.select(*rows.columns).join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
+        # what follows finds the same links; this only chooses the cheaper way to the next ones
+        n_leaders, fruitful = n_leaders * 4, n_leaders == 2 or n_links > 0.1 * pairs.count()
     member = nodes.select("node", "first_id", "n")
-    member = member.withColumn("comp", F.col("node")) if labels is None else member.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    heads = member.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    classes = member.select("node", "comp").join(heads, "comp").select("node", "class_id", "class_size")
-    out = prep.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_size")
-    return out.unionByName(texts.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    if labels is None:
+        return prep, member.withColumn("comp", F.col("node"))
+    return prep, member.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _word_table(texts: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Word hashes of the nodes that share a bucket with another."""
-    wanted = rows.select("node").distinct().join(nodes.select("node", "first_id"), "node").select("node", F.col("first_id").alias("wanted_id"))
+    """Word hashes of the nodes that share a bucket with another, each from one row that it names: rows that share a
+    doc_id, or have none, meet only where their texts are equal too."""
+    wanted = rows.select("node").distinct().join(nodes.select("node", "row.*"), "node")
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for pdf in batches:
             nodes_, out = [], []
             for node, text in zip(pdf["node"], pdf["text"], strict=True):
-                w = words(text)
-                if _node(w, text) == node:  # one doc_id may stand for several texts
+                if node == last:  # a row repeated with its id: the join brings its copies one after another
+                    continue
+                last, w = node, words(text)
+                if _node(w, text) == node:  # should two texts share a name
                     nodes_.append(node)
                     out.append((word_hashes(w) >> np.uint64(32)).astype("<u4").tobytes())
             yield pd.DataFrame({"node": nodes_, "hashes": out})
 
-    held = texts.where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+    held = texts.where("text is not null").select(*_name("doc_id", "text"), "text").join(wanted, list(NAME)).select("node", "text")
     return stored(held.mapInPandas(hashes, "node long, hashes binary").dropDuplicates(["node"]), "hashes")
 
 
+def _loaded(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return prepared(mix(np.frombuffer(raw, "<u4").astype("<u8")), k)
+
+
+def _rare_pairs(nodes: DataFrame, hashed: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, comp) of different components that may be similar: every similar pair, by a
+    prefix-filtered set join, once over labelled and once over distinct k-mers.
+
+    Of sizes m and n at least r * (m + n) k-mers must be shared, r = least / (1 + least).  If the rarest shared one
+    stands at place i of a text of m, at most m - i are shared, so n is at most ``reach`` = (m - i) / r - m; the
+    same holds the other way round.  A k-mer that one text alone holds needs no place in the join.
+    """
+    r = least / (1 + least)
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, comp, raw in zip(pdf["node"], pdf["comp"], pdf["hashes"], strict=True):
+                _, lab, kinds = _loaded(raw, k)
+                both = [lab.view("<i8"), kinds.view("<i8")]
+                yield pd.DataFrame({"node": node, "comp": comp, "side": [0, 1], "size": [len(x) for x in both], "held": both})
+
+    rows = nodes.join(hashed, "node").select("node", "comp", "hashes").mapInPandas(sets, "node long, comp long, side int, size long, held array<long>")
+    rows = stored(rows.select("node", "comp", "side", "size", F.explode("held").alias("gram")), "grams")
+    often = rows.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("side", "node").orderBy("often", "gram")) - 1
+    posts = rows.join(often, ["side", "gram"]).withColumn("place", place).where("often > 1")
+    posts = posts.withColumn("reach", (F.col("size") - F.col("place")) / r - F.col("size") + 1e-6).where(F.col("reach") >= least * F.col("size"))
+    posts = stored(posts.select("side", "gram", "node", "comp", "size", "reach"), "posts")
+    # the larger text looks for smaller ones that reach up to it
+    low = posts.where("reach >= size").groupBy("side", "gram").agg(F.min("size").alias("least_size"), F.max("reach").alias("most_reach"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    large = posts.join(low, ["side", "gram"]).where("(lo <> comp or hi <> comp) and least_size <= reach and most_reach >= size")
+    large = large.select("side", "gram", *(F.col(c).alias(f"large_{c}") for c in ("node", "comp", "size", "reach")))
+    meets = (F.col("comp") != F.col("large_comp")) & (F.col("size") <= F.col("large_size")) & (F.col("size") <= F.col("large_reach")) & (F.col("large_size") <= F.col("reach"))
+    named = posts.withColumnsRenamed({"side": "s", "gram": "g"}).where("reach >= size")
+    found = large.join(named, (F.col("side") == F.col("s")) & (F.col("gram") == F.col("g")) & meets)
+    return found.select(F.least("node", "large_node").alias("a"), F.greatest("node", "large_node").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, hashed: DataFrame, k: int, least: float) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load = lru_cache(32)(lambda raw: prepared(mix(np.frombuffer(raw, "<u4").astype("<u8")), k))
+        load = lru_cache(32)(lambda raw: _loaded(raw, k))
         for pdf in batches:
-            good = [chained(load(x), load(y), least) >= least for x, y in zip(pdf["ha"], pdf["hb"], strict=True)]
+            good = [aligned(load(x), load(y), least) >= least for x, y in zip(pdf["ha"], pdf["hb"], strict=True)]
             yield pdf.loc[good, ["a", "b"]]
 
     ha = hashed.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
@@ -325,15 +394,20 @@ def _verified(pairs: DataFrame, hashed: DataFrame, k: int, least: float) -> Data
     return pairs.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInPandas(check, "a long, b long")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each near-duplicate class, that of the smallest doc_id, with all its columns.
+def keep_one(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int = 20, depth: int = 4) -> DataFrame:
+    """One row of each near-duplicate class, with all its columns: the one of the smallest doc_id (a row without an id
+    only where no row of the class has one), and of those the one whose text's hash is smallest.
 
-    Rows that repeat a doc_id are one document.  Rows without a doc_id cannot be named by a class: of
-    those, equal texts are one.
+    Every row is a document, whatever its id: rows that share a doc_id go only where their texts are of one class.
+    A null text is a class of its own, so such a row always stays.  An empty table stays empty; columns of any
+    name, clashing ones too, pass through.
     """
-    at, text = position(docs, "doc_id"), position(docs, "text")
-    rows, key = positional(docs), f"_c{at}"
-    heads = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias(key))
-    named = rows.join(heads, key, "left_semi").select(*rows.columns).dropDuplicates([key])
-    nameless = rows.where(F.col(key).isNull()).dropDuplicates([f"_c{text}"])
-    return restored(named.unionByName(nameless), docs.columns)
+    names, at, text = docs.columns, f"_c{position(docs, 'doc_id')}", f"_c{position(docs, 'text')}"
+    rows = positional(docs)
+    prep, member = _classes(take(docs, "doc_id", "text"), k, least, tables, depth)
+    best = F.min(F.struct("nameless", "d", "t1", "t2")).alias("h")
+    heads = prep.select(*NAME, "node").join(member.select("node", "comp"), "node").groupBy("comp").agg(best).select("h.*")
+    # repeats of a row collapse before the shuffle; the join then finds its keys where they are
+    one = rows.where(F.col(text).isNotNull()).select("*", *_name(at, text)).dropDuplicates(list(NAME))
+    kept = one.join(heads, list(NAME), "left_semi").select(*rows.columns)
+    return restored(kept.unionByName(rows.where(F.col(text).isNull())), names)
