@@ -2,18 +2,22 @@
 
 A chromosome is a set of bins.  Crossover injects whole well-filled bins of one parent into the
 other, drops the bins that now hold an item twice, and best-fits the items so displaced.  Pieces are
-dealt to islands of bounded size by a hash, each island evolves alone, and its badly filled bins
-go with the best bin patterns (multisets of lengths) of its ring neighbour to a second round on
-merged islands, where those patterns are realised with local pieces and join the population.
+dealt to islands of bounded size by a hash of a row number, and each island evolves alone.  Then its
+well-filled bins are closed, and the pieces of the others migrate to fewer islands, together with the best
+bin patterns (multisets of lengths, the elites) of a ring neighbour, which are realised with local pieces
+and join the population there.  Rounds follow one another until one island is left or a round closes too little.
 
 Island size does not depend on the input, so memory and time per task are constant and the number of
-islands grows with the corpus.  No key of the data chooses an island: a hot source is spread evenly.
+islands grows with the corpus.  The row number is given to the stored pieces, so neither a hot source nor repeated or
+missing ids gather in an island.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -129,58 +133,58 @@ def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.ran
     return best_fit_decreasing(lengths, loose, capacity, [x for k, x in enumerate(bins) if k not in gone])
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[tuple[int, ...]] = (), population: int = 6, generations: int = 24, width: int = 240) -> list[list[int]]:
+def realised(patterns: list[tuple[int, ...]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """A chromosome that holds each pattern that the items can fill, with best fit decreasing for the rest."""
+    shelf: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        shelf.setdefault(n, []).append(i)
+    kept = []
+    for pattern in patterns:
+        need = Counter(pattern)
+        if all(len(shelf.get(n, ())) >= c for n, c in need.items()):
+            kept.append([shelf[n].pop() for n in pattern])
+    rest = sorted((i for held in shelf.values() for i in held), key=lambda i: -lengths[i])
+    return best_fit_decreasing(lengths, rest, capacity, kept)
+
+
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[tuple[int, ...]] = (), population: int = 6, generations: int = 24, full: float = 0.995) -> list[list[int]]:
     """Bins (lists of item numbers) for one island.
 
     Best fit decreasing starts; where it meets the lower bound nothing is left to gain.  Otherwise
-    the ``width`` emptiest bins evolve and the others, well filled, stay whole.  ``elites`` are
-    patterns of a neighbour: lengths that fill a bin together.
+    the bins filled below ``full`` evolve, all of them; the others stay whole.  ``elites`` are
+    patterns of a neighbour, lengths that fill a bin together: one chromosome of the population is built from them.
     """
-    n, by_size = len(lengths), lambda i: -lengths[i]
+    n = len(lengths)
     if not n:
         return []
-    best = best_fit_decreasing(lengths, sorted(range(n), key=by_size), capacity)
-    if elites:
-        shelf: dict[int, list[int]] = {}
-        for i in range(n):
-            shelf.setdefault(lengths[i], []).append(i)
-        kept = []
-        for pattern in elites:
-            got = []
-            for m in pattern:
-                if not shelf.get(m):
-                    break
-                got.append(shelf[m].pop())
-            if len(got) == len(pattern):
-                kept.append(got)
-            else:
-                for i in got:
-                    shelf[lengths[i]].append(i)
-        other = best_fit_decreasing(lengths, sorted((i for s in shelf.values() for i in s), key=by_size), capacity, kept)
-        best = max(best, other, key=lambda x: fitness(x, lengths, capacity))
+    best = best_fit_decreasing(lengths, sorted(range(n), key=lambda i: -lengths[i]), capacity)
     if len(best) <= lower_bound(lengths, capacity):
         return best
-    best = sorted(best, key=lambda b: sum(lengths[i] for i in b))
-    loose, full = best[:width], best[width:]
+    fill = [sum(lengths[i] for i in b) for b in best]
+    done = [b for b, f in zip(best, fill, strict=True) if f >= full * capacity]
+    loose = [b for b, f in zip(best, fill, strict=True) if f < full * capacity]
     items = [i for b in loose for i in b]
     sub = [lengths[i] for i in items]
     bound = lower_bound(sub, capacity)
     rng = np.random.default_rng(seed)
     number = {i: k for k, i in enumerate(items)}
     pop = [[[number[i] for i in b] for b in loose]]
+    if elites:
+        pop.append(realised(elites, sub, capacity))
     while len(pop) < population:
         noise = rng.normal(0, 0.05 * capacity, len(sub))
         pop.append(best_fit_decreasing(sub, sorted(range(len(sub)), key=lambda i: -(sub[i] + noise[i])), capacity))
-    rate = lambda x: fitness(x, sub, capacity)
+    rated = sorted(((fitness(x, sub, capacity), x) for x in pop), key=lambda r: r[0], reverse=True)
     for _ in range(generations):
-        pop.sort(key=rate, reverse=True)
-        if len(pop[0]) <= bound:
+        if -rated[0][0][0] <= bound:
             break
-        i, j = rng.integers(0, len(pop), 2).tolist()
-        child = mutate(crossover(pop[min(i, j)], pop[max(i, j)], sub, capacity, rng), sub, capacity, rng)
-        if rate(child) > rate(pop[-1]):
-            pop[-1] = child
-    return full + [[items[k] for k in b] for b in max(pop, key=rate)]
+        i, j = sorted(rng.integers(0, len(rated), 2).tolist())
+        child = mutate(crossover(rated[i][1], rated[j][1], sub, capacity, rng), sub, capacity, rng)
+        rate = fitness(child, sub, capacity)
+        if rate > rated[-1][0]:
+            rated[-1] = (rate, child)
+            rated.sort(key=lambda r: r[0], reverse=True)
+    return done + [[items[k] for k in b] for b in rated[0][1]]
 
 
 def _islands(df: DataFrame, capacity: int, first_number: int, close_at: float, n_elites: int) -> DataFrame:
@@ -195,7 +199,7 @@ def _islands(df: DataFrame, capacity: int, first_number: int, close_at: float, n
         elites = [tuple(p) for p in table.filter(is_elite)["elite"].to_pylist()]
         table = table.filter(pc.invert(is_elite))
         lengths = table["length"].to_pylist()
-        bins = evolve(lengths, capacity, island, elites)
+        bins = evolve(lengths, capacity, island, elites, full=close_at)
         seq, off, still = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64"), np.zeros(len(lengths), bool)
         patterns: dict[tuple[int, ...], None] = {}
         for b, held in enumerate(bins):
@@ -219,26 +223,34 @@ def _islands(df: DataFrame, capacity: int, first_number: int, close_at: float, n
     return df.groupBy("island").applyInArrow(solve, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, island_size: int = 4096, merge: int = 8, close_at: float = 0.995, n_elites: int = 32) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, island_size: int = 4096, close_at: float = 0.995, n_elites: int = 32) -> DataFrame:
     """Place pieces (rows with ``length`` from 1 to ``capacity``) in as few sequences as the method finds.
 
     Adds ``sequence_id`` (any numbers) and ``offset`` (gapless from 0 in each sequence) to all columns
-    of ``pieces``; ``elite``, ``island`` and ``open`` are reserved names.  Equal lengths are
-    interchangeable, repeated rows are placed each, an empty input gives an empty result.
+    of ``pieces``; ``elite``, ``island``, ``open`` and ``row`` are reserved names.  Equal lengths are
+    interchangeable; repeated rows, and rows without an id, are placed each; an empty input gives an empty result.
+    Islands hold seven eighths of ``island_size`` on average, so that the largest stays below it.
     """
     cols = pieces.columns
-    pieces = stored(pieces, "pieces")
-    n = max(1, math.ceil(pieces.count() / island_size))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(n))
-    first = pieces.withColumn("island", salt).withColumn("elite", F.lit(None).cast("array<int>"))
-    first = stored(_islands(first, capacity, 0, close_at, n_elites), "islands")
-    closed = first.where("elite is null and not open").select(*cols, "sequence_id", "offset")
-    m = max(1, math.ceil(n / merge))
-    # leftovers of `merge` islands meet; elites go on to the next island of the ring
-    left = first.where("open and elite is null").select(*cols, F.pmod("island", F.lit(m)).alias("island"), "elite")
-    elites = first.where("elite is not null").select(*cols, F.pmod(F.col("island") + 1, F.lit(m)).alias("island"), "elite")
-    second = _islands(left.unionByName(elites), capacity, n, 2.0, 0)
-    return closed.unionByName(second.where("elite is null").select(*cols, "sequence_id", "offset"))
+    left = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    elites: DataFrame | None = None
+    closed, first_number, before = [], 0, None
+    while True:
+        size = left.count()
+        n = max(1, math.ceil(size / (island_size * 7 / 8)))
+        last = before is not None and n > before / 2  # the round before closed less than half
+        spread = left.select(*cols, "row", F.pmod(F.xxhash64(F.lit(first_number), "row"), F.lit(n)).alias("island"), F.lit(None).cast("array<int>").alias("elite"))
+        if elites is not None:  # on to the next island of the ring
+            spread = spread.unionByName(elites.withColumn("island", F.pmod(F.col("island") + 1, F.lit(n))))
+        now = stored(_islands(spread, capacity, first_number, close_at, n_elites), "islands")
+        placed = now.where("elite is null")
+        if n == 1 or last:
+            closed.append(placed.select(*cols, "sequence_id", "offset"))
+            return reduce(DataFrame.unionByName, closed)
+        closed.append(placed.where("not open").select(*cols, "sequence_id", "offset"))
+        left = placed.where("open").select(*cols, "row")
+        elites = now.where("elite is not null").select(*cols, "row", "island", "elite")
+        first_number, before = first_number + n, n
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
