@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,13 +28,13 @@ from .common import stored, take
 class Block:
     """Sorted lists over a block of integer vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
+        self.ids, self.rows, self.vectors = ids, rows, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")  # ascending, one column per dimension
         self.sorted = np.take_along_axis(vectors, self.order, axis=0)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int]], first: int = 32) -> list[tuple[int, int]]:
-        """``best`` (pairs of -score, id, ascending, at most k) improved by this block."""
+    def search(self, query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int, int]], first: int = 32) -> list[tuple[int, int, int]]:
+        """``best`` (-score, id and row, ascending, at most k) improved by this block."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         used = np.concatenate((up, down))
@@ -56,10 +57,8 @@ class Block:
                     kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                     keep = scores >= kth
                     at, scores = at[keep], scores[keep]
-                more = [(-int(s), int(i)) for s, i in zip(scores, self.ids[at], strict=True)]
-                if len(more) > k:
-                    more.sort()
-                best = sorted(set(best) | set(more))[:k]
+                more = [(-int(s), int(i), int(r)) for s, i, r in zip(scores, self.ids[at], self.rows[at], strict=True)]
+                best = sorted(best + more)[:k]
             depth, step = to, step * 2
             if depth < n and len(best) == k:
                 bound = self.sorted[n - depth, up] @ query[up] + self.sorted[depth - 1, down] @ query[down]
@@ -69,63 +68,65 @@ class Block:
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id and array<long> of floor(scale * x); vectors that are null, empty or hold null or non-finite components go."""
+    """row, id and array<long> of floor(scale * x); rows go whose id is null or whose vector is null, empty or holds null or
+    non-finite components."""
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = take(df, id_col, vec_col).toDF("id", "raw").select("id", F.col("raw").cast("array<double>").alias("vec"))
-    return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(~bad).select("id", F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"))
+    return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(~bad).select(F.monotonically_increasing_id().alias("row"), "id", F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, query_block: int = 4096, block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), the candidate's id as ``vec_id``, score: each query's ``k`` highest inner products.
 
-    A query is not its own candidate; fewer than k candidates give fewer rows; equal scores go to the
-    smaller id.  Vectors of a length other than the query's take no part in its answer.  Of rows that
-    repeat an id each counts as a candidate once per distinct vector, the best score first.
+    Every row of ``vectors`` is a candidate but those of the query's own id, so rows that repeat another id count each.  Every
+    row of ``queries`` is a query: one that repeats an id has an answer of its own.  Fewer than k candidates give fewer
+    rows; equal scores go to the smaller id.  Vectors of a length other than the query's take no part in its
+    answer.  Other columns are not read; an empty table on either side gives an empty result.
     """
     spark = vectors.sparkSession
     cand = stored(quantised(vectors, id_col, vec_col, scale), "vectors")
     asked = stored(quantised(queries, id_col, vec_col, scale), "queries")
-    n_sets = max(1, math.ceil(asked.count() / query_block))
-    parts = [_one_set(cand, asked.where(F.pmod(F.xxhash64("id"), F.lit(n_sets)) == s) if n_sets > 1 else asked, k, block, spark) for s in range(n_sets)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    n_sets = max(1, math.ceil(asked.count() / (query_block * 7 / 8)))
+    parts = [_one_set(cand, asked.where(F.pmod(F.xxhash64("row"), F.lit(n_sets)) == s) if n_sets > 1 else asked, k, block, spark) for s in range(n_sets)]
+    # a candidate row is read by one task of a set alone, so no task's answers repeat another's
+    found = reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _one_set(cand: DataFrame, asked: DataFrame, k: int, block: int, spark) -> DataFrame:
-    rows = [(r["id"], np.array(r["vec"], "int64")) for r in asked.collect()]  # at most about query_block rows
+    rows = [(r["id"], np.array(r["vec"], "int64"), r["row"]) for r in asked.collect()]  # at most query_block rows
     held = spark.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries = held.value
-        best: list[list[tuple[int, int]]] = [[] for _ in queries]
+        best: list[list[tuple[int, int, int]]] = [[] for _ in queries]
 
-        def work(ids: list, vecs: list) -> None:
+        def work(ids: list, own: list, vecs: list) -> None:
             for d in {len(v) for v in vecs}:
                 at = [i for i, v in enumerate(vecs) if len(v) == d]
                 m = np.stack([vecs[i] for i in at]).astype("float64")
                 # float64 holds every integer that a score of realistic vectors can reach; else exact integers
-                exact = np.abs(m).max() ** 2 * d < 2**52 and all(len(q) != d or np.abs(q).max() * np.abs(m).max() * d < 2**52 for _, q in queries)
-                b = Block(np.array([ids[i] for i in at], "int64"), m if exact else m.astype("int64"))
-                for j, (qid, q) in enumerate(queries):
+                exact = np.abs(m).max() ** 2 * d < 2**52 and all(len(q) != d or np.abs(q).max() * np.abs(m).max() * d < 2**52 for _, q, _ in queries)
+                b = Block(np.array([ids[i] for i in at], "int64"), np.array([own[i] for i in at], "int64"), m if exact else m.astype("int64"))
+                for j, (qid, q, _) in enumerate(queries):
                     if len(q) == d:
                         best[j] = b.search(qid, q.astype(b.vectors.dtype), k, best[j])
 
         ids: list = []
+        own: list = []
         vecs: list = []
         for pdf in batches:
             ids += pdf["id"].tolist()
+            own += pdf["row"].tolist()
             vecs += pdf["vec"].tolist()
             if len(ids) >= block:
-                work(ids, vecs)
-                ids, vecs = [], []
+                work(ids, own, vecs)
+                ids, own, vecs = [], [], []
         if ids:
-            work(ids, vecs)
-        out = [(qid, i, -s) for (qid, _), b in zip(queries, best, strict=True) for s, i in b]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            work(ids, own, vecs)
+        out = [(qrow, qid, i, r, -s) for (qid, _, qrow), b in zip(queries, best, strict=True) for s, i, r in b]
+        yield pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "row", "score"]).astype("int64")
 
-    return cand.mapInPandas(run, "query_id long, vec_id long, score long")
+    return cand.mapInPandas(run, "query_row long, query_id long, vec_id long, row long, score long")
