@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,33 +83,59 @@ def ratios(counts: dict[tuple[bool, str], int], add: float = 0.5) -> list[int]:
     return out
 
 
-def _spans(kind: str, pattern: str, keep) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(values: Column, block: int = 512) -> Column:
+    """An array cut into arrays of ``block`` elements; none of an empty one."""
+    n = F.size(values)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda i: F.slice(values, i * block + 1, F.lit(block)))
+    return F.when(n > 0, cut).otherwise(F.slice(F.array(values), 1, 0))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of the associative ``op`` over integers.  An array that grows by one is copied each time, so
+    blocks are folded alone and then moved on by the result of the blocks before: n times the block's size, not n squared."""
+    last = lambda arr: F.get(arr, F.size(arr) - 1)
+    none = F.array().cast("array<int>")
+    fold = lambda arr: F.aggregate(arr, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, op(last(acc), x)).otherwise(x))))
+
+    def moved(parts: Column) -> Column:
+        return _let(fold(F.transform(parts, last)), lambda heads: F.flatten(F.transform(parts, lambda part, i: F.transform(part, lambda x: F.when(i > 0, op(F.get(heads, i - 1), x)).otherwise(x)))))
+
+    return _let(F.transform(_blocks(values), fold), moved)
+
+
+def _spans(kind: str, pattern: str, keep: Callable[[Column], Column]) -> Column:
     """Spans of the leftmost non-overlapping matches in ``text``.  The pieces between matches give the places."""
-    rank = KINDS.index(kind)
-    found = F.col(f"m_{kind}")
-    gaps = F.split("text", pattern, -1)
-    start = F.lit(0)
-    state = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        span = F.struct(s.alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(e.alias("at"), F.when(keep(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    rank, found = KINDS.index(kind), F.col(f"m_{kind}")
+    gaps = F.slice(F.split("text", pattern, -1), 1, F.size(found))
+    ends = _running(F.zip_with(gaps, found, lambda g, h: F.length(g) + F.length(h)), lambda x, y: x + y)
+
+    def span(end: Column, hit: Column) -> Column:
+        return F.when(keep(hit), F.struct((end - F.length(hit)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
 
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(zipped, state, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.size(found) > 0, F.array_compact(F.zip_with(ends, found, span))).otherwise(none)
 
 
 def _ratio(token: Column, table: Column) -> Column:
     """Sum of the table over a token's pairs, in thousandths."""
     k = len(ALPHABET)
-    code = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(token, i, F.lit(1))))
+    code = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
     step = lambda acc, c: F.struct((acc["sum"] + F.when(acc["prev"] > 0, F.get(table, (acc["prev"] - 1) * k + c - 1)).otherwise(0)).alias("sum"), c.alias("prev"))
     return F.aggregate(code, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("prev")), step, lambda acc: acc["sum"])
 
 
+def _clear_of(spans: Column, base: Column) -> Column:
+    """The ``spans`` that touch none of ``base`` (by start): whole blocks of it are passed over by their bounds."""
+    bound = lambda b: F.struct(b[0]["start"].alias("lo"), F.array_max(F.transform(b, lambda x: x["end"])).alias("hi"), b.alias("held"))
+    meets = lambda m, b: (b["lo"] < m["end"]) & (m["start"] < b["hi"]) & F.exists(b["held"], lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
+    return _let(F.transform(_blocks(base, 64), bound), lambda blocks: F.filter(spans, lambda m: ~F.exists(blocks, lambda b: meets(m, b))))
+
+
 def scan(docs: DataFrame, table: list[int], threshold: float = 0.4) -> DataFrame:
     """Adds to doc_id and text the spans: array of (start, rank, end, kind), by start, then kind as listed.
 
@@ -125,8 +152,9 @@ def _scanned(df: DataFrame, table: list[int], threshold: float) -> DataFrame:
     long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_LEAST
     always = lambda hit: F.lit(True)
     odd = lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & (_ratio(hit, model) >= F.lit(round(1000 * threshold)) * (F.length(hit) - 1))
-    df = df.select(*own, F.concat(_spans("assign", ASSIGN, long_enough), _spans("access", ACCESS, always), _spans("hex", HEX, always)).alias("base"), _spans("markov", TOKEN, odd).alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    base = F.array_sort(F.concat(_spans("assign", ASSIGN, long_enough), _spans("access", ACCESS, always), _spans("hex", HEX, always)))
+    df = df.select(*own, base.alias("base"), _spans("markov", TOKEN, odd).alias("more"))
+    free = F.when((F.size("base") > 0) & (F.size("more") > 0), _clear_of(F.col("more"), F.col("base"))).otherwise(F.col("more"))
     return df.select(*own, F.array_sort(F.concat("base", free)).alias("spans"))
 
 
@@ -134,16 +162,33 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each span, or run of spans that touch, replaced by ``mark``."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", page: int = 4096) -> Column:
+    """``text`` with each span, or run of spans that overlap, replaced by ``mark``; ``spans`` are in order of their starts.
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    A place in a text is found by counting from its start, so the text is cut into pages once and each kept
+    piece is taken from the pages that it lies on.
+    """
+    n = F.length(text)
+    pages = F.transform(F.sequence(F.lit(0), F.floor(n / page).cast("int")), lambda i: F.substring(text, i * page + 1, F.lit(page)))
+
+    def piece(held: Column, start: Column, end: Column) -> Column:
+        a, b = F.floor(start / page).cast("int"), F.floor(end / page).cast("int")
+        first = F.get(held, a)
+        one = F.substring(first, start % page + 1, end - start)
+        more = F.concat(F.substring(first, start % page + 1, F.lit(page)), F.array_join(F.slice(held, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(F.get(held, b), F.lit(1), end % page))
+        return F.when(end <= start, "").when(a == b, one).otherwise(more)
+
+    def cut(reach: Column) -> Column:
+        """Starts and ends of the pieces that stay: before each run of spans, and after the last."""
+        before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+        opens = F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] >= before(i)), F.struct(before(i).alias("start"), s["start"].alias("end"))))
+        tail = F.struct(F.get(reach, F.size(reach) - 1).alias("start"), n.alias("end"))
+        return F.concat(F.array_compact(opens), F.array(tail))
+
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    kept = _let(reach, cut)
+    joined_ = _let(pages, lambda held: F.array_join(F.transform(kept, lambda k: piece(held, k["start"], k["end"])), mark))
+    return F.when(F.size(spans) == 0, text).otherwise(joined_)
 
 
 def redact(docs: DataFrame, table: list[int], threshold: float = 0.4, mark: str = "[SECRET]") -> DataFrame:
