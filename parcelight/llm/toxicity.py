@@ -1,8 +1,9 @@
 """Toxicity by a learned lexicon, met through a Levenshtein automaton, and the context of each hit.
 
 The lexicon (words, and stems that stand at the start of words) is learned from labelled rows.  Its trie
-is intersected with the Levenshtein automaton of the term's allowed distance; the product is made
-deterministic lazily, so a word is read once, character by character, and most words leave it after a few.
+is intersected with the Levenshtein automaton of the term's allowed distance, which counts a swap of two neighbours as one
+edit; the product is made deterministic lazily, so a word is read once, character by character, and most words
+leave it after a few.  Digits and signs inside a word belong to it, so "id1ot" is one substitution away.
 Each hit is weighed by its term, its distance, and a window around it: quotation marks and words of
 reporting lower it, address in the second person raises it.  A logistic model of the weights, fitted to
 the same bounded sample, gives the score.
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import take
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"(?=[\d@$*]*[^\W\d_])[^\W_](?:[\w@$*]*[^\W_])?")
 QUOTES = "\"“”„«»‹›‘’`"
 # Words that report speech, and words of address, in the four languages of the corpus.
 REPORTING = frozenset("said says called quote quoted quotes wrote reported word term dit disait cité mot appelé sagte schrieb zitat wort genannt dijo dice cita palabra llamó escribió".split())
 ADDRESS = frozenset("you your yourself youre tu toi vous votre ton du dich dein ihr sie tú usted vosotros ustedes eres".split())
+#: What an edit leaves of a term's weight: labelled misspellings are too few to learn it from.
+EDIT_FACTOR = 0.5
 
 
 @dataclass
@@ -42,7 +45,7 @@ class Term:
 @dataclass
 class ToxicityModel:
     terms: list[Term] = field(default_factory=list)
-    coef: list[float] = field(default_factory=lambda: [0.0] * 4)
+    coef: list[float] = field(default_factory=lambda: [0.0] * 3)
     bias: float = -4.0
 
 
@@ -68,12 +71,13 @@ class Automaton:
 
     def _forget(self) -> None:
         self.number: dict[frozenset, int] = {}
-        self.states: list[tuple[dict[int, int], dict[int, int]]] = []
+        self.states: list[tuple[dict[int, int], dict[int, int], dict[tuple[int, str], int]]] = []
         self.next: list[dict[str, int]] = []
-        self.start = self._state({0: 0}, {})
+        self.start = self._state({0: 0}, {}, {})
 
-    def _state(self, nodes: dict[int, int], met: dict[int, int]) -> int:
-        """nodes: trie node to fewest edits; met: stems already read, with their edits.  -1: nothing left."""
+    def _state(self, nodes: dict[int, int], met: dict[int, int], swaps: dict[tuple[int, str], int]) -> int:
+        """nodes: trie node to fewest edits; met: stems already read, with their edits; swaps: trie node that is reached,
+        with these edits, if the given character follows.  -1: nothing left."""
         todo = list(nodes)
         while todo:  # skip characters of the lexicon
             x = todo.pop()
@@ -86,17 +90,21 @@ class Automaton:
             for t in self.ends[x]:
                 if self.terms[t].prefix and e <= self.terms[t].distance and e < met.get(t, 99):
                     met[t] = e
-        if not nodes and not met:
+        if not nodes and not met and not swaps:
             return -1
-        key = frozenset([*nodes.items(), *((-1 - t, e) for t, e in met.items())])
+        key = frozenset([*nodes.items(), *((-1 - t, e) for t, e in met.items()), *swaps.items()])
         if key not in self.number:
             self.number[key] = len(self.states)
-            self.states.append((nodes, met)), self.next.append({})
+            self.states.append((nodes, met, swaps)), self.next.append({})
         return self.number[key]
 
     def _step(self, state: int, ch: str) -> int:
-        nodes, met = self.states[state]
+        nodes, met, swaps = self.states[state]
         out: dict[int, int] = {}
+        ahead: dict[tuple[int, str], int] = {}
+        for (y, first), e in swaps.items():
+            if first == ch and e < out.get(y, 99):
+                out[y] = e
         for x, e in nodes.items():
             if e + 1 <= self.most[x] and e + 1 < out.get(x, 99):
                 out[x] = e + 1  # a character too many
@@ -104,7 +112,10 @@ class Automaton:
                 f = e + (c != ch)
                 if f <= self.most[y] and f < out.get(y, 99):
                     out[y] = f
-        return self._state(out, dict(met))
+                z = self.children[y].get(ch)
+                if c != ch and z is not None and e + 1 <= self.most[z] and e + 1 < ahead.get((z, c), 99):
+                    ahead[z, c] = e + 1  # the two in the other order
+        return self._state(out, dict(met), ahead)
 
     def match(self, word: str) -> tuple[int, int] | None:
         """Best term (fewest edits, then heaviest) and its edits."""
@@ -116,7 +127,7 @@ class Automaton:
             s = nxt[ch] if ch in nxt else nxt.setdefault(ch, self._step(s, ch))
             if s < 0:
                 return None
-        nodes, met = self.states[s]
+        nodes, met, _ = self.states[s]
         best = [(e, -self.terms[t].weight, t) for t, e in met.items()]
         best += [(e, -self.terms[t].weight, t) for x, e in nodes.items() for t in self.ends[x] if not self.terms[t].prefix and e <= self.terms[t].distance]
         return (min(best)[2], min(best)[0]) if best else None
@@ -158,16 +169,22 @@ class Reader:
 
     def features(self, text: str | None) -> list[float]:
         found, n = self.hits(text)
-        exact = sum(self.terms[t].weight * f for _, _, t, e, f in found if not e)
-        near = sum(self.terms[t].weight * f for _, _, t, e, f in found if e)
-        return [math.log1p(exact), math.log1p(near), math.log1p(len({t for _, _, t, _, _ in found})), math.log1p(100 * (exact + near) / max(20, n))]
+        load = sum(self.terms[t].weight * f * EDIT_FACTOR**e for _, _, t, e, f in found)
+        return [math.log1p(load), math.log1p(len({t for _, _, t, _, _ in found})), math.log1p(100 * load / max(20, n))]
 
 
-def learn_lexicon(texts: list[str], toxic: list[int], max_terms: int = 400) -> list[Term]:
-    """Words and stems that mark toxic texts.
+def _allowed(form: str, prefix: bool) -> int:
+    """Edits that a term tolerates at most: short ones and short stems resemble too many other words."""
+    n = len(form)
+    return 0 if n < (6 if prefix else 4) else 1 if n < 9 or prefix else 2
+
+
+def learn_lexicon(texts: list[str], toxic: list[int], max_terms: int = 2000) -> list[Term]:
+    """Words and stems that mark toxic texts: the ``max_terms`` heaviest, which bounds the model.
 
     A form must occur in so many toxic texts that chance alone would yield few such forms.  Of a word and
-    its stems the one with most toxic texts for its clean ones is kept, the longest of equals.
+    its stems the one with most toxic texts for its clean ones is kept, the longest of equals.  Beside a stem stands its
+    most frequent word with the same weight, so that misspellings of the stem's own letters are met as well.
     """
     seen: set[tuple[int, int]] = set()
     df = {0: Counter(), 1: Counter()}
@@ -188,7 +205,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], max_terms: int = 400) -> l
     v = max(10, sum(c > 1 for c in df[1].values()))
     least = max(3, math.ceil(math.log(v / 2) / math.log(1 / share)))
     odds = lambda f: math.log((df[1][f] + 0.5) / (n[1] + 1)) - math.log((df[0][f] + 0.5) / (n[0] + 1))
-    kept = {}
+    kept, whole = {}, {}
     for f, c in df[1].items():
         if f[1] or len(f[0]) < 3:
             continue
@@ -196,8 +213,12 @@ def learn_lexicon(texts: list[str], toxic: list[int], max_terms: int = 400) -> l
         best = max(forms, key=lambda g: (df[1][g] - 20 * share * df[0][g], len(g[0]), not g[1]))
         if df[1][best] >= least and (s := odds(best)) >= 3:
             kept[best] = s
+            if best[1]:
+                whole[best] = min(whole.get(best, f), f, key=lambda g: (-df[1][g], g))
+    for stem, word in whole.items():
+        kept.setdefault(word, kept[stem])
     heavy = sorted(kept, key=lambda g: (-kept[g], g))[:max_terms]
-    return [Term(t, p, 0 if len(t) < 5 or p else 1 if len(t) < 9 else 2, kept[t, p] / 5) for t, p in heavy]
+    return [Term(t, p, _allowed(t, p), kept[t, p] / 5) for t, p in heavy]
 
 
 def fit(sample: list[tuple[str, int]], steps: int = 1500, rate: float = 0.3, shrink: float = 1e-3) -> ToxicityModel:
@@ -213,7 +234,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 1500, rate: float = 0.3, shr
         for k in {(h[2], h[3]) for h in reader.hits(t)[0] if h[3]}:
             (right if v else wrong)[k] += 1
     for (t, e), c in wrong.items():
-        if c > max(0.002 * len(y), 0.2 * right[t, e]):
+        if c > max(0.0005 * len(y), 0.2 * right[t, e]):
             terms[t].distance = min(terms[t].distance, e - 1)
     reader = Reader(terms)
     x, t = np.array([reader.features(s) for s in texts]), np.array(y, float)
@@ -227,22 +248,37 @@ def fit(sample: list[tuple[str, int]], steps: int = 1500, rate: float = 0.3, shr
     return ToxicityModel(terms, [float(v) for v in w[:-1]], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, exclude=None) -> ToxicityModel:
-    """Fit to at most ``max_rows`` labelled rows, those of smallest hashed doc_id; null labels, ids and
-    texts do not count, and of several labels of a document the largest does.  ``exclude`` is a condition on doc_id."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, exclude=None, max_chars: int = 64_000_000) -> ToxicityModel:
+    """Fit to at most ``max_rows`` labelled documents of at most ``max_chars`` characters together, taken whole in the
+    order of their hashed doc_id; a text that would pass the bound is left out.
+
+    Null labels, ids and texts do not count.  Of several labels of a document the largest counts, of several texts the one
+    of the smallest hash, once.  ``exclude`` is a condition on doc_id.  Without a usable row nothing is toxic.
+    """
     lab = take(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     if exclude is not None:
         lab = lab.where(~exclude)
-    lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    lab = lab.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     text = take(docs, "doc_id", "text").where("text is not null")
     # the sample has at most max_rows rows, so it may be broadcast
-    rows = text.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([(r["text"], r["toxic"]) for r in rows])
+    rows = text.join(F.broadcast(lab), "doc_id").withColumn("name", F.xxhash64("text"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("name", F.length("text").alias("n"))).alias("t"), F.max("toxic").alias("toxic"))
+    chosen, total = [], 0
+    for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "t.*", "toxic").collect():
+        if total + r["n"] <= max_chars:
+            chosen.append((r["doc_id"], r["name"], r["toxic"]))
+            total += r["n"]
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, name long, toxic int")
+    got = text.withColumn("name", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "name"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    return fit([(r["text"], r["toxic"]) for r in sorted(got, key=lambda r: r["doc_id"])])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score, hits (array of start, end, term, edits, context) for every row; null texts count as empty."""
+    """doc_id, score, hits (array of start, end, term, edits, context) for every row, repeated ones each.
+
+    Null texts count as empty, and an empty text has no hit: its score is the model's for no feature.  Of terms at equal
+    edits the heavier is the hit, of equal weights the first by text.  Texts are read whole; other columns are not read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
