@@ -2,8 +2,8 @@
 
 A known word contributes its log frequency in each language.  An unseen word is scored by its known
 character n-grams of the greatest length at which it has any (its boundaries count as characters),
-down to single characters.  Counts come from labelled rows: at most about ``max_rows`` per language, drawn
-by a hash of the row, so the model's size has a bound whatever the corpus.
+down to single characters.  Counts come from labelled texts: about ``max_rows`` different ones per language, drawn
+by a hash of the text, so the model's size has a bound whatever the corpus.
 """
 
 from __future__ import annotations
@@ -37,18 +37,22 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def train(labelled: DataFrame, max_rows: int = 1000, longest: int = 4, least: int = 2, add: float = 0.5) -> LanguageModel:
+def train(labelled: DataFrame, max_rows: int = 1000, longest: int = 4, least: int = 2, add: float = 0.5, max_chars: int = 200_000) -> LanguageModel:
     """Fit to ``labelled`` (text, lang); rows with a null in either count for nothing.
 
-    ``least`` is the fewest occurrences of a word or n-gram that gets a row of its own.
+    A text that a language repeats counts once.  Of n rows of a language those texts are drawn whose hash lies in the
+    lowest ``max_rows`` / n of its range, so their number is about ``max_rows`` or less; texts of more than
+    ``max_chars`` characters take no part.  ``least`` is the fewest occurrences of a word or n-gram that gets a
+    row of its own.  An empty table gives a model without languages.
     """
-    rows = take(labelled, "text", "lang").where("text is not null and lang is not null")
+    rows = take(labelled, "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], longest, {}, np.zeros((0, 0)))
     share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, max_rows / sizes[lang]))))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * (1 << 24))
+    named = rows.withColumn("name", F.xxhash64("text"))
+    drawn = named.where(F.pmod("name", F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * (1 << 24)).dropDuplicates(["lang", "name"]).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, Counter[str]] = {}
@@ -119,7 +123,8 @@ class Scorer:
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (share of the best language in the mean likelihood of a word) for every row.
 
-    ``und`` and 0 where the text is null or has no letter, or where nothing was learned.
+    ``und`` and 0 where the text is null or has no letter, or where nothing was learned.  A tie goes to the first
+    language by name.  Repeated rows are judged each; texts are read whole; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
