@@ -34,9 +34,15 @@ def test_shards(spark):
         assert sorted(r["slot"] for r in x) == list(range(len(x)))
 
 
-def test_a_group_beyond_a_shard_is_split_and_small_tables_work(spark):
+def test_groups_are_whole_unless_a_split_is_asked_for(spark):
     rows = [(i, "copy" * 50) for i in range(300)] + [(1000 + i, f"other {i}" * 20) for i in range(200)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sharding.shard(df, 5).collect()
+    home = {r["shard"] for r in whole if r["doc_id"] < 1000}
+    assert len(whole) == 500 and len(home) == 1 and home.isdisjoint(r["shard"] for r in whole if r["doc_id"] >= 1000)
+    load = [sum(r["size"] for r in whole if r["shard"] == s) for s in set(range(5)) - home]
+    assert max(load) - min(load) <= 250
+    got = sharding.shard(df, 5, split_above=1.0).collect()
     size = [sum(r["size"] for r in got if r["shard"] == s) for s in range(5)]
     assert len(got) == 500 and max(size) <= 1.15 * sum(size) / 5
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
@@ -44,14 +50,66 @@ def test_a_group_beyond_a_shard_is_split_and_small_tables_work(spark):
     assert sharding.shard(one.limit(0), 40).count() == 0
 
 
-def test_best_fit_takes_the_tightest_bin():
-    assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 10, 9) == [0, 1, 0, 1, 1]
-    assert sharding.best_fit_decreasing([6, 5], 5, 9) is None
+def plain_best_fit(sizes, capacity, most):
+    """Bin of each item of a descending list, one item at a time, by looking at every bin."""
+    rooms, out = [], []
+    for s in sizes:
+        fits = [(r, b) for b, r in enumerate(rooms) if r >= s]
+        if not fits:
+            if len(rooms) == most or s > capacity:
+                return None
+            rooms.append(capacity)
+            fits = [(capacity, len(rooms) - 1)]
+        b = min(fits)[1]
+        rooms[b] -= s
+        out.append(b)
+    return out
+
+
+def spread(runs, sizes):
+    """Runs as a bin for each item of the descending list."""
+    by = {}
+    for s, first, end, b in runs:
+        by.setdefault(s, {}).update(dict.fromkeys(range(first, end), b))
+    seen, out = {}, []
+    for s in sizes:
+        out.append(by[s][seen.get(s, 0)])
+        seen[s] = seen.get(s, 0) + 1
+    return out
+
+
+def test_runs_equal_plain_best_fit_decreasing():
     rng = random.Random(4)
-    sizes = [rng.randint(1, 99) for _ in range(400)]
-    bins = sharding.pack_shards(sizes, 7)
-    load = [sum(s for s, b in zip(sizes, bins, strict=True) if b == k) for k in range(7)]
-    assert max(load) - min(load) <= 10
+    for top, n in ((99, 400), (9, 300), (5000, 60), (3, 50)):
+        sizes = sorted((rng.randint(1, top) for _ in range(n)), reverse=True)
+        counts = sorted(((s, sizes.count(s)) for s in set(sizes)), reverse=True)
+        for capacity in (top, 2 * top + 1, sum(sizes) // 7 + 5):
+            want = plain_best_fit(sizes, capacity, 10**6)
+            assert spread(sharding.best_fit_decreasing(counts, capacity, 10**6), sizes) == want
+            assert sharding.best_fit_decreasing(counts, capacity, max(want)) is None
+        bins = spread(sharding.pack_shards(counts, 7), sizes)
+        load = [sum(s for s, b in zip(sizes, bins, strict=True) if b == k) for k in range(7)]
+        assert max(load) - min(load) <= max(10, sizes[6])
+    assert sharding.pack_shards([(50, 2), (3, 4)], 4) == [(50, 0, 1, 0), (50, 1, 2, 1), (3, 0, 2, 2), (3, 2, 4, 3)]
+    assert sharding.pack_shards([], 3) == []
+
+
+def test_shard_equals_plain_best_fit_decreasing(spark):
+    rng = random.Random(9)
+    texts = ["x" * rng.choice((3, 50, 50, 400)) + f"{rng.randrange(150):04d}" for _ in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {}
+    for t in texts:
+        group[t] = group.get(t, 0) + len(t) + 16
+    sizes = sorted(group.values(), reverse=True)
+    got = {}
+    for r in sharding.shard(df, 6, slot_rows=40, hot=20).collect():
+        got.setdefault(r["shard"], set()).add(texts[r["doc_id"]])
+    capacity = max(max(sizes), -(-sum(sizes) // 6))
+    while (want := plain_best_fit(sizes, capacity, 6)) is None:
+        capacity += 1
+    bins = [sorted(s for s, b in zip(sizes, want, strict=True) if b == k) for k in range(6)]
+    assert sorted(sorted(group[t] for t in held) for held in got.values()) == sorted(bins)
 
 
 def test_records_round_trip(spark):
@@ -104,15 +162,29 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_counts_every_row_of_a_repeated_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 9, [float(x) for x in rng.integers(-9, 9, 3) / 256], i) for i in range(40)] + [(0, [0.0, 0.0, 0.0], 40), (1, [1 / 256, 0.0, 0.0], 41)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, RANK int").repartition(4)
+    asked = spark.createDataFrame([rows[0], rows[9], rows[4]], "vec_id long, embedding array<double>, query_id int")
+    q = lambda v: [int(np.floor(256 * x)) for x in v]
+    want = []
+    for i, v, _ in (rows[0], rows[9], rows[4]):
+        best = sorted((-sum(a * b for a, b in zip(q(v), q(w), strict=True)), j) for j, w, _ in rows if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    for block in (4, 8192):
+        assert sorted(tuple(r) for r in topk.top_k(df, asked, 5, block=block).collect()) == sorted(want)
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     v = np.zeros((5000, 4))
     v[:, 0] = rng.integers(-100, 100, 5000)
     v[7] = [5000, 0, 0, 0]
-    b = topk.Block(np.arange(5000), v)
+    b = topk.Block(np.arange(5000), np.arange(5000), v)
     calls = []
     b.vectors = type("Counting", (np.ndarray,), {"__getitem__": lambda self, k: (calls.append(np.size(k)), np.asarray(self)[k])[1]})(v.shape, v.dtype, v.copy())
-    assert b.search(-1, np.array([1.0, 0, 0, 0]), 1, []) == [(-5000, 7)]
+    assert b.search(-1, np.array([1.0, 0, 0, 0]), 1, []) == [(-5000, 7, 7)]
     assert sum(calls) < 200
 
 
@@ -169,7 +241,30 @@ def test_near_duplicates_equal_brute_force(spark):
     kept = neardup.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(cls.values()))
-    assert neardup.near_duplicates(df.limit(0)).count() == 0
+    assert neardup.near_duplicates(df.limit(0)).count() == 0 == neardup.keep_one(df.limit(0)).count()
+
+
+def test_one_row_of_a_class_stays_whatever_its_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(None, near, 1), (None, text, 2), (7, text, 3), (7, other, 4), (7, other, 5), (7, None, 6), (7, None, 7), (None, "all alone here", 8), (None, "all alone here", 9), (9, other, 10), (None, None, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, T1 int")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep_one(df).collect())
+    assert got == sorted([(7, text), (7, other), (7, ""), (7, ""), (0, "all alone here"), (0, "")])
+
+
+def test_texts_without_an_id_meet_only_their_own_rows(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [" ".join(rng.choices(vocab, k=30)) for _ in range(2000)]
+    df = spark.createDataFrame([(None, t) for t in base] + [(None, t + " tail") for t in base], "doc_id long, text string")
+    texts = df.select("doc_id", "text")
+    prep, member = neardup._classes(texts, 5, 0.8, 20, 4)
+    rows = member.select("node").withColumn("bucket", neardup.F.lit(1))
+    nodes = prep.groupBy("node").agg(neardup.F.min(neardup.F.struct(*neardup.NAME)).alias("row"))
+    wanted = rows.join(nodes.select("node", "row.*"), "node")
+    assert texts.select(*neardup._name("doc_id", "text"), "text").join(wanted, list(neardup.NAME)).count() == 4000
+    assert member.select("comp").distinct().count() == 2000
 
 
 def test_a_star_of_edited_copies_is_one_class(spark):
@@ -242,3 +337,32 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.7 * sizes[0]
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == ids
+
+
+def test_pipeline_equals_brute_force_and_holds_edges(spark):
+    """Rows chosen so that each stage's decision is known: what goes, what stays, and what becomes of the text."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(60)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 300").first()["text"]
+    plain = docs.collect()
+    text = max((r["text"] for r in plain if r["text"]), key=len)[:4000]
+    secret = "here the api_key = abcdEFGH12345678 and the end of it"
+    extra = [(None, None), (None, ""), (1000, "12345 !!"), (1001, text), (1002, text + " tail"), (None, text), (1003, item), (None, item + " x"), (1004, secret), (1004, "the of and to a in is it that was for on with as his"), (None, secret), (1005, "word " * 200_000)]
+    rows = [(i, t, "en", "s", None, f"row {k}") for k, (i, t) in enumerate(extra)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, DOC_ID_ string").withColumnRenamed("DOC_ID_", "Text ")
+    trained = df.unionByName(docs.withColumn("Text ", neardup.F.lit("plain")).select(*(neardup.F.col(f"`{c}`").cast(df.schema[c].dataType) for c in df.columns)))
+    names = [r["Text "] for r in corpus_pipeline.language_id(spark, trained, SF).collect()]
+    assert {f"row {k}" for k in (3, 4, 5, 6, 7, 8, 9, 10, 11)} <= set(names) and not {"row 0", "row 1", "row 2"} & set(names)
+    named = lambda out: sorted(r["Text "] for r in out.collect())
+    kept = corpus_pipeline.near_dedup(spark, df, SF)
+    assert kept.columns == df.columns and named(kept) == sorted(f"row {k}" for k in (0, 1, 2, 3, 6, 8, 9, 11))
+    clean = corpus_pipeline.decontamination(spark, df, SF)
+    assert clean.columns == df.columns and named(clean) == sorted(f"row {k}" for k in range(12) if k not in (6, 7))
+    safe = corpus_pipeline.secret_scans(spark, df, SF)
+    assert safe.columns == df.columns and named(safe) == sorted(f"row {k}" for k in range(12))
+    assert {r["Text "] for r in safe.collect() if "[SECRET]" in (r["text"] or "")} == {"row 8", "row 10"}
+    packed = corpus_pipeline.best_fit_packing(spark, df, SF).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in extra} and sum(r["piece"] == 0 for r in packed) == 12
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SF).count() == 0

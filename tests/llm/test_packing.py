@@ -91,6 +91,25 @@ def test_genetic_search_beats_best_fit_decreasing():
     assert len(packing.evolve(lengths, 1024, 2, elites)) == 20
 
 
+def test_no_island_gathers_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, 0, 300)], "doc_id long, piece int, length long").crossJoin(spark.range(40_000).select(packing.F.lit(1).alias("x")))
+    rows = packing.pack(df).collect()
+    assert len(rows) == 40_000 and check_packed(rows, 1024) <= -(-40_000 // 3) + 12
+    islands = {}
+    for r in rows:
+        islands[r["sequence_id"] >> 31] = islands.get(r["sequence_id"] >> 31, 0) + 1
+    assert len(islands) > 9 and max(islands.values()) <= 4096
+
+
+def test_leftovers_migrate_until_one_island_is_left(spark):
+    rng = random.Random(2)
+    lengths = [min(1024, int(rng.lognormvariate(5.5, 1.0)) + 1) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    rows = packing.pack(df, island_size=256).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(6000))
+    assert check_packed(rows, 1024) <= packing.lower_bound(lengths, 1024) + 3
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(0)
     lengths = [int(x) for x in rng.integers(1, 100, 50)]
