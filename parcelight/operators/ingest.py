@@ -66,9 +66,9 @@ def score_column(source: str, contract: Contract, unique: bool = True) -> list[t
             s, why = 0.95, "alias"
         else:
             s = min(0.94, 0.88 * max(difflib.SequenceMatcher(None, v, t).ratio() for v in forms for t in {target, *others}))
-            why = "similarity"
-        if f == "tracking_event_id" and not unique:
-            s -= 0.25
+            if f == "tracking_event_id" and not unique:  # an id that repeats; a header that names the field stands
+                s = max(0.0, s - 0.25)
+            s, why = round(s, 4), "similarity"
         out.append((f, s, why))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
@@ -245,7 +245,7 @@ def validate(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone:
     checked = df.select("row_number", *(c.alias(f) for f, c in out.items() if f != contract.raw_status), F.col(raw).alias(contract.raw_status), status.alias("st"), F.array_compact(F.array(*problems)).alias("problems"))
     body = [f for f in out if f not in (contract.key, contract.raw_status)]
     w = Window.partitionBy(contract.key)
-    same = F.xxhash64(*body, contract.raw_status)
+    same = F.struct(*body, contract.raw_status)  # null-safe, as a hash of the values is not
     # rows without a key stand alone
     checked = checked.withColumns({"h": same, "lo": F.min(same).over(w), "hi": F.max(same).over(w), "nth": F.row_number().over(w.orderBy("row_number"))})
     named = F.col(contract.key).isNotNull()

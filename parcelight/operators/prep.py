@@ -38,9 +38,13 @@ def instant(df: DataFrame, name: str) -> Column:
 
 
 def deduplicated(df: DataFrame, key: str) -> DataFrame:
-    """One row per key: the first by source_index, with ``n`` (rows) and ``conflict`` (rows that differ)."""
+    """One row per key: the first by source_index, with ``n`` (rows) and ``conflict`` (rows that differ).
+
+    Rows are compared as structs: a hash of the values would pass over nulls, so a value that moves from one column
+    to another would look the same.
+    """
     body = [c for c in df.columns if c not in ("source_index", key)]
-    same = F.xxhash64(*(F.col(c) for c in body))
+    same = F.struct(*body)
     first = F.min_by(F.struct(*body, "source_index"), "source_index").alias("first")
     out = df.groupBy(key).agg(first, F.count(F.lit(1)).alias("n"), (F.min(same) != F.max(same)).alias("conflict"))
     return out.select(key, "first.*", "n", "conflict")

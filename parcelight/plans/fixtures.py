@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import stored
+
 SOURCES = ("orders", "lineitem", "customer", "nation", "region")
 
 # Event codes of the generated order life, by step.
@@ -41,12 +43,23 @@ LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey LEFT JOIN {nation} n ON n.n_
 
 def orders_sql() -> str:
     status = "CASE WHEN k % 20 = 0 THEN 'cancelled' WHEN k % 29 = 0 THEN 'returned' WHEN k % 211 = 0 THEN 'unmapped' WHEN st = 'P' THEN 'shipped' ELSE 'delivered' END"
-    return f"""SELECT 'ORD-' || CAST(k AS VARCHAR(20)) AS order_id, created_ts AS created_at, CASE WHEN k % 61 = 0 THEN NULL ELSE created_ts + (72 + (k % 4) * 12) * INTERVAL '1' HOUR END AS promised_delivery_time,
+    promised = "CASE WHEN k % 61 = 0 THEN NULL ELSE created_ts + (72 + (k % 4) * 12) * INTERVAL '1' HOUR END"
+    warehouse, carrier = "'WH-' || CAST(s % 8 AS VARCHAR(20))", "CASE WHEN k % 23 = 0 THEN NULL ELSE 'CAR-' || CAST(s % 5 AS VARCHAR(20)) END"
+
+    def row(place: str, wh: str = warehouse, car: str = carrier, amount: str = "dq") -> str:
+        return f"""SELECT 'ORD-' || CAST(k AS VARCHAR(20)) AS order_id, created_ts AS created_at, {promised} AS promised_delivery_time,
     CASE WHEN {status} IN ('delivered', 'returned') THEN created_ts + ({_ready()} + {_sum(_TR_MINUTES, 8)}) * INTERVAL '1' MINUTE END AS actual_delivery_time,
-    q AS ordered_quantity, dq AS delivered_quantity, CASE WHEN k % 67 = 0 THEN '' ELSE 'piece' END AS quantity_unit, {status} AS order_status, 'raw-' || st AS raw_order_status,
-    'WH-' || CAST(s % 8 AS VARCHAR(20)) AS warehouse_id, CASE WHEN k % 23 = 0 THEN NULL ELSE 'CAR-' || CAST(s % 5 AS VARCHAR(20)) END AS carrier_id, region AS destination_region, channel AS sales_channel, k AS source_index
+    q AS ordered_quantity, {amount} AS delivered_quantity, CASE WHEN k % 67 = 0 THEN '' ELSE 'piece' END AS quantity_unit, {status} AS order_status, 'raw-' || st AS raw_order_status,
+    {wh} AS warehouse_id, {car} AS carrier_id, region AS destination_region, channel AS sales_channel, {place} AS source_index
 FROM fx_base"""
 
+    none = "CAST(NULL AS VARCHAR(20))"
+    # repeats: alike; with a value under the other of two nullable columns; with another amount
+    return f"""{row("k")}
+UNION ALL {row("k + 1000000000")} WHERE k % 127 = 0
+UNION ALL {row("k + 2000000000", none, warehouse)} WHERE k % 23 = 0 AND k % 3 = 0
+UNION ALL {row("k + 3000000000", amount="dq - 1")} WHERE k % 131 = 0"""
+
 
 def _steps(codes: list[str], minutes: tuple[str, ...], offset: str) -> str:
     values = ", ".join(f"({i}, '{c}')" for i, c in enumerate(codes, 1))
@@ -70,9 +83,11 @@ UNION ALL {row(f"'WE-' || {k} || '-21'", own, f"{picked} + 20", "'picking_comple
 def tracking_sql() -> str:
     k, own = "CAST(k AS VARCHAR(20))", "'ORD-' || CAST(k AS VARCHAR(20))"
 
-    def row(step: str, at: str, code: str, place: str, location: str) -> str:
+    by = "CASE WHEN k % 23 = 0 THEN NULL ELSE 'CAR-' || CAST(s % 5 AS VARCHAR(20)) END"
+
+    def row(step: str, at: str, code: str, place: str, location: str, carrier: str = by) -> str:
         return f"""SELECT 'TE-' || {k} || '-' || CAST({step} AS VARCHAR(20)) AS tracking_event_id, {own} AS order_id, 'SHP-' || {k} AS shipment_id, created_ts + ({at}) * INTERVAL '1' MINUTE AS event_time, {code} AS event_code,
-    CASE WHEN k % 23 = 0 THEN NULL ELSE 'CAR-' || CAST(s % 5 AS VARCHAR(20)) END AS carrier_id, {location} AS location_code, CAST({step} AS BIGINT) AS sequence_number, {place} AS source_index"""
+    {carrier} AS carrier_id, {location} AS location_code, CAST({step} AS BIGINT) AS sequence_number, {place} AS source_index"""
 
     place = "k * 100 + CASE WHEN k % 41 = 0 AND step = 2 THEN 3 WHEN k % 41 = 0 AND step = 3 THEN 2 ELSE step END"
     code = "CASE WHEN k % 53 = 0 AND step = 3 THEN 'unmapped' ELSE code END"
@@ -81,6 +96,7 @@ def tracking_sql() -> str:
     return f"""WITH e AS ({_steps(TRACKING_STEPS, _TR_MINUTES, _ready() + " + ")})
 {row("step", "minutes", code, place, spot)} FROM e WHERE NOT (k % 37 = 0 AND step = 8)
 UNION ALL {row("2", "minutes", "code", "k * 100 + 50", "'LOC-X'")} FROM e WHERE k % 101 = 0 AND step = 2
+UNION ALL {row("step", "minutes", code, "k * 100 + 60", "CAST(NULL AS VARCHAR(20))", spot)} FROM e WHERE k % 23 = 0 AND k % 4 = 1 AND step = 6
 UNION ALL {row("9", hub + " + 30", "'exception'", "k * 100 + 9", "'LOC-E'")} FROM fx_base WHERE k % 12 = 0"""
 
 
@@ -92,6 +108,6 @@ def ctes() -> str:
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """orders, warehouse events and tracking events as DataFrames."""
-    base = spark.sql(base_sql(), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES})
+    base = stored(spark.sql(base_sql(), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}), "base")  # three tables read it
     over = lambda text: spark.sql(text.replace("fx_base", "{fx_base}"), fx_base=base)
     return over(orders_sql()), over(warehouse_sql()), over(tracking_sql())

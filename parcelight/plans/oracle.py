@@ -8,22 +8,25 @@ from .fixtures import ctes
 _CODES = "('order_to_pick', 'order_received', 'picking_started', 'w'), ('picking', 'picking_started', 'picking_completed', 'w'), ('pick_to_qc', 'picking_completed', 'quality_check_started', 'w'), ('quality_check', 'quality_check_started', 'quality_check_completed', 'w'), ('packing', 'packing_started', 'packing_completed', 'w'), ('ready_to_pickup', 'ready_to_ship', 'carrier_picked_up', 'x'), ('carrier_transit', 'carrier_picked_up', 'delivered', 's'), ('hub_dwell', 'arrived_at_hub', 'departed_hub', 'l')"
 
 HEAD = ctes() + f""",
+oq AS (SELECT order_id, count(*) AS n, min(source_index) AS first,
+    count(DISTINCT (created_at, promised_delivery_time, actual_delivery_time, ordered_quantity, delivered_quantity, quantity_unit, order_status, raw_order_status, warehouse_id, carrier_id, destination_region, sales_channel)) AS d FROM fx_orders GROUP BY order_id),
+ov AS (SELECT o.* FROM fx_orders o JOIN oq ON o.order_id = oq.order_id AND o.source_index = oq.first WHERE oq.d = 1),
 od AS (SELECT order_id, source_index, order_status, created_at, promised_delivery_time AS promised, actual_delivery_time AS actual, ordered_quantity AS ordered, delivered_quantity AS delivered,
     coalesce(warehouse_id, 'unknown') AS warehouse_id, coalesce(carrier_id, 'unknown') AS carrier_id, coalesce(destination_region, 'unknown') AS destination_region, coalesce(sales_channel, 'unknown') AS sales_channel,
     order_status IN ('delivered', 'returned') AS done,
     CASE WHEN promised_delivery_time IS NULL OR actual_delivery_time IS NULL THEN NULL ELSE actual_delivery_time <= promised_delivery_time END AS o1,
     CASE WHEN ordered_quantity IS NULL OR delivered_quantity IS NULL OR trim(quantity_unit) = '' THEN NULL ELSE delivered_quantity >= ordered_quantity END AS o2,
-    CASE WHEN order_status IN ('delivered', 'returned') AND actual_delivery_time >= created_at THEN epoch_us(actual_delivery_time - created_at) / 3.6e9 END AS hours FROM fx_orders),
+    CASE WHEN order_status IN ('delivered', 'returned') AND actual_delivery_time >= created_at THEN epoch_us(actual_delivery_time - created_at) / 3.6e9 END AS hours FROM ov),
 oe AS (SELECT *, CASE WHEN NOT done THEN CASE WHEN order_status = 'cancelled' THEN 'excluded' ELSE 'pending' END WHEN o1 IS NULL THEN 'not_computable' WHEN o1 THEN 'true' ELSE 'false' END AS ot,
     CASE WHEN NOT done THEN CASE WHEN order_status = 'cancelled' THEN 'excluded' ELSE 'pending' END WHEN o2 IS NULL THEN 'not_computable' WHEN o2 THEN 'true' ELSE 'false' END AS in_full,
     CASE WHEN NOT done THEN CASE WHEN order_status = 'cancelled' THEN 'excluded' ELSE 'pending' END WHEN o1 IS NULL OR o2 IS NULL THEN 'not_computable' WHEN o1 AND o2 THEN 'true' ELSE 'false' END AS otif FROM od),
-wd AS (SELECT event_id, count(*) AS n, count(DISTINCT order_id || '|' || CAST(event_time AS VARCHAR) || '|' || event_code || '|' || coalesce(warehouse_id, '')) AS d, min(source_index) AS first FROM fx_warehouse GROUP BY event_id),
+wd AS (SELECT event_id, count(*) AS n, count(DISTINCT (order_id, event_time, event_code, warehouse_id)) AS d, min(source_index) AS first FROM fx_warehouse GROUP BY event_id),
 w1 AS (SELECT e.* FROM fx_warehouse e JOIN wd ON e.event_id = wd.event_id AND e.source_index = wd.first WHERE wd.d = 1),
-w2 AS (SELECT w1.*, CASE WHEN o.order_id IS NULL THEN 'ORPHAN_EVENT' WHEN w1.event_time < o.created_at THEN 'EVENT_BEFORE_ORDER_CREATED' END AS fault FROM w1 LEFT JOIN fx_orders o ON o.order_id = w1.order_id),
+w2 AS (SELECT w1.*, CASE WHEN o.order_id IS NULL THEN 'ORPHAN_EVENT' WHEN w1.event_time < o.created_at THEN 'EVENT_BEFORE_ORDER_CREATED' END AS fault FROM w1 LEFT JOIN ov o ON o.order_id = w1.order_id),
 pw AS (SELECT * FROM w2 WHERE fault IS NULL),
-td AS (SELECT tracking_event_id, count(*) AS n, count(DISTINCT location_code) AS d, min(source_index) AS first FROM fx_tracking GROUP BY tracking_event_id),
+td AS (SELECT tracking_event_id, count(*) AS n, count(DISTINCT (order_id, shipment_id, event_time, event_code, carrier_id, location_code, sequence_number)) AS d, min(source_index) AS first FROM fx_tracking GROUP BY tracking_event_id),
 t1 AS (SELECT e.* FROM fx_tracking e JOIN td ON e.tracking_event_id = td.tracking_event_id AND e.source_index = td.first WHERE td.d = 1),
-t2 AS (SELECT t1.*, CASE WHEN o.order_id IS NULL THEN 'ORPHAN_EVENT' WHEN t1.event_time < o.created_at THEN 'EVENT_BEFORE_ORDER_CREATED' END AS fault FROM t1 LEFT JOIN fx_orders o ON o.order_id = t1.order_id),
+t2 AS (SELECT t1.*, CASE WHEN o.order_id IS NULL THEN 'ORPHAN_EVENT' WHEN t1.event_time < o.created_at THEN 'EVENT_BEFORE_ORDER_CREATED' END AS fault FROM t1 LEFT JOIN ov o ON o.order_id = t1.order_id),
 pt AS (SELECT * FROM t2 WHERE fault IS NULL),
 defs(code, a, b, kind) AS (VALUES {_CODES}),
 ev AS (SELECT order_id, NULL AS sh, NULL AS loc, event_time, event_code, 'w' AS src FROM pw UNION ALL SELECT order_id, shipment_id, location_code, event_time, event_code, 't' FROM pt),
@@ -45,7 +48,8 @@ round(avg(hours), 8) AS mean_hours, round(quantile_cont(hours, 0.5), 6) AS media
 
 NODES = """CAST(count(hours) AS BIGINT) AS n, CAST(count(DISTINCT order_id) AS BIGINT) AS computable, round(avg(hours), 6) AS mean, round(quantile_cont(hours, 0.5), 6) AS median, round(quantile_cont(hours, 0.9), 6) AS p90"""
 
-_WARN = """wn AS (SELECT 'EXACT_DUPLICATE_EVENT' AS code, NULL AS order_id, event_id, NULL AS iv FROM wd WHERE n > 1 AND d = 1 UNION SELECT 'DUPLICATE_EVENT_CONFLICT', NULL, event_id, NULL FROM wd WHERE d > 1
+_WARN = """wn AS (SELECT 'EXACT_DUPLICATE_ORDER' AS code, order_id, NULL AS event_id, NULL AS iv FROM oq WHERE n > 1 AND d = 1 UNION SELECT 'DUPLICATE_ORDER_CONFLICT', order_id, NULL, NULL FROM oq WHERE d > 1
+UNION SELECT 'EXACT_DUPLICATE_EVENT' AS code, NULL AS order_id, event_id, NULL AS iv FROM wd WHERE n > 1 AND d = 1 UNION SELECT 'DUPLICATE_EVENT_CONFLICT', NULL, event_id, NULL FROM wd WHERE d > 1
 UNION SELECT 'EXACT_DUPLICATE_EVENT', NULL, tracking_event_id, NULL FROM td WHERE n > 1 AND d = 1 UNION SELECT 'DUPLICATE_EVENT_CONFLICT', NULL, tracking_event_id, NULL FROM td WHERE d > 1
 UNION SELECT fault, order_id, event_id, NULL FROM w2 WHERE fault IS NOT NULL UNION SELECT fault, order_id, tracking_event_id, NULL FROM t2 WHERE fault IS NOT NULL
 UNION SELECT 'SOURCE_EVENT_OUT_OF_ORDER', order_id, id, NULL FROM (SELECT order_id, event_id AS id, event_time, lag(event_time) OVER (PARTITION BY order_id ORDER BY source_index) AS p FROM pw) WHERE event_time < p
