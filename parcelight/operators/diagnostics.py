@@ -233,6 +233,25 @@ def affected_orders(evidence: DataFrame) -> DataFrame:
     return rows.groupBy("order_id").agg(F.max_by("severity", rank("severity")).alias("severity"), F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("categories"), F.concat_ws(",", F.array_sort(F.collect_set("rule_id"))).alias("rules"), F.count_distinct("rule_id", "finding").alias("findings"))
 
 
+def context(f: Facts, evidence: DataFrame) -> DataFrame:
+    """One row: orders, those that some finding affects and their share, findings, and rules that found something."""
+    found = evidence.agg(
+        F.count_distinct("order_id").alias("affected"), F.count_distinct("rule_id", "finding").alias("findings"), F.count_distinct("rule_id").alias("rules"),
+    )
+    orders = f.orders.agg(F.count(F.lit(1)).alias("orders"))
+    return orders.crossJoin(found).withColumn("affected_share", ratio(F.col("affected"), F.col("orders")))  # one row on either side
+
+
+def samples(evidence: DataFrame, most: int = 20) -> DataFrame:
+    """Per finding its evidence rows and its first ``most`` orders by id, as a sorted array."""
+    rows = evidence.groupBy("rule_id", "finding").agg(F.count(F.lit(1)).alias("evidence_rows"), F.count_distinct("order_id").alias("affected"))
+    ids = evidence.where("order_id is not null").select("rule_id", "finding", "order_id").distinct()
+    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("rule_id", "finding").orderBy("order_id"))).where(F.col("r") <= most)
+    held = first.groupBy("rule_id", "finding").agg(F.array_sort(F.collect_list("order_id")).alias("sample"))
+    empty = F.array().cast("array<string>")
+    return rows.join(held, ["rule_id", "finding"], "left").withColumn("sample", F.coalesce("sample", empty))
+
+
 def order_findings(evidence: DataFrame, order_id: str) -> DataFrame:
     """One order's findings and those without an order, merged per category: the primary is the one of highest
     severity, then priority; largest sample, least coverage."""

@@ -56,6 +56,11 @@ def order_decisions(orders: DataFrame) -> DataFrame:
         instant(orders, "promised_delivery_time").alias("promised_ts"), instant(orders, "actual_delivery_time").alias("actual_ts"), finite("ordered_quantity").alias("ordered"), finite("delivered_quantity").alias("delivered"),
         "quantity_unit", *(dimension(d).alias(d) for d in DIMENSIONS),
     )
+    return decide_orders(df)
+
+
+def decide_orders(df: DataFrame) -> DataFrame:
+    """The decisions and the duration, from instants, amounts and status as :func:`order_decisions` names them."""
     s = F.col("order_status")
     no_time = F.col("promised_ts").isNull() | F.col("actual_ts").isNull()
     no_amount = F.col("ordered").isNull() | F.col("delivered").isNull() | is_empty("quantity_unit")
@@ -107,6 +112,11 @@ def interval_groups(warehouse: DataFrame, tracking: DataFrame) -> DataFrame:
     return pair(parts, ["order_id", "shipment", "location"])
 
 
+def instances(groups: DataFrame) -> DataFrame:
+    """The groups that have a complete pair."""
+    return groups.where("end_ts is not null").select("order_id", "shipment", "location", "interval_code", "start_ts", "end_ts", "hours")
+
+
 def evaluate(orders: DataFrame, warehouse: DataFrame, tracking: DataFrame, keep=lambda df: df) -> Facts:
     """``keep`` may store the intermediate tables that several steps read."""
     o = prepare_orders(orders)
@@ -129,8 +139,7 @@ def evaluate(orders: DataFrame, warehouse: DataFrame, tracking: DataFrame, keep=
     for flag, code in (("boundary_missing", "NODE_BOUNDARY_MISSING"), ("end_before_start", "NODE_END_BEFORE_START"), ("many_cycles", "MULTIPLE_NODE_CYCLES")):
         warnings = warnings.unionByName(warning(groups.where(flag), code, "order_id", None, "interval_code"))
     eligible = groups.select("order_id", "interval_code").distinct()
-    instances = groups.where("end_ts is not null").select("order_id", "shipment", "location", "interval_code", "start_ts", "end_ts", "hours")
-    return Facts(facts, instances, eligible, distinct_warnings(warnings), o.totals, wh, tr)
+    return Facts(facts, instances(groups), eligible, distinct_warnings(warnings), o.totals, wh, tr)
 
 
 def restrict(facts: Facts, ids: DataFrame) -> Facts:

@@ -116,12 +116,16 @@ MOBILE = r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
 ID_CARD = r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])"
 
 
-def sensitive_columns(df: DataFrame, first: int = 100) -> dict[str, list[str]]:
-    """Columns that look like personal data by header, or by their first values (a preview, as the import screen shows)."""
+def sensitive_columns(df: DataFrame, order: str | None = None, first: int | None = None) -> dict[str, list[str]]:
+    """Columns that look like personal data by header or by their values: all of them, or, as a preview shows, those of the
+    ``first`` rows by ``order``."""
     out = {c: [k for k, p in SENSITIVE_HEADERS.items() if re.search(p, unicodedata.normalize("NFKC", c), re.I)] for c in df.columns}
-    seen = df.limit(first).agg(*(F.max(F.col(f"`{c}`").cast("string").rlike(p)).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k, p in (("mobile", MOBILE), ("id_card", ID_CARD)))).first()
+    rows = df if first is None else df.orderBy(order).limit(first)
+    hit = lambda c, p: F.max(F.col(f"`{c}`").cast("string").rlike(p))
+    kinds = (("mobile", MOBILE), ("id_card", ID_CARD))
+    seen = rows.agg(*(hit(c, p).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k, p in kinds)).first()
     for i, c in enumerate(df.columns):
-        out[c] += [k for k in ("mobile", "id_card") if seen[f"{i}_{k}"]]
+        out[c] += [k for k, _ in kinds if seen[f"{i}_{k}"]]
     return {c: sorted(set(v)) for c, v in out.items() if v}
 
 

@@ -68,7 +68,7 @@ def _steps(codes: list[str], minutes: tuple[str, ...], offset: str) -> str:
 
 
 def warehouse_sql() -> str:
-    row = lambda ident, order, at, code, place: f"SELECT {ident} AS event_id, {order} AS order_id, created_ts + ({at}) * INTERVAL '1' MINUTE AS event_time, {code} AS event_code, 'WH-' || CAST(s % 8 AS VARCHAR(20)) AS warehouse_id, {place} AS source_index"
+    row = lambda ident, order, at, code, place: f"SELECT {ident} AS event_id, {order} AS order_id, created_ts + ({at}) * INTERVAL '1' MINUTE AS event_time, {code} AS event_code, upper({code}) AS raw_status, 'WH-' || CAST(s % 8 AS VARCHAR(20)) AS warehouse_id, {place} AS source_index"
     k, own = "CAST(k AS VARCHAR(20))", "'ORD-' || CAST(k AS VARCHAR(20))"
     picked = _sum(_WH_MINUTES, 3)
     return f"""WITH e AS ({_steps(WAREHOUSE_STEPS, _WH_MINUTES, "")})
@@ -86,7 +86,7 @@ def tracking_sql() -> str:
     by = "CASE WHEN k % 23 = 0 THEN NULL ELSE 'CAR-' || CAST(s % 5 AS VARCHAR(20)) END"
 
     def row(step: str, at: str, code: str, place: str, location: str, carrier: str = by) -> str:
-        return f"""SELECT 'TE-' || {k} || '-' || CAST({step} AS VARCHAR(20)) AS tracking_event_id, {own} AS order_id, 'SHP-' || {k} AS shipment_id, created_ts + ({at}) * INTERVAL '1' MINUTE AS event_time, {code} AS event_code,
+        return f"""SELECT 'TE-' || {k} || '-' || CAST({step} AS VARCHAR(20)) AS tracking_event_id, {own} AS order_id, 'SHP-' || {k} AS shipment_id, created_ts + ({at}) * INTERVAL '1' MINUTE AS event_time, {code} AS event_code, upper({code}) AS raw_status,
     {carrier} AS carrier_id, {location} AS location_code, CAST({step} AS BIGINT) AS sequence_number, {place} AS source_index"""
 
     place = "k * 100 + CASE WHEN k % 41 = 0 AND step = 2 THEN 3 WHEN k % 41 = 0 AND step = 3 THEN 2 ELSE step END"

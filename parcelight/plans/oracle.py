@@ -91,9 +91,15 @@ round(CAST(count(*) FILTER (WHERE order_status <> 'unmapped') AS DOUBLE) / count
 b AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS bin), c AS (SELECT CAST(least(floor((hours - lo) / w), 9) AS INTEGER) AS bin, count(*) AS n FROM oe, r WHERE hours IS NOT NULL GROUP BY 1)
 SELECT b.bin, round(lo + w * b.bin, 6) AS lower, round(CASE WHEN b.bin = 9 THEN hi ELSE lo + w * (b.bin + 1) END, 6) AS upper, CAST(coalesce(n, 0) AS BIGINT) AS n FROM b CROSS JOIN r LEFT JOIN c ON c.bin = b.bin"""
     q["filtered_kpi"] = f"SELECT {KPI} FROM oe WHERE carrier_id IN ('CAR-0', 'CAR-1') AND order_status = 'delivered' AND CAST(created_at + INTERVAL 8 HOUR AS DATE) BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'"
-    q["filter_options"] = " UNION ALL ".join(f"SELECT '{c}' AS filter, {c} AS option, CAST(count(*) AS BIGINT) AS n FROM oe GROUP BY 2" for c in ("warehouse_id", "carrier_id", "destination_region", "order_status"))
+    kinds = {"returned_order": f"(order_status = 'returned' OR order_id IN (SELECT order_id FROM pt WHERE event_code = 'returned'))", "partial_delivery": "(done AND delivered < ordered)",
+             "quality_check_failed": "order_id IN (SELECT order_id FROM pw WHERE event_code = 'quality_check_failed')",
+             "tracking_exception": "order_id IN (SELECT order_id FROM pt WHERE event_code IN ('delivery_failed', 'exception', 'return_initiated', 'returned'))"}
+    q["filter_options"] = " UNION ALL ".join([f"SELECT '{c}' AS filter, {c} AS option, CAST(count(*) AS BIGINT) AS n FROM oe GROUP BY 2" for c in ("warehouse_id", "carrier_id", "destination_region", "order_status")]
+                                              + [f"SELECT 'anomaly_types', '{k}', CAST(count(*) AS BIGINT) FROM oe WHERE {c} HAVING count(*) > 0" for k, c in kinds.items()])
     q["order_page"] = "SELECT order_id, order_status, otif, round(hours, 6) AS duration_hours FROM oe ORDER BY hours IS NULL, hours DESC, CASE WHEN hours IS NOT NULL THEN order_id END DESC, order_id LIMIT 50 OFFSET 50"
-    q["status_mapping_union"] = "SELECT DISTINCT 'orders' AS data_type, raw_order_status AS raw, order_status AS normalized FROM fx_orders"
+    q["status_mapping_union"] = """SELECT 'orders' AS data_type, raw_order_status AS raw, order_status AS normalized FROM fx_orders UNION SELECT 'warehouse_events', raw_status, event_code FROM fx_warehouse
+UNION SELECT 'tracking_events', raw_status, event_code FROM fx_tracking"""
+    q["distribution_transit"] = q["distribution_fulfillment"].replace("FROM oe", "FROM iv WHERE code = 'carrier_transit'")
     q["fl_wh_001"] = """, b AS (SELECT o.warehouse_id, code, quantile_cont(iv.hours, 0.5) AS med, count(*) AS n FROM iv JOIN oe o USING (order_id) WHERE code IN ('order_to_pick', 'picking', 'pick_to_qc', 'quality_check', 'packing') GROUP BY 1, 2),
 l(code, lim) AS (VALUES ('order_to_pick', 4e0), ('picking', 2e0), ('pick_to_qc', 2e0), ('quality_check', 1.5e0), ('packing', 2e0))
 SELECT order_id, code AS finding, round(iv.hours, 6) AS observed, lim AS threshold, round(med, 6) AS baseline FROM iv JOIN oe o USING (order_id) JOIN b USING (warehouse_id, code) JOIN l USING (code) WHERE iv.hours > lim OR (n >= 10 AND iv.hours > 1.5e0 * med)"""
@@ -122,12 +128,14 @@ SELECT 'V-' || upper(substr(sha256(path), 1, 8)) AS variant, path, CAST(count(*)
     q["sim_promise"] = "SELECT " + _rate("otif") + " AS base_otif, " + _rate("CASE WHEN NOT done THEN 'x' WHEN o1 IS NULL OR o2 IS NULL THEN 'x' WHEN actual <= promised + INTERVAL 12 HOUR AND o2 THEN 'true' ELSE 'false' END") + " AS scenario_otif FROM oe"
     q["browser_pairs"] = """, s AS (SELECT shipment_id, lag(event_code) OVER w AS a, event_code AS b, epoch_us(event_time - lag(event_time) OVER w) / 3.6e9 AS h FROM fx_tracking WINDOW w AS (PARTITION BY shipment_id ORDER BY event_time, source_index))
 SELECT a || '_to_' || b AS code, CAST(count(h) AS BIGINT) AS n, CAST(count(DISTINCT shipment_id) AS BIGINT) AS entities, round(avg(h), 6) AS mean, round(quantile_cont(h, 0.5), 6) AS median, round(quantile_cont(h, 0.9), 6) AS p90 FROM s WHERE a IS NOT NULL GROUP BY a, b"""
-    q["validated_orders"] = """, t AS (SELECT source_index AS k, order_status FROM fx_orders WHERE ordered_quantity IS NOT NULL)
+    q["validated_orders"] = """, t AS (SELECT source_index AS k, order_status FROM fx_orders WHERE ordered_quantity IS NOT NULL AND source_index < 1000000000)
 SELECT 'ERROR' AS severity, 'INVALID_DATETIME' AS code, CAST(count(*) AS BIGINT) AS n FROM t WHERE k % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'ERROR', 'QUANTITY_OUT_OF_RANGE', CAST(count(*) AS BIGINT) FROM t WHERE k % 19 = 0 HAVING count(*) > 0
 UNION ALL SELECT 'WARNING', 'STATUS_UNMAPPED', CAST(count(*) AS BIGINT) FROM t WHERE k % 23 = 0 OR order_status = 'unmapped' HAVING count(*) > 0"""
-    q["orphan_events"] = "SELECT event_id, order_id FROM fx_warehouse e WHERE NOT EXISTS (SELECT 1 FROM fx_orders o WHERE o.order_id = e.order_id)"
+    q["orphan_events"] = "SELECT DISTINCT event_id, order_id FROM w2 WHERE fault = 'ORPHAN_EVENT' UNION SELECT tracking_event_id, order_id FROM t2 WHERE fault = 'ORPHAN_EVENT'"
     q |= _edge()
-    return {k: HEAD + v for k, v in q.items()} | plain()
+    from .more_sql import more
+
+    return {k: HEAD + v for k, v in q.items()} | plain() | more()
 
 
 def _edge() -> dict[str, str]:

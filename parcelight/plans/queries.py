@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..contract import resolve_rules
 from ..functions import dates
 from ..functions import scalars as S
-from ..operators import browser, browser_mapping, dashboard, diagnostics, edge, facts, ingest, metrics, prep, recommend, simulate
+from ..operators import browser, browser_mapping, dashboard, diagnostics, edge, facts, ingest, metrics, prep, recommend, report, simulate
 from ..sources import cases
 from ..sources.shared import stored
 from . import fixtures
@@ -77,13 +77,15 @@ def _finding_level(fn, rule_id: str, *cols: str, **overrides: float) -> Query:
     return run
 
 
+#: Rule values at which the small fixtures have findings of every rule.
+RULE_VALUES = {"FL-WC-001": {"minimum_daily_orders": 3}, "FL-TC-001": {"concentration_share": 0.1}}
 _evidence: dict[tuple[str, str], DataFrame] = {}
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> tuple[facts.Facts, DataFrame]:
     f, key = _facts(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
     if key not in _evidence:
-        rows = diagnostics.analyze(f, resolve_rules({"FL-WC-001": {"minimum_daily_orders": 3}}), keep=lambda df: stored(df, "evidence"))
+        rows = diagnostics.analyze(f, resolve_rules(RULE_VALUES), keep=lambda df: stored(df, "evidence"))
         _evidence[key] = stored(rows, "evidence")
     return f, _evidence[key]
 
@@ -116,10 +118,8 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(_decided(spark, sf_dir).select("duration_hours"), "duration_hours", 10).select("bin", *_r("lower", "upper"), "n")
 
 
-def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("duration_hours")
-    d = _decided(spark, sf_dir).agg(F.count(h).alias("n"), F.min(h).alias("least"), F.max(h).alias("most"), F.avg(h).alias("mean"), F.percentile(h, F.lit(0.5)).alias("median"), F.percentile(h, F.lit(0.9)).alias("p90"))
-    return d.select("n", *_r("least", "most", "mean", "median", "p90"))
+def distribution(spark: SparkSession, sf_dir: str, code: str = "fulfillment") -> DataFrame:
+    return metrics.distribution(_facts(spark, sf_dir), code).select("n", *_r("least", "most", "mean", "median", "p90"))
 
 
 def filtered_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +128,7 @@ def filtered_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _decided(spark, sf_dir)
-    cells = F.array(*(F.struct(F.lit(n).alias("filter"), F.col(n).alias("option")) for n in ("warehouse_id", "carrier_id", "destination_region", "order_status")))
-    return o.select(F.explode(cells).alias("o")).groupBy("o.filter", "o.option").agg(F.count(F.lit(1)).alias("n"))
+    return dashboard.options(_facts(spark, sf_dir))
 
 
 def order_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +182,7 @@ def sim_promise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, w, _ = registered(spark, sf_dir)
-    return w.join(o.select("order_id"), "order_id", "left_anti").select("event_id", "order_id")
+    return _facts(spark, sf_dir).warnings.where("code = 'ORPHAN_EVENT'").select("event_id", "order_id")
 
 
 def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +219,7 @@ def browser_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import checks on order text made from the registered orders, with faults by key."""
     k = F.col("source_index")
-    o = registered(spark, sf_dir)[0].where("ordered_quantity is not null")
+    o = registered(spark, sf_dir)[0].where("ordered_quantity is not null and source_index < 1000000000")
     text = o.select(k.alias("row_number"), F.col("order_id").alias("订单号"), F.when(k % 17 == 0, "2024-02-30 10:00").otherwise(F.date_format(F.col("created_at").cast("timestamp"), "yyyy/M/d H:mm")).alias("下单时间"), F.when(k % 19 == 0, "-1").otherwise(F.col("ordered_quantity").cast("string")).alias("qty"), F.lit("piece").alias("unit"), F.when(k % 23 == 0, "???").otherwise(F.col("order_status")).alias("订单状态"))
     mapping = {h: f for h, (f, _, _) in ingest.suggest_mapping([c for c in text.columns if c != "row_number"], ingest.CONTRACTS["orders"]).items()}
     return ingest.validate(text, ingest.CONTRACTS["orders"], mapping).report().select("severity", "code", "n")
@@ -276,6 +273,12 @@ def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import more_queries
+
+    return _main() | more_queries.queries()
+
+
+def _main() -> dict[str, Query]:
     # expressions need a session, so each query builds its own when it runs
     day, week = partial(S.local_date, "created_ts", ZONE), partial(S.week_start, "created_ts", ZONE)
     D = diagnostics
@@ -292,7 +295,7 @@ def queries() -> dict[str, Query]:
         "node_metrics": node_query, "node_metrics_by_carrier": nodes_by_carrier, "interval_picking": interval("picking"), "interval_hub_dwell": interval("hub_dwell"), "interval_carrier_transit": interval("carrier_transit"),
         "all_metrics": all_metrics, "status_rates": status_rates, "anomaly_rate": anomaly_rate, "distribution_fulfillment": distribution, "duration_histogram": histogram,
         "filtered_kpi": filtered_kpi, "filter_options": filter_options, "order_page": order_page,
-        "status_mapping_union": lambda s, d: registered(s, d)[0].select(F.lit("orders").alias("data_type"), F.col("raw_order_status").alias("raw"), F.col("order_status").alias("normalized")).distinct(),
+        "status_mapping_union": lambda s, d: report.status_mapping(*registered(s, d)), "distribution_transit": partial(distribution, code="carrier_transit"),
         "fl_wh_001": _rule(D.warehouse_delay, "FL-WH-001", "observed", "threshold", "baseline"), "fl_pu_001": _rule(D.pickup_delay, "FL-PU-001", "observed", "threshold"), "fl_lh_001": _rule(D.linehaul_tail, "FL-LH-001", "observed", "threshold", "baseline"),
         "fl_lm_001": _rule(D.last_mile_backlog, "FL-LM-001", "observed", "threshold"), "fl_cr_001": _finding_level(D.carrier_relative, "FL-CR-001", "severity", "observed", "baseline"),
         "fl_wc_001": _finding_level(D.warehouse_congestion, "FL-WC-001", "observed", "baseline", minimum_daily_orders=3),

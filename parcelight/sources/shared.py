@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (one machine, tests) a new folder is set."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset, and on one machine (tests), a new folder is set."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="parcelight-")
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
@@ -22,3 +26,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], rows: int, chunk_rows: int = 50_000) -> DataFrame:
+    """``df`` of about ``rows`` rows with ``place``: gapless from 0 within ``keys``, by chunks of a hash of ``order`` and by ``order``
+    in each, so that no task holds all rows of a key.  Rows of equal ``order`` may stand either way."""
+    chunk = F.pmod(F.xxhash64(F.lit(17), *order), F.lit(max(1, math.ceil(rows / chunk_rows)))).cast("int")
+    df = df.withColumn("chunk", chunk)
+    counts = df.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("k"))
+    past = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "chunk", F.coalesce(F.sum("k").over(past), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy(*order)) - 1
+    out = df.withColumn("at", at).join(starts, [*keys, "chunk"])
+    return out.withColumn("place", (F.col("before") + F.col("at")).cast("long")).drop("at", "before", "chunk")
