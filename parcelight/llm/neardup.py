@@ -8,8 +8,8 @@ agree in a table meet in a bucket.
 
 Equal texts are one node.  A bucket is not expanded into pairs: its members are compared with a few
 leaders of other components, the links so found are closed into components, and the leaders retire.  The next
-round takes four times as many leaders, first one of each component, and of those the ones with most links
-(hubs), as long as a good share of the compared pairs links.  A bucket is then open while members that never led lie
+rounds take twice as many leaders, of nodes that have links (hubs) alone, first one of each component, as
+long as a good share of the compared pairs links.  A bucket is then open while members that never led lie
 in several components.  All members of open buckets are joined at last by their rarest k-mers: of two similar
 texts the shared k-mers are so many that one stands early in both when each text's k-mers are ordered by rarity,
 and its places and the two sizes bound what they can share.  So each pair of a bucket is linked, tested,
@@ -294,7 +294,8 @@ def _classes(texts: DataFrame, k: int, least: float, tables: int, depth: int) ->
             break
         if fruitful:
             order = (F.desc("degree"), _hash("node"), "node")
-            lead = named.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*order))).where(F.col("turn") <= n_leaders)
+            hubs = named if labels is None else named.where("degree > 0")
+            lead = hubs.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*order))).where(F.col("turn") <= n_leaders)
             lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", *order))).where(F.col("place") <= n_leaders)
             lead = stored(lead.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("node", "comp", "size", "kinds"))), "leaders")
             pairs = named.join(lead, "bucket").where("comp <> lead_comp").where(within("size") | within("kinds"))
@@ -315,7 +316,7 @@ def _classes(texts: DataFrame, k: int, least: float, tables: int, depth: int) ->
         tried = pairs if tried is None else tried.unionByName(pairs)
         active = named.select(*rows.columns).join(lead.select("bucket", F.col("lead_node").alias("node")), ["bucket", "node"], "left_anti")
         # what follows finds the same links; this only chooses the cheaper way to the next ones
-        n_leaders, fruitful = n_leaders * 4, n_leaders == 2 or n_links > 0.1 * pairs.count()
+        n_leaders, fruitful = n_leaders * 2, n_links > 0 and (n_leaders == 2 or n_links > 0.1 * pairs.count())
     member = nodes.select("node", "first_id", "n")
     if labels is None:
         return prep, member.withColumn("comp", F.col("node"))
