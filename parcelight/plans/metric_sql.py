@@ -142,7 +142,7 @@ hx AS (SELECT o.order_id, CAST(o.created_at AS DATE) AS day, unnest([('weekday',
     FROM oe o WHERE o.order_id IN (SELECT order_id FROM e7)),
 hl AS (SELECT order_id, day, x[1] AS kind, x[2] AS label FROM hx),
 ht AS (SELECT count(*) AS total, count(DISTINCT day) AS days FROM hl WHERE kind = 'weekday'),
-hb AS (SELECT kind, label, n FROM (SELECT kind, label, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, label) AS r FROM hl GROUP BY ALL), ht
+hb AS (SELECT kind, label, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, label) AS r FROM (SELECT kind, label, count(*) AS n FROM hl GROUP BY kind, label)), ht
     WHERE r = 1 AND total >= 10 AND days >= 3 AND n / CAST(total AS DOUBLE) >= {share}e0),
 ee AS (SELECT * FROM e7 UNION ALL SELECT {rule("FL-TC-001")}, kind || ':' || label, 'medium', order_id, 'time', label, n / CAST(total AS DOUBLE), {share}e0
     FROM hl JOIN hb USING (kind, label), ht),

@@ -152,7 +152,7 @@ def _finding_coverage() -> str:
 def _scenarios() -> dict[str, str]:
     q = {}
     decide = lambda source, suffix: renamed(section("od", "oe"), {"od": f"od{suffix}", "oe": f"oe{suffix}", "ov": source})
-    first = lambda code: f"(SELECT order_id, min((s, e, hours)) AS x FROM iv WHERE code = '{code}' GROUP BY 1)"
+    first = lambda code: f"(SELECT order_id, min({{'s': s, 'e': e, 'hours': hours}}) AS x FROM iv WHERE code = '{code}' GROUP BY 1)"
     back = lambda t: f"CASE WHEN {t} >= cutoff THEN {t} - to_microseconds(CAST(round(red * 3.6e9) AS BIGINT)) ELSE {t} END"
     names = {n: f"{n}p" for n in ("ev", "ie", "ig", "ip", "iv", "el")} | {"pt": "ptp"}
     both = f"{metrics(ALL, **TOTAL)}, {metrics(ALL.replace('FROM oe', 'FROM oep'), suffix='p', oe='oep', iv='ivp', el='elp', **TOTAL)}"
