@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..contract import UNKNOWN
 
-# full-width ASCII and the ideographic space, which compatibility normalisation folds to ASCII
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+# characters of the basic plane that compatibility normalisation (NFKC) folds to one other: full-width and half-width forms,
+# circled and raised digits, compatibility ideographs, wide spaces; those that unfold to several are not covered
+_FOLDED = [c for c in map(chr, range(0x80, 0xFFFE)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFKC", c) != c and len(unicodedata.normalize("NFKC", c)) == 1]
+_WIDE = "".join(_FOLDED)
+_NARROW = "".join(unicodedata.normalize("NFKC", c) for c in _FOLDED)
 _CJK_MARKS, _ASCII_MARKS = "，。：；（）【】、", ",.:;()[],"
 
 
@@ -151,12 +155,24 @@ def generated_event_id(fields: list[Column], row_number: Column, required: list[
     return F.when(~missing, F.concat(F.format_string("TRE-GEN-%06d-", row_number), F.lpad(F.hex(h), 8, "0")))
 
 
+# Texts that say that there is no exception, and the codes that are known.
+NO_EXCEPTION = ("", "0", "n", "正常", "无", "-", "常规")
+NO_EXCEPTION_PATTERN = r"(?i)^(none|clear|stable|low|zero|normal|ok|no[_\s-]*exception)([_-][a-z0-9]+)*$"
+KNOWN_EXCEPTIONS = ("WEATHER_DELAY", "CALL_FAIL", "ADDR_UNCLEAR", "CANCELLED", "RETURNING", "RETURN_DONE")
+
+
 def exception_code(c: Column | str) -> Column:
-    """none-like values to null, ``1`` to GENERIC_EXCEPTION, others to UPPER_SNAKE."""
+    """Texts of no exception to null, ``1`` and texts without a letter or digit to GENERIC_EXCEPTION, others to UPPER_SNAKE."""
     t = parse_text(c)
     snake = F.regexp_replace(F.regexp_replace(F.upper(t), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
-    none = is_empty(c) | F.lower(t).isin("0", "none", "no", "n/a", "na", "null", "normal", "clear", "无", "正常") | F.lower(t).startswith("clear")
-    return F.when(none, F.lit(None)).when(t == "1", "GENERIC_EXCEPTION").otherwise(F.when(snake != "", snake))
+    none = is_empty(c) | F.lower(t).isin(*NO_EXCEPTION) | t.rlike(NO_EXCEPTION_PATTERN)
+    return F.when(none, F.lit(None)).when((t == "1") | (snake == ""), "GENERIC_EXCEPTION").otherwise(snake)
+
+
+def unknown_exception(c: Column | str) -> Column:
+    """Whether a code stands that none of the known ones is."""
+    code = exception_code(c)
+    return code.isNotNull() & ~code.isin(*KNOWN_EXCEPTIONS)
 
 
 def close(a: Column, b: Column, tolerance: float = 1e-12) -> Column:

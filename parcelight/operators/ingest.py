@@ -144,23 +144,113 @@ def project(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{s}`").alias(t) for s, t in mapping.items()))
 
 
-# Status words by their normalised code.
+# Status words of each table and the code that they stand for.
 SYNONYMS = {
-    "orders": {"已签收": "delivered", "已送达": "delivered", "completed": "delivered", "已取消": "cancelled", "canceled": "cancelled", "已退货": "returned", "已发货": "shipped", "处理中": "processing", "已确认": "confirmed", "已创建": "created"},
-    "warehouse_events": {"已接单": "order_received", "开始拣货": "picking_started", "拣货完成": "picking_completed", "开始复核": "quality_check_started", "复核完成": "quality_check_completed", "开始打包": "packing_started", "打包完成": "packing_completed", "待出库": "ready_to_ship", "已出库": "shipped_from_warehouse"},
-    "tracking_events": {"已揽收": "carrier_picked_up", "运输中": "in_transit", "派送中": "out_for_delivery", "已签收": "delivered", "已退回": "returned"},
+    "orders": {
+        "订单已创建": "created",
+        "已下单": "created",
+        "已确认": "confirmed",
+        "已审核": "confirmed",
+        "处理中": "processing",
+        "履约中": "processing",
+        "已发货": "shipped",
+        "已完成": "delivered",
+        "已签收": "delivered",
+        "妥投": "delivered",
+        "已取消": "cancelled",
+        "交易关闭": "cancelled",
+        "已退回": "returned",
+        "退货完成": "returned",
+    },
+    "warehouse_events": {
+        "仓库接单": "order_received",
+        "订单已下发": "order_received",
+        "开始拣货": "picking_started",
+        "拣货中": "picking_started",
+        "拣货完成": "picking_completed",
+        "配货完成": "picking_completed",
+        "开始复核": "quality_check_started",
+        "复核中": "quality_check_started",
+        "复核失败": "quality_check_failed",
+        "质检不通过": "quality_check_failed",
+        "复核完成": "quality_check_completed",
+        "质检通过": "quality_check_completed",
+        "开始打包": "packing_started",
+        "打包中": "packing_started",
+        "打包完成": "packing_completed",
+        "待出库": "ready_to_ship",
+        "待揽收": "ready_to_ship",
+        "已出库": "shipped_from_warehouse",
+        "仓内取消": "warehouse_cancelled",
+    },
+    "tracking_events": {
+        "运单已创建": "shipment_created",
+        "已揽件": "carrier_picked_up",
+        "快件已揽收": "carrier_picked_up",
+        "始发地已发出": "origin_departed",
+        "运输中": "in_transit",
+        "在途": "in_transit",
+        "到达分拨中心": "arrived_at_hub",
+        "到达中转场": "arrived_at_hub",
+        "离开分拨中心": "departed_hub",
+        "发往下一站": "departed_hub",
+        "到达目的城市": "arrived_at_destination_city",
+        "派送中": "out_for_delivery",
+        "正在派件": "out_for_delivery",
+        "已签收": "delivered",
+        "妥投": "delivered",
+        "派送失败": "delivery_failed",
+        "未妥投": "delivery_failed",
+        "运输异常": "exception",
+        "物流异常": "exception",
+        "退回中": "return_initiated",
+        "已退回": "returned",
+        "退回完成": "returned",
+    },
 }
+# Keywords of tracking texts, in the order in which the rules are tried, with their confidence.
+KEYWORDS = {
+    "tracking_events": [
+        ("returned", ("return_done", "return_complete", "退回完成", "退件完成", "已退回", "返回仓库完成"), 0.96),
+        ("return_initiated", ("return_open", "returning", "return_request", "return_in_flow", "退件处理开始", "退回中", "包裹返回中", "退货申请"), 0.94),
+        ("delivered", ("pod_ok", "pod_signed", "customer_accept", "counter_accept", "colleague_pod", "receipt_posted", "locker_deposit",
+                       "妥投", "签收", "验收完成", "代收", "智能柜", "delivered"), 0.96),
+        ("delivery_failed", ("call_fail", "address_bad", "电话未接", "地址不详", "派送失败", "未妥投"), 0.92),
+        ("exception", ("weather_delay", "addr_unclear", "cancelled", "address_hold", "temp_alert", "landslide_hold", "details_pending",
+                       "异常", "延迟", "取消", "挂起", "滞留", "山体滑坡"), 0.9),
+        ("out_for_delivery", ("out_for_delivery", "local_run_start", "run_assigned", "await_lastmile", "address_run", "重新派送", "派送中",
+                              "正在派件", "派送开始", "配送启动", "配送员已接单", "按址派件", "等待末端派车", "delivering"), 0.94),
+        ("carrier_picked_up", ("pickup_ok", "pickup done", "pickup_closed", "collect_ok", "door_pickup", "whole_picked", "handover_done", "parcel collected",
+                               "shipment picked up", "快件已揽收", "已揽件", "已揽收", "收件完成", "取件完成", "提货完结", "货物已交接"), 0.96),
+        ("arrived_at_destination_city", ("delivery_zone", "待派件", "到达派送范围", "destination city", "destination station"), 0.88),
+        ("arrived_at_hub", ("hub_arr", "hub_unloaded", "transfer_landed", "province_in", "port_arrive", "dest_warehouse", "arrived @ destination hub",
+                            "arrived at hub", "中转扫描", "到达中转", "到达分拨", "到达枢纽", "落地枢纽", "进入目的地仓", "港口作业区"), 0.92),
+        ("departed_hub", ("trip_leave", "waypoint_scan", "departed sorting center", "中转车次出发", "经停站扫描", "离开分拨", "发往下一站"), 0.92),
+        ("origin_departed", ("outbound", "origin_exit", "origin_gateout", "loading_done", "vehicle_sealed", "sort_finish", "carton_confirm",
+                             "已出库", "始发地已发出", "离开发货", "装车完毕", "分拣完结", "装箱确认"), 0.92),
+        ("in_transit", ("linehaul in progress", "linehaul", "geo_in_transit", "final_mile_move", "reroute_notice", "route_resume",
+                        "运输中", "在途", "转运中", "运输抵达", "改线", "重新启运"), 0.94),
+        ("shipment_created", ("pre-advice created", "pack ready", "label_made", "mx_reg", "logistics_order", "fulfill_received", "task_new", "pallet_created",
+                              "precheck_pass", "manifest registered", "shipping label", "物流指令", "运单已创建", "运单预审", "货盘建档", "履约指令",
+                              "发运任务生成"), 0.9),
+    ],
+}
+# The codes of each table, and the longest text of a field.
 CODES = {
     "orders": ("created", "confirmed", "processing", "shipped", "delivered", "cancelled", "returned", "unmapped"),
-    "warehouse_events": ("order_received", "picking_started", "picking_completed", "quality_check_started", "quality_check_completed", "quality_check_failed", "packing_started", "packing_completed", "ready_to_ship", "shipped_from_warehouse", "cancelled", "unmapped"),
-    "tracking_events": ("shipment_created", "carrier_picked_up", "origin_departed", "in_transit", "arrived_at_hub", "departed_hub", "arrived_at_destination_city", "out_for_delivery", "delivered", "delivery_failed", "exception", "return_initiated", "returned", "unmapped"),
+    "warehouse_events": ("order_received", "picking_started", "picking_completed", "quality_check_started", "quality_check_failed", "quality_check_completed",
+                         "packing_started", "packing_completed", "ready_to_ship", "shipped_from_warehouse", "warehouse_cancelled", "unmapped"),
+    "tracking_events": ("shipment_created", "carrier_picked_up", "origin_departed", "in_transit", "arrived_at_hub", "departed_hub",
+                        "arrived_at_destination_city", "out_for_delivery", "delivered", "delivery_failed", "exception", "return_initiated", "returned", "unmapped"),
 }
+LONGEST = {"quantity_unit": 32, "sales_channel": 64, "exception_code": 64, "source_system": 64, "raw_order_status": 256, "raw_status": 256}
+LONGEST_ID = 128
 Keywords = list[tuple[str, tuple[str, ...], float]]
 
 
-def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = None, keywords: Keywords = (), auxiliary: tuple[str, ...] = ()) -> Column:
-    """struct(code, source, confidence): the project's own mapping, known synonyms, standard codes, then keywords in
-    the raw status and in auxiliary columns, the first rule that fits; else ``unmapped``.
+def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = None, keywords: Keywords | None = None, auxiliary: tuple[str, ...] = ()) -> Column:
+    """struct(code, source, confidence): the project's own mapping, known synonyms, standard codes, then keywords (the
+    table's own, unless given) in the raw status and in auxiliary columns, the first rule that fits; else ``unmapped``.
 
     Exact tiers are literal maps (a few dozen entries), keywords a chain of conditions, so a row costs no join.
     """
@@ -177,7 +267,7 @@ def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = N
     for column in (raw, *auxiliary):
         text = S.lookup_text(column)
         name = "builtin_keyword_raw" if column == raw else f"auxiliary_keyword:{column}"
-        for target, words, conf in keywords:
+        for target, words, conf in KEYWORDS.get(kind, []) if keywords is None else keywords:
             hit = None
             for w in words:
                 c = F.contains(text, S.lookup_text(F.lit(w)))
@@ -195,11 +285,15 @@ class Validation:
     issues: DataFrame
     statuses: DataFrame
 
+    def can_confirm(self) -> bool:
+        """Whether the import may go on: some row is valid and none has an error."""
+        return not self.valid.isEmpty() and self.issues.where("severity = 'ERROR'").isEmpty()
+
     def report(self) -> DataFrame:
         return self.issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_number").alias("rows"))
 
 
-def validate(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone: str = "Asia/Shanghai", project_map: dict[str, str] | None = None, keywords: Keywords = ()) -> Validation:
+def validate(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone: str = "Asia/Shanghai", project_map: dict[str, str] | None = None, keywords: Keywords | None = None, auxiliary: tuple[str, ...] = ()) -> Validation:
     """``rows``: text columns and row_number.  Rows with an error are left out; warnings stay.
 
     Identical repeats of a key keep the first; repeats that differ are errors, all of them.
@@ -233,19 +327,21 @@ def validate(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone:
         else:
             text = S.parse_text(f)
             out[f] = F.when(text != "", text)
+            problems.append(issue(F.length(text) > LONGEST.get(f, LONGEST_ID), f, "SCHEMA_VALIDATION_ERROR"))
     if contract.name == "orders":
         made = S.parse_datetime("created_at", zone)["value"]
-        problems += [issue(S.parse_datetime(f, zone)["value"] < made, f, "TIME_BEFORE_CREATED") for f in ("promised_delivery_time", "actual_delivery_time")]
+        problems += [issue(S.parse_datetime(f, zone)["value"] < made, f, "TIME_ORDER_CONFLICT") for f in ("promised_delivery_time", "actual_delivery_time")]
     if contract.name == "warehouse_events":
-        problems.append(issue(S.is_empty("quantity") != S.is_empty("quantity_unit"), "quantity", "DEPENDENT_FIELD_MISSING"))
+        problems.append(issue(S.is_empty("quantity") != S.is_empty("quantity_unit"), "quantity", "SCHEMA_VALIDATION_ERROR"))
     if contract.name == "tracking_events":
         made_id = S.generated_event_id([S.parse_text(F.coalesce(F.col(c), F.lit(""))) for c in ("shipment_id", "event_time", "raw_status", "order_id", "carrier_id", "sequence_number")], F.col("row_number"), [F.col(c) for c in ("shipment_id", "event_time", "raw_status")])
         out["tracking_event_id"] = F.coalesce(F.when(~S.is_empty("tracking_event_id"), S.parse_text("tracking_event_id")), made_id)
         out["exception_code"] = S.exception_code("exception_code")
+        problems.append(issue(S.unknown_exception("exception_code"), "exception_code", "EXCEPTION_CODE_UNKNOWN", "WARNING"))
     else:
         problems.append(issue(S.is_empty(contract.key), contract.key, "REQUIRED_VALUE_MISSING"))
     raw = contract.raw_status if contract.raw_status in mapping.values() else contract.status
-    status = normalize_status(contract.name, raw, project_map, keywords)
+    status = normalize_status(contract.name, raw, project_map, keywords, auxiliary)
     checked = df.select("row_number", *(c.alias(f) for f, c in out.items() if f != contract.raw_status), F.col(raw).alias(contract.raw_status), status.alias("st"), F.array_compact(F.array(*problems)).alias("problems"))
     body = [f for f in out if f not in (contract.key, contract.raw_status)]
     w = Window.partitionBy(contract.key)

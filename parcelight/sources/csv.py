@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -62,42 +63,58 @@ def clean_headers(names: list[str]) -> list[str]:
     return out
 
 
+ROW = "row_number long, cells array<string>, code string"
+
+
 def scan(spark: SparkSession, path: str, enc: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, issues) of one CSV file or a folder of files with one header.
 
     rows: row_number (of the line in its file, from 2), the columns as text.  issues: row_number, code.  Rows that are
-    short are padded, long ones cut, both with an issue; blank rows are skipped.  Files are read by
-    Spark, one task each, because quoted line breaks make a row's number depend on all before it.
+    short are padded, long ones cut, both with an issue; blank rows are skipped.  Every file's header is checked: the same
+    names in another order are put in order, other names make the file an issue (HEADER_MISMATCH) without rows.  Files are
+    read by Spark, one task each, because quoted line breaks make a row's number depend on all before it.
     """
     files = spark.read.format("binaryFile").load(path)
-    first = files.select("path", F.substring("content", 1, PROBE).alias("head")).orderBy("path").first()
+    first = files.where("length > 0").select("path", F.substring("content", 1, PROBE).alias("head")).orderBy("path").first()
     if first is None:
         raise ValueError("FILE_EMPTY")
     enc = encoding(enc) if enc else detect_encoding(bytes(first["head"]))[0]
     if enc is None:
         raise ValueError("ENCODING_REQUIRED")
     text = bytes(first["head"]).decode(enc, "ignore")
+    if len(first["head"]) == PROBE and "\n" not in text:
+        raise ValueError("HEADER_TOO_LONG")
     sep = sniff_delimiter(text.partition("\n")[0])
     headers = clean_headers(next(_csv.reader(io.StringIO(text, newline=""), delimiter=sep), []))
     width = len(headers)
 
+    def lines(content: bytes) -> Iterator[tuple[int, list[str] | None, str | None]]:
+        order: list[int] = []
+        for n, row in enumerate(_csv.reader(io.StringIO(content.decode(enc), newline=""), delimiter=sep), 1):
+            if n == 1:
+                names = [unicodedata.normalize("NFKC", x).strip().lstrip("\ufeff") for x in row]
+                if sorted(names) != sorted(headers):
+                    yield 1, None, "HEADER_MISMATCH"
+                    return
+                order = [names.index(h) for h in headers]
+            elif any(c.strip() for c in row):
+                cells = (row + [""] * width)[:width]
+                yield n, [cells[i] for i in order], "COLUMN_COUNT_MISMATCH" if len(row) != width else None
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                out = []
-                for n, row in enumerate(_csv.reader(io.StringIO(bytes(content).decode(enc), newline=""), delimiter=sep), 1):
-                    if n == 1 or not any(c.strip() for c in row):
-                        continue
-                    out.append((n, (row + [""] * width)[:width], len(row) != width))
-                    if len(out) == 5000:
-                        yield pd.DataFrame(out, columns=["row_number", "cells", "ragged"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["row_number", "cells", "ragged"])
-
-    cells = files.select("content").mapInPandas(parse, "row_number long, cells array<string>, ragged boolean")
-    rows = cells.select("row_number", *(F.col("cells")[i].alias(h) for i, h in enumerate(headers)))
-    return rows, cells.where("ragged").select("row_number", F.lit("COLUMN_COUNT_MISMATCH").alias("code"))
+                found = lines(bytes(content))
+                while out := list(itertools.islice(found, 5000)):
+                    yield pd.DataFrame(out, columns=["row_number", "cells", "code"])
+
+    cells = files.select("content").mapInPandas(parse, ROW)
+    return named(cells, headers), cells.where("code is not null").select("row_number", "code")
+
+
+def named(cells: DataFrame, headers: list[str]) -> DataFrame:
+    """Parsed lines as rows under their headers."""
+    return cells.where("cells is not null").select("row_number", *(F.col("cells")[i].alias(h) for i, h in enumerate(headers)))
 
 
 def line(*cells: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Datasets at rest: one Parquet table per data type, partitioned by dataset, and JSON lines."""
+"""Datasets at rest: one Parquet table per data type, partitioned by dataset, control rows, and JSON lines."""
 
 from __future__ import annotations
 
@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..operators.ingest import CONTRACTS
 
 KINDS = tuple(CONTRACTS)
+CONTROL = "dataset_id string, kind string, n_rows long, created_at timestamp"
 
 
 class Store:
-    """Tables under ``root``.  A write replaces exactly its dataset's partition; a read prunes to it."""
+    """Tables under ``root``.  A write replaces exactly its dataset's partition; a read prunes to it.
+
+    A dataset has a control row, written after its rows; should that fail, the rows are taken back.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,24 +25,68 @@ class Store:
             raise ValueError(f"no data type {kind}")
         return f"{self.root}/{kind}"
 
-    def register(self, kind: str, dataset_id: str, rows: DataFrame) -> None:
-        df = rows.withColumn("dataset_id", F.lit(dataset_id))
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(self._path(kind))
+    def _file(self, path: str):
+        """A path and its file system."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _drop(self, path: str) -> bool:
+        p, fs = self._file(path)
+        return bool(fs.delete(p, True))
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(path)
+
+    def register(self, kind: str, dataset_id: str, rows: DataFrame, created_at: str | None = None) -> None:
+        """Replace the dataset's rows and its control row."""
+        self._write(rows.withColumn("dataset_id", F.lit(dataset_id)), self._path(kind))
+        n = self.load(kind, dataset_id).count()
+        when = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
+        control = self.spark.range(1).select(F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n_rows"), when.alias("created_at"), F.lit(dataset_id).alias("dataset_id"))
+        try:
+            self._write(control, f"{self.root}/_datasets_{kind}")
+        except Exception:
+            self._drop(f"{self._path(kind)}/dataset_id={dataset_id}")
+            raise
 
     def load(self, kind: str, dataset_id: str) -> DataFrame:
-        """Rows of the contract, with source_index as their order."""
+        """Rows of the contract in the order of their source_index; a column of another type than the contract's is an error."""
         df = self.spark.read.parquet(self._path(kind)).where(F.col("dataset_id") == dataset_id)
-        return df.select(*[f for f in CONTRACTS[kind].schema.fieldNames() if f in df.columns])
+        fields = [f for f in CONTRACTS[kind].schema.fields if f.name in df.columns]
+        for f in fields:
+            if df.schema[f.name].dataType != f.dataType and f.name not in CONTRACTS[kind].times:
+                raise ValueError(f"{kind}.{f.name} is no {f.dataType.simpleString()}")
+        return df.select(*(f.name for f in fields))
+
+    def control(self, kind: str) -> DataFrame:
+        """Control rows of a data type, the newest first."""
+        path = f"{self.root}/_datasets_{kind}"
+        p, fs = self._file(path)
+        rows = self.spark.read.parquet(path) if fs.exists(p) else self.spark.createDataFrame([], CONTROL)
+        return rows.select("dataset_id", "kind", "n_rows", "created_at").orderBy(F.desc("created_at"), "dataset_id")
 
     def list(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(kind)).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")).orderBy("dataset_id")
+        return self.control(kind).select("dataset_id", F.col("n_rows").alias("n"))
+
+    def get(self, kind: str, dataset_id: str) -> DataFrame:
+        return self.control(kind).where(F.col("dataset_id") == dataset_id)
+
+    def bind(self, dataset_id: str, name: str, rows: DataFrame) -> None:
+        """Keep a result that belongs to a dataset (a scenario, a report) until the dataset goes."""
+        self._write(rows.withColumn("dataset_id", F.lit(dataset_id)), f"{self.root}/_bound/{name}")
 
-    def delete(self, dataset_id: str) -> dict[str, bool]:
-        """Drop the dataset's partitions of every type; tells which existed."""
-        jvm, out = self.spark._jvm, {}
+    def delete(self, dataset_id: str) -> dict[str, int]:
+        """Drop the dataset's rows of every type, its control rows and what is bound to it; how many rows each type had, and how many
+        bound results there were (``bound``)."""
+        out = {}
         for kind in KINDS:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self._path(kind)}/dataset_id={dataset_id}")
-            out[kind] = bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True))
+            row = self.get(kind, dataset_id).first()
+            out[kind] = row["n_rows"] if row else 0
+            self._drop(f"{self._path(kind)}/dataset_id={dataset_id}")
+            self._drop(f"{self.root}/_datasets_{kind}/dataset_id={dataset_id}")
+        p, fs = self._file(f"{self.root}/_bound")
+        names = [str(x.getPath()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        out["bound"] = sum(self._drop(f"{n}/dataset_id={dataset_id}") for n in names)
         return out
 
 

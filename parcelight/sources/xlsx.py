@@ -6,11 +6,13 @@ import datetime as dt
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .csv import clean_headers
+from .csv import ROW, clean_headers, named
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 _REL = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
@@ -131,8 +133,58 @@ def read(raw: bytes, sheet: str | None = None) -> tuple[list[str], list[tuple[in
 
 
 def scan(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of one workbook, which :data:`MAX_BYTES` bounds."""
-    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
-    headers, rows, issues = read(raw, sheet)
-    schema = "row_number long, " + ", ".join(f"`{h}` string" for h in headers)
-    return spark.createDataFrame([(n, *r) for n, r in rows], schema), spark.createDataFrame(issues, "row_number long, code string")
+    """(rows, issues) of one workbook or a folder of workbooks with one header; :data:`MAX_BYTES` bounds each."""
+    return scan_files(spark.read.format("binaryFile").load(path), sheet)
+
+
+def scan_files(files: DataFrame, sheet: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, issues) of the workbooks in ``files`` (path, content), each parsed by one task.
+
+    The first by path gives the header.  A workbook with other names, or an unsafe one, gives an issue and no rows.
+    """
+    first = files.orderBy("path").select("content").first()
+    if first is None:
+        raise ValueError("FILE_EMPTY")
+    headers = read(bytes(first["content"]), sheet)[0]
+
+    def lines(raw: bytes) -> Iterator[tuple[int, list[str | None] | None, str | None]]:
+        try:
+            names, rows, issues = read(raw, sheet)
+        except ValueError as e:
+            yield 0, None, str(e)
+            return
+        if sorted(names) != sorted(headers):
+            yield 1, None, "HEADER_MISMATCH"
+            return
+        order = [names.index(h) for h in headers]
+        for n, cells in rows:
+            yield n, [cells[i] for i in order], None
+        for n, code in issues:
+            yield n, None, code
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for raw in pdf["content"]:
+                yield pd.DataFrame(list(lines(bytes(raw))), columns=["row_number", "cells", "code"])
+
+    cells = files.select("content").mapInPandas(parse, ROW)
+    return named(cells, headers), cells.where("code is not null").select("row_number", "code")
+
+
+# The kinds of file that an import takes, and the media types they come with.
+MEDIA = {
+    "csv": ("text/csv", "application/csv", "application/vnd.ms-excel", "text/plain", "application/octet-stream"),
+    "xlsx": ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/zip", "application/octet-stream"),
+}
+
+
+def source_kind(name: str, head: bytes, media: str | None = None) -> str:
+    """``csv`` or ``xlsx`` by extension, or ValueError where the media type or the first bytes say otherwise."""
+    kind = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if kind not in MEDIA:
+        raise ValueError("EXTENSION_NOT_ALLOWED")
+    if media and media.split(";")[0].strip().lower() not in MEDIA[kind]:
+        raise ValueError("MEDIA_TYPE_NOT_ALLOWED")
+    if kind == "xlsx" and head[:2] != b"PK" or kind == "csv" and (head[:2] == b"PK" or head[:4] == b"\xd0\xcf\x11\xe0" or b"\0" in head):
+        raise ValueError("CONTENT_MISMATCH")
+    return kind

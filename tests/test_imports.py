@@ -77,6 +77,15 @@ def test_csv(spark, tmp_path):
     assert csv.export_bytes(rows.select("id").orderBy("row_number").limit(1)) == "﻿id\r\n1\r\n".encode()
 
 
+def test_csv_checks_every_header(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("id,name\n1,a\n")
+    (tmp_path / "2.csv").write_text("name,id\nb,2\n")
+    (tmp_path / "3.csv").write_text("other,id\nc,3\n")
+    rows, issues = csv.scan(spark, str(tmp_path))
+    assert sorted((r["id"], r["name"]) for r in rows.collect()) == [("1", "a"), ("2", "b")]
+    assert [tuple(r) for r in issues.collect()] == [(1, "HEADER_MISMATCH")]
+
+
 def workbook(sheet, extra=()):
     raw = io.BytesIO()
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -100,6 +109,18 @@ def test_xlsx():
             xlsx.check(bad)
 
 
+def test_xlsx_reads_every_workbook(spark):
+    text = lambda r, t: f'<c r="{r}" t="inlineStr"><is><t>{t}</t></is></c>'
+    books = [workbook(f'<row r="1">{text("A1", "id")}{text("B1", "n")}</row><row r="2">{text("A2", f"{i}")}{text("B2", "x")}</row>') for i in range(3)]
+    files = [(f"{i}", b) for i, b in enumerate(books)] + [("9", workbook("", ["xl/vbaProject.bin"]))]
+    rows, issues = xlsx.scan_files(spark.createDataFrame(files, "path string, content binary"))
+    assert sorted(r["id"] for r in rows.collect()) == ["0", "1", "2"] and [r["code"] for r in issues.collect()] == ["MACROS"]
+    assert xlsx.source_kind("a.XLSX", b"PK") == "xlsx"
+    for name, head, media in (("a.exe", b"", None), ("a.csv", b"PK", None), ("a.csv", b"x", "image/png"), ("a.xlsx", b"hello", None)):
+        with pytest.raises(ValueError):
+            xlsx.source_kind(name, head, media)
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}")
     rows = spark.createDataFrame([(None,) * 13 + (i,) for i in range(3)], ingest.CONTRACTS["orders"].schema)
@@ -107,7 +128,10 @@ def test_store(spark, tmp_path):
     s.register("orders", "b", rows)
     s.register("orders", "a", rows.limit(1))
     assert {r["dataset_id"]: r["n"] for r in s.list("orders").collect()} == {"a": 1, "b": 3}
-    assert s.delete("a")["orders"] and [r["dataset_id"] for r in s.list("orders").collect()] == ["b"]
+    s.bind("a", "scenario", spark.range(2))
+    s.bind("b", "scenario", spark.range(2))
+    assert s.delete("a") == {"orders": 1, "warehouse_events": 0, "tracking_events": 0, "bound": 1}
+    assert [r["dataset_id"] for r in s.list("orders").collect()] == ["b"] and s.load("orders", "b").count() == 3
 
 
 def test_report(spark):
