@@ -125,8 +125,15 @@ def line(*cells: Column | str) -> Column:
 
 
 def write(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with header, every cell guarded against spreadsheet formulas."""
-    df.select(*(escape_cell(F.col(f"`{c}`")).alias(c) for c in df.columns)).write.option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+    """A folder of CSV parts (UTF-8 with BOM, CRLF lines), each with the header, every cell guarded against spreadsheet formulas.
+
+    Lines are built here, as Spark's CSV writer would turn a line feed within a cell into its own line end.
+    """
+    head = F.lit("\ufeff" + ",".join(df.columns))
+    # the first row of a partition, which becomes a part, brings the header with it
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    text = df.select(line(*(F.col(f"`{c}`") for c in df.columns)).alias("line"), first.alias("first"))
+    text.select(F.explode(F.when(F.col("first"), F.array(head, F.col("line"))).otherwise(F.array("line")))).write.option("lineSep", "\r\n").text(path)
 
 
 def export_bytes(df: DataFrame, most: int = 100_000) -> bytes:
