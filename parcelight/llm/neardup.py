@@ -355,7 +355,8 @@ def _rare_pairs(nodes: DataFrame, hashed: DataFrame, k: int, least: float) -> Da
 
     Of sizes m and n at least r * (m + n) k-mers must be shared, r = least / (1 + least).  If the rarest shared one
     stands at place i of a text of m, at most m - i are shared, so n is at most ``reach`` = (m - i) / r - m; the
-    same holds the other way round.  A k-mer that one text alone holds needs no place in the join.
+    same holds the other way round.  A k-mer that one component alone holds can be shared by no pair: such ones come
+    first in the order and need no place in the join.
     """
     r = least / (1 + least)
 
@@ -368,9 +369,9 @@ def _rare_pairs(nodes: DataFrame, hashed: DataFrame, k: int, least: float) -> Da
 
     rows = nodes.join(hashed, "node").select("node", "comp", "hashes").mapInPandas(sets, "node long, comp long, side int, size long, held array<long>")
     rows = stored(rows.select("node", "comp", "side", "size", F.explode("held").alias("gram")), "grams")
-    often = rows.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("side", "node").orderBy("often", "gram")) - 1
-    posts = rows.join(often, ["side", "gram"]).withColumn("place", place).where("often > 1")
+    often = rows.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("often"), (F.min("comp") != F.max("comp")).alias("meets"))
+    place = F.row_number().over(Window.partitionBy("side", "node").orderBy("meets", "often", "gram")) - 1
+    posts = rows.join(often, ["side", "gram"]).withColumn("place", place).where("meets")
     posts = posts.withColumn("reach", (F.col("size") - F.col("place")) / r - F.col("size") + 1e-6).where(F.col("reach") >= least * F.col("size"))
     posts = stored(posts.select("side", "gram", "node", "comp", "size", "reach"), "posts")
     # the larger text looks for smaller ones that reach up to it
