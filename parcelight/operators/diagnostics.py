@@ -98,7 +98,7 @@ def carrier_relative(f: Facts, rule: Rule) -> DataFrame:
     rate_hit = (F.col("known") >= least) & (F.col("all_known") - F.col("known") >= least) & (cover >= rule["minimum_coverage"]) & ((gap > step) | close(gap, step))
     p90_hit = (F.col("n_d") >= least) & (F.col("all_d") - F.col("n_d") >= least) & (F.col("p90") >= F.col("peer_p90") * rule["p90_ratio"])
     c = c.withColumns({"rate": rate, "peer": peer, "coverage": cover, "rate_hit": F.coalesce(rate_hit, F.lit(False)), "p90_hit": F.coalesce(p90_hit, F.lit(False))}).where("rate_hit or p90_hit")
-    rows = done.select("order_id", "carrier_id").join(F.broadcast(c), "carrier_id")  # a row per carrier
+    rows = done.select("order_id", "carrier_id").join(c, "carrier_id")  # a row per carrier
     severity = F.when(F.col("rate_hit") & F.col("p90_hit"), "high").otherwise(rule.severity)
     pick = lambda a, b: F.when(F.col("rate_hit"), a).otherwise(b)
     return _evidence(rows, rule, F.col("carrier_id"), severity, "carrier", F.col("carrier_id"), pick(F.col("rate"), F.col("p90")), pick(step, F.col("peer_p90") * rule["p90_ratio"]), pick(F.col("peer"), F.col("peer_p90")), F.col("coverage"), F.col("n"))
@@ -114,7 +114,7 @@ def others_quantile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     keys = v.select(key).distinct()
     total = v.groupBy("v").agg(F.sum("c").alias("t"))
     # keys are few (carriers); each gets the value table once, as counts
-    grid = total.crossJoin(F.broadcast(keys.withColumnRenamed(key, "k")))
+    grid = total.crossJoin(keys.withColumnRenamed(key, "k"))
     less = grid.join(v.withColumnRenamed(key, "k"), ["k", "v"], "left").select("k", "v", (F.col("t") - F.coalesce("c", F.lit(0))).alias("w")).where("w > 0")
     return less.groupBy(F.col("k").alias(key)).agg(F.percentile("v", F.lit(q), F.col("w")).alias("peer_p90"))
 

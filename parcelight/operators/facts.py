@@ -119,7 +119,7 @@ def instances(groups: DataFrame) -> DataFrame:
 
 def evaluate(orders: DataFrame, warehouse: DataFrame, tracking: DataFrame, keep=lambda df: df) -> Facts:
     """``keep`` may store the intermediate tables that several steps read."""
-    o = prepare_orders(orders)
+    o = prepare_orders(orders, keep)
     wh, wh_warnings = prepare_events(warehouse, "event_id", o.valid, keep)
     tr, tr_warnings = prepare_events(tracking, "tracking_event_id", o.valid, keep)
     decided = keep(order_decisions(o.valid))

@@ -37,23 +37,26 @@ def instant(df: DataFrame, name: str) -> Column:
     return parse_time(name) if kind == "string" else F.col(name).cast("timestamp")
 
 
-def deduplicated(df: DataFrame, key: str) -> DataFrame:
+def deduplicated(df: DataFrame, key: str, keep=lambda df: df) -> DataFrame:
     """One row per key: the first by source_index, with ``n`` (rows) and ``conflict`` (rows that differ).
 
-    Rows are compared as structs: a hash of the values would pass over nulls, so a value that moves from one column
-    to another would look the same.
+    Keys that repeat are counted first; ``keep`` may store them, so that the planner knows their size and, while they are few, passes
+    over the table without moving it.  Only rows of such keys are grouped.  They are compared as structs: a hash of the
+    values would pass over nulls, so a value that moves from one column to another would look the same.
     """
     body = [c for c in df.columns if c not in ("source_index", key)]
+    many = keep(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    alone = df.join(many, key, "left_anti").select(key, *body, "source_index", F.lit(1).cast("long").alias("n"), F.lit(False).alias("conflict"))
     same = F.struct(*body)
     first = F.min_by(F.struct(*body, "source_index"), "source_index").alias("first")
-    out = df.groupBy(key).agg(first, F.count(F.lit(1)).alias("n"), (F.min(same) != F.max(same)).alias("conflict"))
-    return out.select(key, "first.*", "n", "conflict")
+    groups = df.join(many, key, "left_semi").groupBy(key).agg(first, F.count(F.lit(1)).alias("n"), (F.min(same) != F.max(same)).alias("conflict"))
+    return alone.unionByName(groups.select(key, "first.*", "n", "conflict"))
 
 
-def prepare_orders(orders: DataFrame) -> Orders:
+def prepare_orders(orders: DataFrame, keep=lambda df: df) -> Orders:
     """Blank ids are invalid, identical repeats collapse to the first, conflicting ones are set aside."""
     blank = orders.where(is_empty("order_id"))
-    one = deduplicated(orders.where(~is_empty("order_id")), "order_id")
+    one = deduplicated(orders.where(~is_empty("order_id")), "order_id", keep)
     valid = one.where(~F.col("conflict")).drop("n", "conflict")
     lost = blank.agg(F.count(F.lit(1)).alias("blank"))
     totals = one.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum(F.col("conflict").cast("long")), F.lit(0)).alias("conflicts")).crossJoin(lost)  # one row on either side
@@ -70,7 +73,7 @@ def prepare_events(events: DataFrame, id_col: str, valid_orders: DataFrame, keep
     it in the source (same order and shipment, among those that stay) is only marked.  ``keep`` may store what several later steps read.
     """
     blank = events.where(is_empty(id_col))
-    one = keep(deduplicated(events.where(~is_empty(id_col)), id_col))
+    one = keep(deduplicated(events.where(~is_empty(id_col)), id_col, keep))
     created = valid_orders.select("order_id", instant(valid_orders, "created_at").alias("created_ts"), F.lit(True).alias("known"))
     shipment = F.coalesce(F.nullif(F.col("shipment_id"), F.lit("")), F.lit("unknown")) if "shipment_id" in events.columns else F.lit("")
     location = F.coalesce(F.nullif(F.col("location_code"), F.lit("")), F.lit("unknown")) if "location_code" in events.columns else F.lit("")
