@@ -24,12 +24,14 @@ def take(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a new one is set.
+    Only where the session names none and runs on one machine (tests) a new one is set; on a cluster that is an error.
     """
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="parcelight-")
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")

@@ -122,7 +122,11 @@ def _judged(texts: DataFrame, items: DataFrame, n_blocks: int, width: int, share
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_chars: int = 8_000_000) -> DataFrame:
-    """The rows of ``docs``, columns as they were, that :func:`decontaminate` does not call contaminated."""
+    """The rows of ``docs``, columns as they were, that :func:`decontaminate` does not call contaminated.
+
+    Every row is judged by its own text, whatever its id and however large the benchmark; a null or empty text is clean, and so is
+    all against an empty benchmark.  Columns of any name pass through.
+    """
     items, n_blocks = _items(benchmark, block_chars)
     if n_blocks > 1:  # the blocks' hits have to be brought together first
         rows = stored(positional(docs).withColumn("row", F.monotonically_increasing_id()), "decontaminate")

@@ -139,7 +139,9 @@ def _clear_of(spans: Column, base: Column) -> Column:
 def scan(docs: DataFrame, table: list[int], threshold: float = 0.4) -> DataFrame:
     """Adds to doc_id and text the spans: array of (start, rank, end, kind), by start, then kind as listed.
 
-    A token that touches a base span gives no span of its own.
+    A token that touches a base span gives no span of its own.  A null text counts as empty and has no span; repeated rows are
+    scanned each; other columns are not read; an empty table gives an empty result.  Work grows with a text's length, also for a
+    token or a number of spans as long as the text.
     """
     df = take(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     return _scanned(df, table, threshold)
