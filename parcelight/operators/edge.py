@@ -95,3 +95,32 @@ def filter_coverage(kept: DataFrame, everything: DataFrame) -> DataFrame:
     """Orders left by a filter, orders there were, and their ratio."""
     a, b = kept.agg(F.count(F.lit(1)).alias("order_count")), everything.agg(F.count(F.lit(1)).alias("unfiltered_order_count"))
     return a.crossJoin(b).withColumn("data_coverage", _half_up(ratio(F.col("order_count"), F.col("unfiltered_order_count")), 4))  # one row on either side
+
+
+def scenario(orders: DataFrame, intervals: DataFrame, warehouse: list[tuple[str, float, bool, tuple[str, ...]]], pickup: tuple[float, tuple[str, ...]] = (0, ()), promise_hours: float = 0, watched: str = WATCHED_CARRIER) -> DataFrame:
+    """:func:`decided` orders after edits of their durations: no event moves in this dialect.
+
+    ``warehouse``: (interval, hours or percent, whether percent, warehouses) one after another, each taken from the order's first such
+    interval and from its duration; then ``pickup`` (hours, carriers); the delivery follows the duration, the promise moves
+    by ``promise_hours``.  Empty warehouses or carriers mean all.  Durations are rounded to two places after each edit.
+    """
+    first = intervals.groupBy("order_id", "interval_code").agg(F.min(F.struct("start_ts", "end_ts", "hours")).alias("i"))
+    codes = list(dict.fromkeys(code for code, *_ in warehouse))
+    node = lambda c: F.max(F.when(F.col("interval_code") == c, F.col("i.hours"))).alias(f"n_{c}")
+    df = decided(orders, watched)
+    if codes:
+        df = df.join(first.groupBy("order_id").agg(*(node(c) for c in codes)), "order_id", "left")
+    before = F.col("duration_hours")
+    for code, value, percent, places in warehouse:
+        held = F.col(f"n_{code}")
+        cut = F.least(held, held * value / 100 if percent else F.lit(float(value)))
+        fits = held.isNotNull() & (cut > 0) & (F.col("warehouse_id").isin(*places) if places else F.lit(True))
+        df = df.withColumns({"duration_hours": F.when(fits, _half_up(F.greatest(before - cut, F.lit(0.0)), 2)).otherwise(before), f"n_{code}": F.when(fits, _half_up(held - cut, 2)).otherwise(held)})
+    hours, carriers = pickup
+    if hours:
+        fits = F.col("carrier_id").isin(*carriers) if carriers else F.lit(True)
+        df = df.withColumn("duration_hours", F.when(fits, _half_up(before - F.least(before, F.lit(float(hours))), 2)).otherwise(before))
+    micros = lambda h: F.round(h * 3.6e9).cast("long")
+    moved = F.timestamp_micros(F.unix_micros("created_ts") + micros(F.col("duration_hours")))
+    later = F.timestamp_micros(F.unix_micros("promised_ts") + micros(F.lit(float(promise_hours))))
+    return decided(df.withColumns({"actual_ts": F.coalesce(moved, F.col("actual_ts")), "promised_ts": later}).select(*(c for c in orders.columns if c in df.columns)), watched)

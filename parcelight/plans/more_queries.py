@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..contract import resolve_rules
 from ..functions import scalars as S
 from ..operators.facts import kept
-from ..operators import browser, dashboard, diagnostics, metrics, recommend, report, simulate
+from ..operators import browser, dashboard, diagnostics, edge, metrics, recommend, report, simulate
 from ..sources.shared import stored
 from .queries import ZONE, _analysis, _facts, _r, registered
 
@@ -158,6 +158,12 @@ def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.brief(rows).select("place", "fact_id", "topic", "score", "priority")
 
 
+def edge_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir)
+    edits = [("picking", 50.0, True, ("WH-1", "WH-2")), ("packing", 0.5, False, ())]
+    return edge.metrics(edge.scenario(f.orders, f.intervals, edits, (2.0, ("CAR-1",)), 12, "CAR-2"))
+
+
 def masked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _facts(spark, sf_dir)
     return report.masked(f.tracking.select("tracking_event_id", "order_id", "shipment_id", "event_code", "source_index"))
@@ -190,5 +196,6 @@ def queries() -> dict[str, Query]:
         "sensitivity_promise": sensitivity, "pickup_by_carrier": pickup_by_carrier, "fingerprints": fingerprints,
         "carrier_shares": carrier_shares, "baseline_snapshot": baseline_snapshot,
         "metric_detail": metric_detail, "simulation_comparison": simulation_comparison, "data_quality_errors": data_quality_errors,
-        "report_sections": report_sections, "brief": brief, "masked_events": masked_orders, "time_labels": time_labels,
+        "report_sections": report_sections, "brief": brief, "masked_events": masked_orders, "edge_scenario": edge_scenario,
+        "browser_recommendations": lambda s, d: recommend.browser(metrics.build_metrics(_facts(s, d))), "time_labels": time_labels,
     }

@@ -78,7 +78,40 @@ def more() -> dict[str, str]:
     UNION ALL SELECT 'distribution', CAST(bins.bin AS VARCHAR), 'n', coalesce(n, 0) FROM bins LEFT JOIN hc ON hc.bin = bins.bin
     UNION ALL SELECT 'nodes', code, CASE WHEN p90 = (SELECT max(p90) FROM np) THEN 'bottleneck_p90' ELSE 'p90' END, p90 FROM np
     UNION ALL SELECT 'breakdown', g, code, value FROM mc WHERE code IN {RATES})"""
-    return {k: HEAD + v for k, v in q.items()}
+    q["browser_recommendations"] = _browser(m(ALL, **TOTAL))
+    return {k: HEAD + v for k, v in q.items()} | _edge_scenario()
+
+
+def _browser(head: str) -> str:
+    up = lambda x: f"CAST(floor({x} + 0.5) AS INTEGER)"
+    v = lambda c, code: f"max({c}) FILTER (WHERE code = '{code}')"
+    rate = lambda x, target, base, by, capped: f"SELECT 'metric:{x}' AS fact_id, " + (f"CASE WHEN {x}_c < 0.8 THEN least(64, s) ELSE s END" if capped else "s") + f" AS score FROM (SELECT *, least(94, {up(f'{base} + ({target}e0 - {x}_v) * 180 + {x}_c * {by}')}) AS s FROM w) WHERE {x}_v < {target}"
+    wide = ", ".join(f"{v('value', f'{x}_rate')} AS {x}_v, coalesce({v('coverage', f'{x}_rate')}, 0e0) AS {x}_c" for x in ("ot", "if", "otif"))
+    return head + f""", w AS (SELECT {wide}, {v("value", "anomaly_order_rate")} AS an, {v("value", "data_coverage_rate")} AS dc, {v("value", "fulfillment_duration_median_hours")} AS p50,
+    {v("value", "fulfillment_duration_p90_hours")} AS p90, count(*) FILTER (WHERE value IS NULL) AS missing FROM m),
+    f AS ({rate("ot", 0.95, 45, 15, True)} UNION ALL {rate("if", 0.98, 45, 15, True)} UNION ALL {rate("otif", 0.95, 50, 12, False)}
+    UNION ALL SELECT 'metric:fulfillment_long_tail', least(90, {up("58 + least(p90 - p50, 72e0) / 4")}) FROM w WHERE p90 - p50 > greatest(8e0, 0.35e0 * p50)
+    UNION ALL SELECT 'metric:anomaly', least(92, {up("50 + an * 180")}) FROM w WHERE an >= 0.05
+    UNION ALL SELECT 'data:coverage', CASE WHEN coalesce(dc < 0.6, true) THEN 82 ELSE 62 END FROM w WHERE coalesce(dc < 0.8, true) OR missing > 0)
+    SELECT fact_id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'watch' END AS priority FROM f"""
+
+
+def _edge_scenario() -> dict[str, str]:
+    """The edge dialect's own SQL over orders whose durations were edited first."""
+    from .oracle import _edge
+
+    up = lambda x: f"floor(({x}) * 100 + 0.5) / 100.0e0"
+    first = lambda code: f"(SELECT order_id, min({{'s': s, 'e': e, 'hours': hours}}).hours AS n FROM iv WHERE code = '{code}' GROUP BY 1)"
+    base = _edge()["edge_metrics"]
+    start = base.index("er AS (")
+    edits = f""", es AS (SELECT od.*, {up("epoch_us(actual - created_at) / 3.6e9")} AS h0, pk.n AS pk, pa.n AS pa FROM od LEFT JOIN {first("picking")} pk USING (order_id) LEFT JOIN {first("packing")} pa USING (order_id)),
+    e1 AS (SELECT *, CASE WHEN pk * 0.5e0 > 0 AND warehouse_id IN ('WH-1', 'WH-2') THEN {up("greatest(h0 - pk * 50 / 100, 0e0)")} ELSE h0 END AS h1 FROM es),
+    e2 AS (SELECT *, CASE WHEN least(pa, 0.5e0) > 0 THEN {up("greatest(h1 - least(pa, 0.5e0), 0e0)")} ELSE h1 END AS h2 FROM e1),
+    e3 AS (SELECT *, CASE WHEN carrier_id = 'CAR-1' THEN {up("h2 - least(h2, 2e0)")} ELSE h2 END AS h3 FROM e2),
+    e4 AS (SELECT * REPLACE (coalesce(created_at + to_microseconds(CAST(round(h3 * 3.6e9) AS BIGINT)), actual) AS actual, promised + INTERVAL 12 HOUR AS promised) FROM e3),
+    eo AS (SELECT *, actual <= promised AS a, delivered >= ordered AS b, {up("epoch_us(actual - created_at) / 3.6e9")} AS h FROM e4),
+"""
+    return {"edge_scenario": HEAD + edits + base[start:]}
 
 
 def _evidence_queries() -> dict[str, str]:
