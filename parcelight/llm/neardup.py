@@ -7,8 +7,8 @@ in a table when they share those k-mers in the same order: a probe for edit simi
 agree in a table meet in a bucket.
 
 Equal texts are one node.  A bucket is not expanded into pairs: its members are compared with a few
-leaders of other components, the links so found are closed into components, and the leaders retire.  The next
-rounds take twice as many leaders, of nodes that have links (hubs) alone, first one of each component, as
+leaders of other components, those that meet most texts in their buckets first, the links so found are closed into
+components, and the leaders retire.  The next rounds take twice as many leaders, of nodes that have links (hubs) alone, first one of each component, as
 long as a good share of the compared pairs links.  A bucket is then open while members that never led lie
 in several components.  All members of open buckets are joined at last by their rarest k-mers: of two similar
 texts the shared k-mers are so many that one stands early in both when each text's k-mers are ordered by rarity,
@@ -274,9 +274,11 @@ def _classes(texts: DataFrame, k: int, least: float, tables: int, depth: int) ->
     first_row = F.min(F.struct(*NAME)).alias("row")
     nodes = stored(prep.groupBy("node").agg(F.min("doc_id").alias("first_id"), first_row, F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("keys", "size", "kinds"))), "nodes")
     bucketed = nodes.select("node", "size", "kinds", F.explode(F.array_distinct("keys")).alias("bucket"))
-    # only buckets with company matter
-    crowd = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # only buckets with company matter; a text that many others are edited from meets most of them in its buckets
+    crowd = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = stored(bucketed.join(crowd, "bucket"), "buckets")
+    met = rows.groupBy("node").agg(F.sum("n").alias("met"))
+    rows = stored(rows.drop("n").join(met, "node"), "buckets")
     hashed = _word_table(texts, rows, nodes, k)
     found: DataFrame | None = None
     tried: DataFrame | None = None
@@ -293,7 +295,7 @@ def _classes(texts: DataFrame, k: int, least: float, tables: int, depth: int) ->
         if named.isEmpty():
             break
         if fruitful:
-            order = (F.desc("degree"), _hash("node"), "node")
+            order = (F.desc("degree"), F.desc("met"), _hash("node"), "node")
             hubs = named if labels is None else named.where("degree > 0")
             lead = hubs.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "comp").orderBy(*order))).where(F.col("turn") <= n_leaders)
             lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", *order))).where(F.col("place") <= n_leaders)
