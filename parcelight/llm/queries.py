@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from . import language, secrets, toxicity
+from .audit import MEASURES, filter_audit
 from .decontaminate import decontaminate
 from .neardup import near_duplicates
 from .packing import pack, tokenize_pieces
@@ -17,6 +18,7 @@ from .records import round_trip
 from .sharding import shard
 from .topk import top_k
 from .urls import filter_urls
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -84,6 +86,29 @@ a AS (SELECT r, CAST(count(*) FILTER (WHERE kind = 'assign') AS BIGINT) AS n_ass
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
 
 
+#: Orders by recursion; a document's failures are letters, so a step is a comparison of letter sets.
+OP13_SQL = r"""
+WITH RECURSIVE l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM t GROUP BY t),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t.t) - length(regexp_replace(t.t, '[A-Z]', '', 'g'))) > 5 * length(t.t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t.t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN least IS NOT NULL AND (t.doc_id IS NULL OR t.doc_id > least) THEN 'E' ELSE '' END AS fails
+    FROM t JOIN m ON t.t = m.t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM d GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+p AS (SELECT '' AS o UNION ALL SELECT o || f FROM p, f WHERE NOT contains(o, f)),
+s AS (SELECT o AS filter_order, k AS step, substr(o, k, 1) AS f, substr(o, 1, k - 1) AS done FROM (SELECT o, unnest(range(1, 6)) AS k FROM p WHERE length(o) = 5)),
+x AS (SELECT part, filter_order, step, f, n, good, bad, fails = f AS alone, contains(fails, f) AS hit, length(translate(fails, done, '')) < length(fails) AS gone FROM c, s),
+y AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(bad) FILTER (NOT gone AND hit), 0) AS toxic_lost FROM x GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM y
+"""
+
+
 def packed_digest(docs: DataFrame) -> DataFrame:
     """Placed pieces with a digest of each piece's ids; the ids themselves need not travel with it."""
     pieces = tokenize_pieces(docs, tokenizer_file("byte_bpe_50k.json"))
@@ -147,6 +172,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secrets.KINDS[:3]), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"), 4)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("part", "filter_order", "step", *MEASURES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -159,6 +192,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_secret_scans": op10_secret_scans,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -168,4 +203,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": OP5_SQL,
         "op6_top_k": OP6_SQL,
         "op10_secret_scans": op10_sql(),
+        "op13_filter_audit": OP13_SQL,
     }
