@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from . import language, secrets, toxicity
+from . import language, privacy, secrets, toxicity
 from .audit import MEASURES, filter_audit
 from .decontaminate import decontaminate
 from .neardup import near_duplicates
@@ -172,6 +172,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secrets.KINDS[:3]), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.scan(read(spark, sf_dir, "documents"), privacy.train(privacy.default_samples(spark)))
+    base = F.filter("spans", lambda s: s["rank"] < len(privacy.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in privacy.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"), 4)
 
@@ -192,6 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_secret_scans": op10_secret_scans,
+        "op11_personal_data": op11_personal_data,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_filter_audit": op13_filter_audit,
     }
