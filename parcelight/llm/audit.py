@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import stored, take
 
 FILTERS = "ABCDE"
 #: What separates words beside the space.
@@ -57,6 +57,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     told = marked(labels).withColumn("salt", F.lit(0).cast("long"))
     judged = alike.join(told, ["doc_id", "salt"], "left").withColumns({"good": F.coalesce("good", F.lit(0)), "bad": F.coalesce("bad", F.lit(0))})
     grouped = judged.groupBy("name", "part", "own", "good", "bad").agg(F.sum("n").alias("n"), F.min_by("n", "doc_id").alias("n_first"), F.min("doc_id").alias("first"))
+    grouped = stored(grouped, "audit-texts")  # met twice below; the texts are read once
     least = grouped.groupBy("name").agg(F.min("first").alias("least"))
     # the rows of a text's smallest id do not repeat; a text of which no row has an id repeats nowhere
     free = F.when(F.col("least").isNull(), F.col("n")).when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0)
@@ -97,7 +98,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     What counts as failing, and null, repeated and unlabelled rows: :func:`failures`.  An empty table has no part and gives
     no row; columns other than doc_id, text and source, and of labels other than doc_id, quality and toxic, are not read.
     """
-    by_edge = lattice(failures(docs, labels))
+    by_edge = lattice(stored(failures(docs, labels), "audit-sets"))  # at most 32 rows a part
     shapley = by_edge.groupBy("part", "filter").agg(F.sum("weighted").alias("shapley"))
     # 600 rows by rule
     path = F.broadcast(docs.sparkSession.createDataFrame(steps(), "filter_order string, step int, applied int, filter int"))

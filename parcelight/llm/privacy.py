@@ -161,7 +161,7 @@ def features(text: str, start: int, rank: int, end: int) -> list[float]:
         float(last.isalpha()), len(last), s.count(":"), float("::" in s), float(s.count("(") == s.count(")")), float(rank == 8 and _mod97(s)),
         float(len(groups) == 4 and all(g <= 3 for g in groups) and all(int(g) <= 255 for g in re.findall("[0-9]{1,3}", s))),
         cue[own], max(cue[:own] + cue[own + 1 :]), float(any(w in OTHER for w in near[-2:])), float(before[-1:] in "$€£#=" and bool(before)), float(after[:1] in "%€$°" and bool(after)),
-        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] == ":"), float(bool(re.match(r"\s?[0-9]", after))), float(bool(re.search(r"[0-9]\s?$", before))), float("://" in before[-20:]),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] == ":"), float(bool(re.match(r"[\s./_–-]{0,3}[0-9]", after))), float(bool(re.search(r"[0-9][\s./_–-]{0,3}$", before))), float("://" in before[-20:]),
     ]
 
 
