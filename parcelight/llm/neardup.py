@@ -216,19 +216,42 @@ def _hash(c: Column | str) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node that it reaches) for all nodes of ``edges`` (a, b).
 
-    Each pass takes the least label among neighbours and then the label's own label.  Hubs are
-    summed before the shuffle.  Every pass ends in a stored table.
+    Each pass lets every node point to its least neighbour, follows the pointers to their ends and contracts the edges to
+    those ends, so that later passes see the edges that are left between trees alone.  Hubs are summed before the shuffle.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    left = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    labels: DataFrame | None = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        step = stored(step.join(up, "comp").select("node", "old", F.least("comp", "top").alias("comp")), "labels")
-        if step.where("old <> comp").isEmpty():
-            return step.select("node", "comp")
-        labels = step.select("node", "comp")
+        ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = stored(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "pointers")
+        while True:
+            up = to.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            step = stored(to.join(up, "comp").select("node", F.col("comp").alias("old"), F.col("top").alias("comp")), "pointers")
+            to = step.select("node", "comp")
+            if step.where("old <> comp").isEmpty():
+                break
+        labels = to if labels is None else _relabelled(labels, to)
+        tops = lambda c: to.select(F.col("node").alias(c), F.col("comp").alias(f"top_{c}"))  # noqa: B023, E731
+        left = left.join(tops("a"), "a").join(tops("b"), "b").where("top_a <> top_b")
+        left = stored(left.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            return labels
+
+
+def _relabelled(labels: DataFrame, tops: DataFrame) -> DataFrame:
+    """``labels`` with each component under the name that ``tops`` (node, comp) gives it, if any."""
+    named = tops.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return labels.join(named, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``labels`` (node, comp) after more ``links`` (a, b): only components that a link joins are closed again."""
+    if labels is None:
+        return components(links)
+    comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    between = links.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    return _relabelled(labels.unionByName(new), components(between))
 
 
 #: What names a row's document and text wherever it is read again: the id, whether it has none, 128 bits of its text.
@@ -312,7 +335,8 @@ def _classes(texts: DataFrame, k: int, least: float, tables: int, depth: int) ->
         if n_links:
             found = links if found is None else found.unionByName(links)
             degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            labels = stored(components(found).join(degree, "node"), "labels")
+            closed = merged(None if labels is None else labels.select("node", "comp"), links)
+            labels = stored(closed.join(degree, "node"), "labels")
         if not fruitful:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
