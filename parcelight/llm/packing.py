@@ -150,14 +150,16 @@ def realised(patterns: list[tuple[int, ...]], lengths: list[int], capacity: int)
 def evolve(lengths: list[int], capacity: int, seed: int, elites: list[tuple[int, ...]] = (), population: int = 6, generations: int = 24, full: float = 0.995) -> list[list[int]]:
     """Bins (lists of item numbers) for one island.
 
-    Best fit decreasing starts; where it meets the lower bound nothing is left to gain.  Otherwise
-    the bins filled below ``full`` evolve, all of them; the others stay whole.  ``elites`` are
-    patterns of a neighbour, lengths that fill a bin together: one chromosome of the population is built from them.
+    Best fit decreasing starts, or ``elites``, where these make the better packing: they are patterns of a neighbour, lengths
+    that fill a bin together, realised over all items.  Where the start meets the lower bound nothing is left to gain.
+    Otherwise its bins filled below ``full`` evolve, all of them; the others stay whole.
     """
     n = len(lengths)
     if not n:
         return []
     best = best_fit_decreasing(lengths, sorted(range(n), key=lambda i: -lengths[i]), capacity)
+    if elites and len(best) > lower_bound(lengths, capacity):
+        best = max(best, realised(elites, lengths, capacity), key=lambda b: fitness(b, lengths, capacity))
     if len(best) <= lower_bound(lengths, capacity):
         return best
     fill = [sum(lengths[i] for i in b) for b in best]
@@ -169,8 +171,6 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[tuple[int,
     rng = np.random.default_rng(seed)
     number = {i: k for k, i in enumerate(items)}
     pop = [[[number[i] for i in b] for b in loose]]
-    if elites:
-        pop.append(realised(elites, sub, capacity))
     while len(pop) < population:
         noise = rng.normal(0, 0.05 * capacity, len(sub))
         pop.append(best_fit_decreasing(sub, sorted(range(len(sub)), key=lambda i: -(sub[i] + noise[i])), capacity))
