@@ -30,6 +30,8 @@ from .common import new_path, stored, take
 from .tokens import tokenizer
 
 MAGIC = b"PLIX0001"
+#: Characters of a text by which rows of one doc_id are dealt to files.
+HEAD = 64
 MANIFEST = "part int, path string, n_records long, n_tokens long"
 RECORD = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -95,7 +97,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """Encode every document, append ``end_id`` and write the ids in ascending doc_id order.
 
     Returns the manifest: part (ascending in doc_id), path, n_records, n_tokens.  Null text counts as
-    empty, a null doc_id comes first, rows of one doc_id follow the order of their texts.
+    empty, a null doc_id comes first, rows of one doc_id follow the order of their texts, over several files where they are many.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,8 +129,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         yield pd.DataFrame({"part": [part], "path": [name + ".rec"], "n_records": [len(index)], "n_tokens": [tokens]})
 
     # doc_id travels as text to Python: a null among longs would turn them into floats
-    rows = take(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = take(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    # rows of one id, or of none, are dealt out by the head of their texts, which is in the order of the texts
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
     return stored(rows.mapInPandas(write, MANIFEST), "manifest")
 
 
