@@ -40,12 +40,13 @@ def build_index(rules: Iterable[tuple[str, str]], path: str) -> None:
     rows = sorted((digest(r), r, v) for r, v in last.items())
     text = [r.encode("utf-8", "surrogatepass") for _, r, _ in rows]
     lengths = sorted({len(r) - len(r.partition("/")[0]) for _, r, _ in rows})
+    labels = sorted({r.partition("/")[0].count(".") + 1 for _, r, _ in rows})
     ends = np.concatenate(([0], np.cumsum([len(t) for t in text], dtype="<u8"))).astype("<u8")
     with open(path, "wb") as f:
-        f.write(MAGIC + np.array([len(rows), len(lengths)], "<u8").tobytes())
+        f.write(MAGIC + np.array([len(rows), len(lengths), len(labels)], "<u8").tobytes())
         f.write(np.array([d for d, _, _ in rows], "<u8").tobytes())
         f.write(ends.tobytes())
-        f.write(np.array(lengths, "<u8").tobytes())
+        f.write(np.array(lengths + labels, "<u8").tobytes())
         f.write(np.array([v == "block" for _, _, v in rows], np.uint8).tobytes())
         f.write(b"".join(text))
 
@@ -57,27 +58,35 @@ class UrlIndex:
         raw = np.memmap(path, np.uint8, "r")
         if raw[:8].tobytes() != MAGIC:
             raise ValueError(f"{path}: not a rule array")
-        n, k = raw[8:24].view("<u8").tolist()
-        at = 24
+        n, k, m = raw[8:32].view("<u8").tolist()
+        at = 32
         self.digests, at = raw[at : at + 8 * n].view("<u8"), at + 8 * n
         self.ends, at = raw[at : at + 8 * (n + 1)].view("<u8"), at + 8 * (n + 1)
         self.path_lengths, at = raw[at : at + 8 * k].view("<u8").tolist(), at + 8 * k
+        self.label_counts, at = raw[at : at + 8 * m].view("<u8").tolist(), at + 8 * m
         self.block, at = raw[at : at + n], at + n
         self.text = raw[at:]
 
     def rule(self, k: int) -> str:
         return self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes().decode("utf-8", "surrogatepass")
 
+    def suffixes(self, host: str) -> list[str]:
+        """The host's ends of as many labels as some rule has: no other can fit."""
+        out, at, labels = [], len(host), 0
+        for n in self.label_counts:
+            while labels < n and at >= 0:
+                at, labels = host.rfind(".", 0, at), labels + 1
+            if labels < n:
+                break
+            out.append(host[at + 1 :])
+        return out
+
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str | None]]:
         """Rule and verdict for each URL, None where no rule fits; the longest rule wins."""
         rows: list[int] = []
         texts: list[str] = []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            suffixes = [host]
-            at = host.find(".")
-            while at >= 0:
-                suffixes.append(host[at + 1 :])
-                at = host.find(".", at + 1)
+            suffixes = self.suffixes(host)
             for n in self.path_lengths:
                 if n <= len(path):
                     for s in suffixes:
