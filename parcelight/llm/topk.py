@@ -25,6 +25,14 @@ from pyspark.sql import functions as F
 from .common import stored, take
 
 
+LONG = 2**63
+
+
+def saturated(scores: np.ndarray) -> np.ndarray:
+    """Exact integers beyond a long as the nearest one that it holds."""
+    return np.clip(scores, -LONG, LONG - 1) if scores.dtype == object else scores
+
+
 class Block:
     """Sorted lists over a block of integer vectors."""
 
@@ -49,7 +57,7 @@ class Block:
             seen |= fresh
             at = np.flatnonzero(fresh & (self.ids != query_id))
             if len(at):
-                scores = self.vectors[at] @ query
+                scores = saturated(self.vectors[at] @ query)
                 if len(best) == k:
                     keep = scores >= -best[-1][0]
                     at, scores = at[keep], scores[keep]
@@ -62,16 +70,16 @@ class Block:
             depth, step = to, step * 2
             if depth < n and len(best) == k:
                 bound = self.sorted[n - depth, up] @ query[up] + self.sorted[depth - 1, down] @ query[down]
-                if bound < -best[-1][0] or not len(used):
+                if max(-LONG, min(LONG - 1, bound)) < -best[-1][0] or not len(used):
                     break
         return best
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """row, id and array<long> of floor(scale * x); rows go whose id is null or whose vector is null, empty or holds null or
-    non-finite components."""
+    non-finite components, or one that a long does not hold once scaled."""
     v = F.col("vec")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) >= float(LONG)))
     rows = take(df, id_col, vec_col).toDF("id", "raw").select("id", F.col("raw").cast("array<double>").alias("vec"))
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(~bad).select(F.monotonically_increasing_id().alias("row"), "id", F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"))
 
@@ -81,7 +89,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Every row of ``vectors`` is a candidate but those of the query's own id, so rows that repeat another id count each.  Every
     row of ``queries`` is a query: one that repeats an id has an answer of its own.  Fewer than k candidates give fewer
-    rows; equal scores go to the smaller id.  Vectors of a length other than the query's take no part in its
+    rows; equal scores go to the smaller id.  Products are exact; a score beyond a long is the nearest that it holds.  Vectors of a length other than the query's take no part in its
     answer.  Other columns are not read; an empty table on either side gives an empty result.
     """
     spark = vectors.sparkSession
@@ -106,10 +114,11 @@ def _one_set(cand: DataFrame, asked: DataFrame, k: int, block: int, spark) -> Da
         def work(ids: list, own: list, vecs: list) -> None:
             for d in {len(v) for v in vecs}:
                 at = [i for i, v in enumerate(vecs) if len(v) == d]
-                m = np.stack([vecs[i] for i in at]).astype("float64")
-                # float64 holds every integer that a score of realistic vectors can reach; else exact integers
-                exact = np.abs(m).max() ** 2 * d < 2**52 and all(len(q) != d or np.abs(q).max() * np.abs(m).max() * d < 2**52 for _, q, _ in queries)
-                b = Block(np.array([ids[i] for i in at], "int64"), np.array([own[i] for i in at], "int64"), m if exact else m.astype("int64"))
+                m = np.stack([vecs[i] for i in at]).astype("int64")
+                # float64 holds every integer that a score of realistic vectors can reach; else longs, else integers of any size
+                most = int(np.abs(m).max()) * d * max((int(np.abs(q).max()) for _, q, _ in queries if len(q) == d), default=0)
+                kind = "float64" if most < 2**52 and int(np.abs(m).max()) < 2**52 else "int64" if most < LONG else object
+                b = Block(np.array([ids[i] for i in at], "int64"), np.array([own[i] for i in at], "int64"), m.astype(kind))
                 for j, (qid, q, _) in enumerate(queries):
                     if len(q) == d:
                         best[j] = b.search(qid, q.astype(b.vectors.dtype), k, best[j])

@@ -366,3 +366,29 @@ def test_pipeline_equals_brute_force_and_holds_edges(spark):
     assert {r["doc_id"] for r in packed} == {i for i, _ in extra} and sum(r["piece"] == 0 for r in packed) == 12
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_top_k_of_components_beyond_doubles_and_longs(spark):
+    rows = [(1, [2.0**44 + 1, 1.0]), (2, [2.0**44, 1.0]), (3, [5.0, 0.0]), (4, [1e300, 0.0]), (50, [1.0, 1.0]), (100, [2.0**50, 0.0]), (6, [-(2.0**50), 0.0]), (7, [2.0**49, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ints = {i: [int(256 * x) for x in v] for i, v in rows if i != 4}
+    for q in (50, 100):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], v)))), i) for i, v in ints.items() if i != q)
+        assert got[q] == {k: (i, -s) for k, (s, i) in enumerate(scores[:4], 1)}
+
+
+def test_records_of_many_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None if i % 10 else i, f"{i * 7919 % 40_000:05d} text") for i in range(40_000)], "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        m = records.write_records(df, queries.tokenizer_file("word_bpe_49k.json"), new_path(spark, "records"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n_records"] for r in m.collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 20_000 and len(sizes) >= 4
+    got = records.read_records(spark, m).orderBy("start").select("doc_id").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids[:36_000] == [None] * 36_000 and ids[36_000:] == sorted(ids[36_000:])

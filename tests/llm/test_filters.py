@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -84,6 +85,28 @@ def test_language_sample_is_bounded_by_different_texts(spark):
     assert len(numbers) <= 8 and "long" not in few.row
 
 
+def test_language_keeps_a_language_of_few_repeated_texts(spark):
+    few = ["le chat est dans la maison", "la maison est petite", "un chat et un chien", "le chien dort dans la rue", "la rue est longue"]
+    rows = [(few[i % 5], "fr") for i in range(6000)] + [(f"the dog number {i} ran to the house", "en") for i in range(60)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), max_rows=50)
+    assert model.languages == ["en", "fr"]
+    assert [language.Scorer(model)(t)[0] for t in ("le chien est petite", "the house ran")] == ["fr", "en"]
+
+
+def test_right_answers_stay_among_many_languages(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8)))
+    shared = [word() for _ in range(140)]
+    for n in (4, 40):
+        own = {f"l{i}": shared + [word() for _ in range(60)] for i in range(n)}
+        rows = [(" ".join(rng.choices(own[lang], k=60)), lang) for lang in own for _ in range(25)]
+        model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+        docs = spark.createDataFrame([(i, " ".join(rng.choices(own[f"l{i % n}"], k=60))) for i in range(80)], "doc_id long, text string")
+        right = {r["doc_id"] for r in language.identify(docs, model).collect() if r["lang_pred"] == f"l{r['doc_id'] % n}"}
+        kept = {r["doc_id"] for r in language.keep_identified(docs, model).collect()}
+        assert len(right) >= 76 and len(right - kept) <= 1
+
+
 def distance(a, b):
     """Edits, with a swap of neighbours as one."""
     d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -381,3 +404,18 @@ def test_queries_equal_their_sql(spark, name):
     assert cols == sorted(want.columns)
     norm = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).astype(str).values.tolist()))
     assert norm(got) == norm(want)
+
+
+def test_hosts_of_very_many_labels(tmp_path):
+    path = str(tmp_path / "rules")
+    rules = [("block", "com/en/"), ("allow", "a.b.example.com/en/7"), ("block", "org/")]
+    urls.build_index(rules, path)
+    index = urls.UrlIndex(path)
+    assert index.label_counts == [1, 4]
+    assert index.suffixes("x.a.b.example.com") == ["com", "a.b.example.com"] and index.suffixes("com") == ["com"] and index.suffixes("") == [""]
+    host = "a." * 20_000 + "com"
+    tracemalloc.start()
+    got = index.judge([host, host + ".", "a.b.example.com"], ["/en/x"] * 3)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    assert got == (["com/en/", None, "com/en/"], ["block", None, "block"])
