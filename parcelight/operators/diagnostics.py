@@ -17,6 +17,7 @@ from ..functions.scalars import close, hours_between, local_date, ratio, six_hou
 from .facts import Facts, last_mile
 from .metrics import count_if, node_aggregates
 from .prep import event_order
+from .quantiles import array_quantile, others_quantile, quantiles, with_quantiles
 
 EVIDENCE = "rule_id string, category string, priority int, finding string, severity string, order_id string, dimension string, dimension_value string, observed double, threshold double, baseline double, coverage double, sample_size long"
 
@@ -35,7 +36,8 @@ def warehouse_delay(f: Facts, rule: Rule) -> DataFrame:
     sample is large enough."""
     limit = F.element_at(F.create_map(*(x for c in WAREHOUSE_INTERVALS for x in (F.lit(c), F.lit(float(rule[f"{c}_threshold_hours"]))))), F.col("interval_code"))
     rows = f.intervals.where(F.col("interval_code").isin(*WAREHOUSE_INTERVALS)).join(f.orders.select("order_id", "warehouse_id"), "order_id")
-    base = rows.groupBy("warehouse_id", "interval_code").agg(F.percentile("hours", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    by = ["warehouse_id", "interval_code"]
+    base = with_quantiles(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by, quantiles(rows, by, "hours", {"median": 0.5}))
     size = rows.groupBy("interval_code").agg(F.count_distinct("order_id").alias("sample"))
     valid = f.orders.agg(F.count(F.lit(1)).alias("valid"))  # one row
     # a row for each warehouse and interval, and for each interval: small next to the rows
@@ -47,8 +49,10 @@ def warehouse_delay(f: Facts, rule: Rule) -> DataFrame:
 
 
 def _coverage(f: Facts, code: str) -> DataFrame:
-    nodes = node_aggregates(f.intervals.where(F.col("interval_code") == code), f.eligible.where(F.col("interval_code") == code), [])
-    return nodes.select("coverage", F.col("n").alias("sample"), "p90")
+    own = F.col("interval_code") == code
+    got = f.intervals.where(own).agg(F.count("hours").alias("sample"), F.count_distinct("order_id").alias("computable"))
+    may = f.eligible.where(own).agg(F.count(F.lit(1)).alias("eligible"))
+    return got.crossJoin(may).select(ratio(F.col("computable"), F.col("eligible")).alias("coverage"), "sample")  # one row on either side
 
 
 def pickup_delay(f: Facts, rule: Rule) -> DataFrame:
@@ -63,7 +67,7 @@ def pickup_delay(f: Facts, rule: Rule) -> DataFrame:
 def linehaul_tail(f: Facts, rule: Rule) -> DataFrame:
     limit = float(rule["threshold_hours"])
     rows = f.intervals.where("interval_code = 'carrier_transit'").join(f.orders.where("order_status <> 'cancelled'").select("order_id"), "order_id", "left_semi")
-    base = rows.agg(F.percentile("hours", F.lit(rule["percentile"])).alias("tail"), F.count(F.lit(1)).alias("sample"))
+    base = with_quantiles(rows.agg(F.count(F.lit(1)).alias("sample")), [], quantiles(rows, [], "hours", {"tail": rule["percentile"]}))
     rows = rows.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(_coverage(f, "carrier_transit").select("coverage")))  # one row each
     hit = rows.where((F.col("hours") > limit) | ((F.col("sample") >= rule["minimum_baseline_sample"]) & (F.col("hours") > F.col("tail"))))
     return _evidence(hit, rule, "carrier_transit", "high", "node", F.lit("carrier_transit"), F.col("hours"), F.lit(limit), F.col("tail"), F.col("coverage"), F.col("sample"))
@@ -83,11 +87,12 @@ def last_mile_backlog(f: Facts, rule: Rule) -> DataFrame:
 
 def carrier_relative(f: Facts, rule: Rule) -> DataFrame:
     """Each carrier against all others pooled.  Rates follow from totals by subtraction; the others' P90 is read
-    from the cumulative count of all durations less the carrier's own, at one pass per distinct duration."""
+    from the running count of all durations less the carrier's own."""
     done = f.orders.where(F.col("order_status").isin(*COMPLETED) & (F.col("carrier_id") != UNKNOWN))
     own = done.groupBy("carrier_id").agg(
-        F.count(F.lit(1)).alias("n"), count_if(F.col("otif") == "true").alias("yes"), count_if(F.col("otif").isin("true", "false")).alias("known"), F.count("duration_hours").alias("n_d"), F.percentile("duration_hours", F.lit(0.9)).alias("p90"),
+        F.count(F.lit(1)).alias("n"), count_if(F.col("otif") == "true").alias("yes"), count_if(F.col("otif").isin("true", "false")).alias("known"), F.count("duration_hours").alias("n_d"),
     )
+    own = with_quantiles(own, ["carrier_id"], quantiles(done, ["carrier_id"], "duration_hours", {"p90": 0.9}))
     totals = own.agg(F.sum("yes").alias("all_yes"), F.sum("known").alias("all_known"), F.sum("n_d").alias("all_d"))
     peers = others_quantile(done.select("carrier_id", "duration_hours"), "carrier_id", "duration_hours", 0.9)
     c = own.crossJoin(F.broadcast(totals)).join(peers, "carrier_id", "left")  # one row; a row per carrier
@@ -104,27 +109,13 @@ def carrier_relative(f: Facts, rule: Rule) -> DataFrame:
     return _evidence(rows, rule, F.col("carrier_id"), severity, "carrier", F.col("carrier_id"), pick(F.col("rate"), F.col("p90")), pick(step, F.col("peer_p90") * rule["p90_ratio"]), pick(F.col("peer"), F.col("peer_p90")), F.col("coverage"), F.col("n"))
 
 
-def others_quantile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    """For each key the type-7 quantile of all rows of the other keys, without pairing keys with rows.
-
-    Distinct values are counted per key once.  For each key the map of all counts less its own gives the others'.
-    The number of distinct values per key is what is held, so values are first counted, never listed.
-    """
-    v = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    keys = v.select(key).distinct()
-    total = v.groupBy("v").agg(F.sum("c").alias("t"))
-    # keys are few (carriers); each gets the value table once, as counts
-    grid = total.crossJoin(keys.withColumnRenamed(key, "k"))
-    less = grid.join(v.withColumnRenamed(key, "k"), ["k", "v"], "left").select("k", "v", (F.col("t") - F.coalesce("c", F.lit(0))).alias("w")).where("w > 0")
-    return less.groupBy(F.col("k").alias(key)).agg(F.percentile("v", F.lit(q), F.col("w")).alias("peer_p90"))
-
-
 def warehouse_congestion(f: Facts, rule: Rule, zone: str = "UTC") -> DataFrame:
     day = f.orders.where("created_ts is not null").withColumn("day", local_date("created_ts", zone)).where(F.col("warehouse_id") != UNKNOWN)
     inner = f.intervals.where(F.col("interval_code").isin(*WAREHOUSE_INTERVALS)).groupBy("order_id").agg(F.sum("hours").alias("inside"))
-    days = day.join(inner, "order_id", "left").groupBy("warehouse_id", "day").agg(F.count(F.lit(1)).alias("n"), F.percentile("inside", F.lit(0.9)).alias("p90"), F.count("inside").alias("n_inside"))
+    timed, by = day.join(inner, "order_id", "left"), ["warehouse_id", "day"]
+    days = with_quantiles(timed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count("inside").alias("n_inside")), by, quantiles(timed, by, "inside", {"p90": 0.9}))
     past = Window.partitionBy("warehouse_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row per day
-    days = days.withColumns({"days": F.count(F.lit(1)).over(past), "base_n": F.percentile("n", F.lit(0.5)).over(past), "p90_days": F.count("p90").over(past), "base_p90": F.percentile("p90", F.lit(0.5)).over(past)})
+    days = days.withColumns({"days": F.count(F.lit(1)).over(past), "base_n": array_quantile(F.collect_list("n").over(past), 0.5), "p90_days": F.count("p90").over(past), "base_p90": array_quantile(F.collect_list("p90").over(past), 0.5)})
     need = rule["minimum_baseline_days"]
     hit = days.where((F.col("n") >= rule["minimum_daily_orders"]) & (F.col("days") >= need) & (F.col("p90_days") >= need) & (F.col("n") >= rule["volume_ratio"] * F.col("base_n")) & (F.col("p90") >= rule["duration_ratio"] * F.col("base_p90")))
     rows = day.select("order_id", "warehouse_id", "day").join(hit, ["warehouse_id", "day"])

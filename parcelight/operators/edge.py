@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .quantiles import quantiles, with_quantiles
 
 # Limits of the dialect, in hours, and the carrier that its delay rule watches.
 LONG_TAIL_HOURS = 82
@@ -54,18 +55,20 @@ def metrics(orders: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     h = F.col("duration_hours")
     rates = {"ot_rate": F.col("on_time"), "if_rate": F.col("in_full"), "otif_rate": F.col("otif"), "anomaly_order_rate": F.size("reasons") > 0}
-    hours = {"fulfillment_duration_mean_hours": F.avg(h), "fulfillment_duration_median_hours": F.percentile(h, F.lit(0.5)), "fulfillment_duration_p90_hours": F.percentile(h, F.lit(0.9))}
+    hours = {"fulfillment_duration_mean_hours": F.avg(h)}
+    tails = {"fulfillment_duration_median_hours": 0.5, "fulfillment_duration_p90_hours": 0.9}
     a = orders.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count(h).alias("n_hours"), *(e.alias(c) for c, e in hours.items()),
         *(x for c, e in rates.items() for x in (F.count_if(F.coalesce(e, F.lit(False))).alias(f"{c}_yes"), F.count(e).alias(f"{c}_all"))),
     )
+    a = with_quantiles(a, keys, quantiles(orders, keys, "duration_hours", tails))
     n, none = F.col("n"), F.lit(None).cast("long")
 
     def row(code: str, value: Column, yes: Column, total: Column, seen: Column) -> Column:
         return F.struct(F.lit(code).alias("code"), value.alias("value"), yes.alias("numerator"), total.alias("denominator"), _half_up(ratio(seen, n), 4).alias("coverage"), (n - seen).alias("pending"))
 
     rows = [row(c, _half_up(ratio(F.col(f"{c}_yes"), F.col(f"{c}_all")), 4), F.col(f"{c}_yes"), F.col(f"{c}_all"), F.col(f"{c}_all")) for c in rates]
-    rows += [row(c, _half_up(F.col(c), 2), none, none, F.col("n_hours")) for c in hours]
+    rows += [row(c, _half_up(F.col(c), 2), none, none, F.col("n_hours")) for c in (*hours, *tails)]
     return a.select(*keys, F.explode(F.array(*rows)).alias("m")).select(*keys, "m.*")
 
 
@@ -73,7 +76,8 @@ def node_summary(intervals: DataFrame, orders: DataFrame) -> DataFrame:
     """Mean, median and P90 of each interval; every node at or above the fixed limit is a bottleneck."""
     total = F.broadcast(orders.agg(F.count(F.lit(1)).alias("eligible")))  # one row
     h = F.col("hours")
-    g = intervals.groupBy("interval_code").agg(F.count(h).alias("n"), F.avg(h).alias("mean"), F.percentile(h, F.lit(0.5)).alias("median"), F.percentile(h, F.lit(0.9)).alias("p90"))
+    by = ["interval_code"]
+    g = with_quantiles(intervals.groupBy(*by).agg(F.count(h).alias("n"), F.avg(h).alias("mean")), by, quantiles(intervals, by, "hours", {"median": 0.5, "p90": 0.9}))
     return g.crossJoin(total).withColumns({"coverage": _half_up(ratio(F.col("n"), F.col("eligible")), 4), "is_bottleneck": F.col("p90") >= BOTTLENECK_HOURS})
 
 

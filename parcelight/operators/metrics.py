@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..contract import COMPLETED, INTERVALS, LOW_COVERAGE, PENDING, SMALL_SAMPLE, UNKNOWN
 from ..functions.scalars import local_date, ratio, week_start
 from .facts import Facts
+from .quantiles import of_counts, quantiles, with_quantiles
 
 LONG = ("code", "value", "numerator", "denominator", "coverage", "eligible", "computable", "pending", "not_computable")
 RATES = {"ot_rate": "ot", "if_rate": "in_full", "otif_rate": "otif"}
@@ -22,8 +23,11 @@ def count_if(c: Column) -> Column:
     return F.count_if(F.coalesce(c, F.lit(False)))
 
 
-def order_aggregates(orders: DataFrame, keys: list[str]) -> DataFrame:
-    """All counts and quantiles that the order metrics need, one row per key."""
+P50_P90 = {"p50": 0.5, "p90": 0.9}
+
+
+def order_sums() -> list[Column]:
+    """The counts and sums that the order metrics need."""
     s, d = F.col("order_status"), F.col("duration_hours")
     aggs = [count_if(s.isin(*COMPLETED)).alias("n_completed"), count_if(s.isin(*PENDING)).alias("n_pending_status"), F.count(F.lit(1)).alias("n_valid")]
     for c in RATES.values():
@@ -31,11 +35,21 @@ def order_aggregates(orders: DataFrame, keys: list[str]) -> DataFrame:
         aggs += [count_if(x == v).alias(f"{c}_{v}") for v in ("true", "false", "not_computable", "pending")]
     done = s.isin(*COMPLETED)
     aggs += [
-        F.avg(F.when(done, d)).alias("d_mean"), F.sum(F.when(done, d)).alias("d_sum"), F.percentile(F.when(done, d), F.lit(0.5)).alias("d_p50"), F.percentile(F.when(done, d), F.lit(0.9)).alias("d_p90"), F.count(F.when(done, d)).alias("d_n"),
+        F.avg(F.when(done, d)).alias("d_mean"), F.sum(F.when(done, d)).alias("d_sum"), F.count(F.when(done, d)).alias("d_n"),
         count_if(s == "cancelled").alias("n_cancelled"), count_if(s == "returned").alias("n_returned"), count_if(s != "unmapped").alias("n_mapped"), count_if((s != "cancelled") & F.col("anomaly")).alias("n_anomaly"), count_if(s != "cancelled").alias("n_live"),
         count_if(done & F.col("ot").isin("true", "false") & F.col("in_full").isin("true", "false") & d.isNotNull()).alias("n_covered"),
     ]
-    return orders.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def completed_hours(orders: DataFrame) -> DataFrame:
+    return orders.where(F.col("order_status").isin(*COMPLETED))
+
+
+def order_aggregates(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """All counts, sums and quantiles that the order metrics need, one row per key."""
+    found = quantiles(completed_hours(orders), keys, "duration_hours", {f"d_{n}": q for n, q in P50_P90.items()})
+    return with_quantiles(orders.groupBy(*keys).agg(*order_sums()), keys, found)
 
 
 def _row(code: str, value, numerator, denominator, coverage, eligible, computable, pending=None, not_computable=None) -> Column:
@@ -68,9 +82,18 @@ def order_metrics(agg: DataFrame, keys: list[str]) -> DataFrame:
 
 def node_aggregates(intervals: DataFrame, eligible: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and interval: sample, mean, median, P90, distinct computable and eligible orders."""
+    by = [*keys, "interval_code"]
+    found = quantiles(intervals, by, "hours", {"median": 0.5, "p90": 0.9})
+    got = with_quantiles(intervals.groupBy(*by).agg(*interval_sums()), by, found)
+    return _covered(eligible.groupBy(*by).agg(F.count(F.lit(1)).alias("eligible")), got, keys)
+
+
+def interval_sums() -> list[Column]:
     h = F.col("hours")
-    got = intervals.groupBy(*keys, "interval_code").agg(F.count(h).alias("n"), F.avg(h).alias("mean"), F.sum(h).alias("total"), F.percentile(h, F.lit(0.5)).alias("median"), F.percentile(h, F.lit(0.9)).alias("p90"), F.count_distinct("order_id").alias("computable"))
-    may = eligible.groupBy(*keys, "interval_code").agg(F.count(F.lit(1)).alias("eligible"))
+    return [F.count(h).alias("n"), F.avg(h).alias("mean"), F.sum(h).alias("total"), F.count_distinct("order_id").alias("computable")]
+
+
+def _covered(may: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:
     out = may.join(got, [*keys, "interval_code"], "left")
     return out.select(*keys, "interval_code", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "computable")), "eligible", "mean", "total", "median", "p90", ratio(F.coalesce("computable", F.lit(0)), F.col("eligible")).alias("coverage"))
 
@@ -121,6 +144,36 @@ def breakdown(facts: Facts, dimension: str) -> DataFrame:
     return group_metrics(facts, F.col(dimension))
 
 
+def _sets(df: DataFrame, dimensions: list[str], more: list[str], sums: list[Column]) -> DataFrame:
+    """``sums`` by each of ``dimensions`` and the columns ``more``: one Expand and one aggregation.  The dimension and its value
+    are in ``dimension`` and ``group_key``."""
+    cols = {c: F.col(c) for c in (*dimensions, *more)}
+    grouped = df.groupingSets([[cols[d], *(cols[m] for m in more)] for d in dimensions], *cols.values())
+    out = grouped.agg(*sums, *(F.grouping(d).alias(f"without_{d}") for d in dimensions))
+    pick = lambda use: F.coalesce(*(F.when(F.col(f"without_{d}") == 0, use(d)) for d in dimensions))
+    kept = [c for c in out.columns if c not in dimensions and not c.startswith("without_") and c not in more]
+    return out.select(pick(F.lit).alias("dimension"), pick(F.col).alias("group_key"), *more, *kept)
+
+
+def breakdowns(facts: Facts, dimensions: list[str]) -> DataFrame:
+    """The 36 metrics for each value of each of ``dimensions``, columns of orders: orders are read once for all of them, and
+    intervals meet their orders once."""
+    keys = ["dimension", "group_key"]
+    named = facts.orders.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit(UNKNOWN)) for d in dimensions})
+    one = F.count(F.lit(1))
+    durations = completed_hours(named).where("duration_hours is not null")
+    found = of_counts(_sets(durations, dimensions, ["duration_hours"], [one.alias("c")]).withColumnRenamed("duration_hours", "v"), keys, {f"d_{n}": q for n, q in P50_P90.items()})
+    agg = with_quantiles(_sets(named, dimensions, [], order_sums()), keys, found).withColumns({"total": F.col("n_valid"), "invalid": F.lit(0).cast("long")})
+    ids = named.select("order_id", *dimensions)
+    spans = facts.intervals.select("order_id", "interval_code", "hours").join(ids, "order_id")
+    counted = _sets(spans.where("hours is not null"), dimensions, ["interval_code", "hours"], [one.alias("c")]).withColumnRenamed("hours", "v")
+    tails = of_counts(counted, [*keys, "interval_code"], {"median": 0.5, "p90": 0.9})
+    got = with_quantiles(_sets(spans, dimensions, ["interval_code"], interval_sums()), [*keys, "interval_code"], tails)
+    nodes = _covered(_sets(facts.eligible.join(ids, "order_id"), dimensions, ["interval_code"], [one.alias("eligible")]), got, keys)
+    out = order_metrics(agg, keys).unionByName(node_metrics(nodes, agg.select(*keys), keys))
+    return out.withColumn("warnings", sample_warnings(F.col("denominator"), F.col("coverage")))
+
+
 def histogram(values: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Equal-width bins with the last one closed; a single value makes one bin; empty bins are emitted.
 
@@ -148,8 +201,9 @@ def duration_values(facts: Facts, code: str = "fulfillment") -> DataFrame:
 
 
 def distribution(facts: Facts, code: str = "fulfillment") -> DataFrame:
-    h = F.col("hours")
-    return duration_values(facts, code).agg(F.count(h).alias("n"), F.min(h).alias("least"), F.max(h).alias("most"), F.avg(h).alias("mean"), F.percentile(h, F.lit(0.5)).alias("median"), F.percentile(h, F.lit(0.9)).alias("p90"))
+    h, values = F.col("hours"), duration_values(facts, code)
+    sums = values.agg(F.count(h).alias("n"), F.min(h).alias("least"), F.max(h).alias("most"), F.avg(h).alias("mean"))
+    return with_quantiles(sums, [], quantiles(values, [], "hours", {"median": 0.5, "p90": 0.9}))
 
 
 def bottleneck(facts: Facts) -> DataFrame:

@@ -133,10 +133,10 @@ SELECT 'ERROR' AS severity, 'INVALID_DATETIME' AS code, CAST(count(*) AS BIGINT)
 UNION ALL SELECT 'WARNING', 'STATUS_UNMAPPED', CAST(count(*) AS BIGINT) FROM t WHERE k % 23 = 0 OR order_status = 'unmapped' HAVING count(*) > 0"""
     q["orphan_events"] = "SELECT DISTINCT event_id, order_id FROM w2 WHERE fault = 'ORPHAN_EVENT' UNION SELECT tracking_event_id, order_id FROM t2 WHERE fault = 'ORPHAN_EVENT'"
     q |= _edge()
-    from . import import_sql
+    from . import import_sql, scale_sql
     from .more_sql import more
 
-    return {k: HEAD + v for k, v in q.items()} | plain() | more() | import_sql.sql()
+    return {k: HEAD + v for k, v in q.items()} | plain() | more() | import_sql.sql() | scale_sql.sql()
 
 
 def _edge() -> dict[str, str]:

@@ -273,9 +273,9 @@ def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import import_queries, more_queries
+    from . import import_queries, more_queries, scale_queries
 
-    return _main() | more_queries.queries() | import_queries.queries()
+    return _main() | more_queries.queries() | import_queries.queries() | scale_queries.queries()
 
 
 def _main() -> dict[str, Query]:
