@@ -99,8 +99,9 @@ def pair(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def interval_groups(warehouse: DataFrame, tracking: DataFrame) -> DataFrame:
-    """All interval instances and their flags: per order, per shipment or per location, in one aggregation."""
+def interval_events(warehouse: DataFrame, tracking: DataFrame) -> DataFrame:
+    """Each event as the start or the end of the intervals that it bounds: order_id, shipment, location (null where the interval is
+    not told apart by it), event_ts, interval_code, start.  Also over streams."""
     def rows(df: DataFrame, codes: tuple[str, ...], shipment: Column, location: Column) -> DataFrame:
         role = F.explode(F.try_element_at(_roles(codes), F.col("event_code"))).alias("r")
         return df.select("order_id", shipment.alias("shipment"), location.alias("location"), "event_ts", role).select("order_id", "shipment", "location", "event_ts", "r.*")
@@ -109,7 +110,12 @@ def interval_groups(warehouse: DataFrame, tracking: DataFrame) -> DataFrame:
     parts = rows(warehouse, (*WAREHOUSE_INTERVALS, "ready_to_pickup"), none, none).where("not (interval_code = 'ready_to_pickup' and not start)")
     parts = parts.unionByName(rows(tracking.where("event_code = 'carrier_picked_up'"), ("ready_to_pickup",), none, none))
     parts = parts.unionByName(rows(tracking, ("carrier_transit",), F.col("shipment"), none)).unionByName(rows(tracking, ("hub_dwell",), F.col("shipment"), F.col("location")))
-    return pair(parts, ["order_id", "shipment", "location"])
+    return parts
+
+
+def interval_groups(warehouse: DataFrame, tracking: DataFrame) -> DataFrame:
+    """All interval instances and their flags: per order, per shipment or per location, in one aggregation."""
+    return pair(interval_events(warehouse, tracking), ["order_id", "shipment", "location"])
 
 
 def instances(groups: DataFrame) -> DataFrame:

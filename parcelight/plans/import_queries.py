@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import browser_mapping, ingest, report
 from ..sources import csv, store, xlsx
-from ..sources.shared import new_path
+from ..sources.shared import new_path, stored
 from ..streaming import tracking
+from ..streaming.sink import run_stream
 from .queries import registered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,25 +272,24 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(name, "k long, stem string, ratio string, hours string")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """All that a stream of the events folder gives, kept as a table in memory (counts, not events)."""
+def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that a stream of the events folder gives once a last event has moved the watermark past the others, as a stored table."""
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
     ts = F.col("ts").cast("timestamp").alias("event_ts")
     rows = stream.select(ts, F.col("event_type").alias("event_code"), F.col("user_id").cast("string").alias("shipment_id"), F.col("event_id").cast("string").alias("tracking_event_id"))
-    name = new_path(spark, "stream").rsplit("/", 1)[-1].replace("-", "_")
-    q = make(rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", new_path(spark, "stream")).start()
-    q.awaitTermination()
-    return spark.table(name)
+    last = stored(spark.sql("SELECT TIMESTAMP '2100-01-01' AS event_ts, 'end' AS event_code, 'end' AS shipment_id, 'end' AS tracking_event_id"), "last")
+    rows = rows.unionByName(spark.readStream.schema(last.schema).parquet(last.inputFiles()[0].rsplit("/", 1)[0]))
+    return run_stream(make(rows)).where("start < '2099-01-01'")
 
 
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _streamed(spark, sf_dir, lambda s: tracking.windowed_counts(tracking.deduplicated(s, "3650 days"), "1 day"), "complete")
+    rows = _streamed(spark, sf_dir, lambda s: tracking.windowed_counts(tracking.deduplicated(s, "3650 days"), "1 day"))
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_code", "n")
 
 
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _streamed(spark, sf_dir, lambda s: tracking.sessions(s, "2 days"), "complete")
+    rows = _streamed(spark, sf_dir, lambda s: tracking.sessions(s, "2 days", "3650 days"))
     return rows.select("shipment_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 from ..contract import COMPLETED, UNKNOWN, resolve_rules
 from ..operators import diagnostics, metrics
 from ..operators.quantiles import others_quantile
+from ..sources.shared import new_path
+from ..streaming import intervals
+from ..streaming.sink import run_stream, state_store
 from .queries import _facts, _r
 
 Query = Callable[[SparkSession, str], DataFrame]
+LAST = "the last event"
 DIMENSIONS = ["warehouse_id", "carrier_id", "destination_region", "sales_channel"]
 #: Values at which the fixtures have several lanes below their peers.
 CLOSE = {"otif_gap": 0.01, "p90_ratio": 1.01}
@@ -44,5 +49,24 @@ def close_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("finding", "severity").agg(F.count_distinct("order_id").alias("affected"), *(F.round(F.first(c), 6).alias(c) for c in ("observed", "threshold", "baseline", "coverage")))
 
 
+def streamed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable events of both tables as streams of several files; a last event, in a file written after the others, closes all."""
+    f = _facts(spark, sf_dir)
+    streams = []
+    for df, more in ((f.warehouse, []), (f.tracking, ["shipment", "location"])):
+        path = new_path(spark, "events")
+        rows = df.select("order_id", "event_ts", "event_code", *more)
+        rows.repartition(4, "order_id").write.parquet(path)
+        none = [F.lit(None).cast("string").alias(c) for c in more]
+        last = spark.range(1).select(F.lit(LAST).alias("order_id"), F.lit("2100-01-01").cast("timestamp").alias("event_ts"), F.lit("end").alias("event_code"), *none)
+        time.sleep(0.1)  # files are read in the order of their times
+        last.write.mode("append").parquet(path)
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path))
+    with state_store(spark, intervals.ROCKS):
+        out = run_stream(intervals.intervals(*streams, delay="3650 days"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.where("code is null").select("order_id", "interval_code", blank("shipment"), blank("location"), *_r("hours"))
+
+
 def queries() -> dict[str, Query]:
-    return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes}
+    return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes, "streamed_intervals": streamed_intervals}

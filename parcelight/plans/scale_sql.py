@@ -39,4 +39,5 @@ SELECT k AS finding, CASE WHEN h1 AND h2 THEN 'high' ELSE 'medium' END AS severi
 def sql() -> dict[str, str]:
     """Queries over the fixture views, which :data:`HEAD` defines."""
     q = {"breakdown_all": breakdown_all(), "peer_quantiles": peer_quantiles(), "fl_cr_001_lanes": close_lanes()}
+    q["streamed_intervals"] = " SELECT order_id, code AS interval_code, sh AS shipment, loc AS location, round(hours, 6) AS hours FROM iv"
     return {k: HEAD + v for k, v in q.items()}

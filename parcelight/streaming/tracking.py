@@ -15,6 +15,6 @@ def windowed_counts(stream: DataFrame, size: str = "1 hour", slide: str | None =
     return stream.groupBy(F.window("event_ts", size, slide or size), "event_code").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_code", "n")
 
 
-def sessions(stream: DataFrame, gap: str = "2 days") -> DataFrame:
-    """Bursts of scans per shipment."""
-    return stream.groupBy(F.session_window("event_ts", gap), "shipment_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "shipment_id", "n")
+def sessions(stream: DataFrame, gap: str = "2 days", lateness: str = "3 days") -> DataFrame:
+    """Bursts of scans per shipment; a session closes when the watermark has passed it."""
+    return stream.withWatermark("event_ts", lateness).groupBy(F.session_window("event_ts", gap), "shipment_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "shipment_id", "n")
