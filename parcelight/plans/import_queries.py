@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -39,6 +39,23 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "cell")
 
 
+def csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several blocks, with line feeds, separators and quotes in cells and rows too short or too long: rows, their
+    issues, and whether a file's lines, blank ones counted, run from 2 without a gap."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    key = k.cast("string")
+    cell = F.when(k % 5 == 0, F.concat(F.lit('"say ""'), p, F.lit('"", twice"'))).when(k % 5 == 1, F.concat(F.lit('"'), p, F.lit('\n,\n""'), key, F.lit('"'))).when(k % 5 == 2, F.concat(p, F.lit('"')))
+    text = F.when(k % 11 == 0, key).when(k % 13 == 0, F.concat(key, F.lit(",b,c"))).when(k % 17 == 0, F.concat(F.lit("\n"), key, F.lit(","), F.coalesce(cell, p))).otherwise(F.concat(key, F.lit(","), F.coalesce(cell, p)))
+    path = new_path(spark, "csv")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = _orders(spark, sf_dir).repartitionByRange(3, "o_orderkey").select(text.alias("line"), first.alias("first"))
+    rows.select(F.explode(F.when(F.col("first"), F.array(F.lit("id,cell"), F.col("line"))).otherwise(F.array("line")))).write.text(path)
+    scan = csv.scan(spark, f"{path}/*.txt", block_bytes=64 * 1024)
+    blank = F.when((F.col("id").cast("long") % 17 == 0) & (F.col("id").cast("long") % 11 != 0) & (F.col("id").cast("long") % 13 != 0), 1).otherwise(0)
+    whole = scan.located(scan.rows).groupBy("file").agg((F.max("line") == F.count(F.lit(1)) + F.sum(blank) + 1).alias("gapless"))
+    return scan.located(scan.rows).join(scan.issues.select("row_number", "code"), "row_number", "left").join(whole, "file").select(F.col("id").cast("long").alias("id"), "cell", "code", "gapless")
+
+
 def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of a file whose lines are short, long or blank by key."""
     k = F.col("n_nationkey").cast("string")
@@ -129,6 +146,18 @@ def dataset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.limit(2).crossJoin(held).withColumn("deleted", F.lit(gone).cast("long"))  # two rows, one row
 
 
+def dataset_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders registered in a shuffled state: how many come back, and whether in the order of their places, within and over partitions."""
+    s = store.Store(spark, new_path(spark, "ordered"))
+    s.register("orders", "a", _contract_rows(spark, sf_dir).repartition(7, F.xxhash64(K)))
+    rows = s.load("orders", "a").select(K, F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33))
+    step = rows.withColumn("rises", F.coalesce(F.col(K) >= F.lag(K).over(Window.partitionBy("part").orderBy("at")), F.lit(True)))
+    parts = step.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("rises").alias("rises"), F.min(K).alias("lo"), F.max(K).alias("hi"))
+    # a row for each partition
+    after = F.coalesce(F.col("lo") >= F.lag("hi").over(Window.orderBy("part")), F.lit(True))
+    return parts.withColumn("after", after).agg(F.sum("n").alias("n"), F.min(F.col("rises") & F.col("after")).alias("ordered"))
+
+
 def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     del sf_dir
     found = ingest.suggest_mapping(list(HEADERS), ingest.CONTRACTS["orders"])
@@ -295,8 +324,8 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "csv_round_trip": csv_round_trip, "csv_ragged": csv_ragged, "csv_encodings": csv_encodings, "xlsx_rows": xlsx_rows, "xlsx_sheets": xlsx_sheets,
-        "jsonl_round_trip": jsonl_round_trip, "dataset_store": dataset_store, "mapping_suggestions": mapping_suggestions, "mapping_checks": mapping_checks,
+        "csv_round_trip": csv_round_trip, "csv_blocks": csv_blocks, "csv_ragged": csv_ragged, "csv_encodings": csv_encodings, "xlsx_rows": xlsx_rows, "xlsx_sheets": xlsx_sheets,
+        "jsonl_round_trip": jsonl_round_trip, "dataset_store": dataset_store, "dataset_ordered": dataset_ordered, "mapping_suggestions": mapping_suggestions, "mapping_checks": mapping_checks,
         "browser_suggestions": browser_suggestions, "sensitive_columns": sensitive, "validated_order_rows": validated_order_rows, "valid_orders": valid_orders,
         "validated_tracking_rows": lambda s, d: _tracking(s, d).issues.select("row_number", "field", "code", "severity"),
         "tracking_statuses": tracking_statuses, "validated_warehouse_rows": warehouse_issues, "scalar_texts": scalar_texts, "scalar_numbers": scalar_numbers,

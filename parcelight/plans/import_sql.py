@@ -47,6 +47,9 @@ def sql() -> dict[str, str]:
     q["csv_round_trip"] = f"""SELECT {K} AS id, CASE {K} % 5 WHEN 0 THEN 'say "' || o_orderpriority || '", twice' WHEN 1 THEN '''=' || o_orderpriority WHEN 2 THEN o_orderpriority || chr(10) || ';' || chr(9) || '|'
     WHEN 3 THEN '运单,号' ELSE o_orderpriority END AS cell FROM orders"""
     bad = "CASE WHEN n_nationkey % 4 IN (0, 1) THEN 'COLUMN_COUNT_MISMATCH' END"
+    q["csv_blocks"] = """SELECT o_orderkey AS id, CASE WHEN k % 11 = 0 THEN '' WHEN k % 13 = 0 THEN 'b' WHEN k % 5 = 0 THEN 'say "' || p || '", twice'
+        WHEN k % 5 = 1 THEN p || chr(10) || ',' || chr(10) || '"' || CAST(k AS VARCHAR) WHEN k % 5 = 2 THEN p || '"' ELSE p END AS cell,
+        CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 'COLUMN_COUNT_MISMATCH' END AS code, true AS gapless FROM (SELECT o_orderkey, o_orderkey AS k, o_orderpriority AS p FROM orders)"""
     q["csv_ragged"] = f"SELECT {big('n_nationkey + 2')} AS row_number, CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 'x' END AS name, {bad} AS code FROM nation WHERE n_nationkey % 4 <> 2"
     q["csv_encodings"] = f"""SELECT {big('n_nationkey')} AS k, CASE n_nationkey % 4 WHEN 2 THEN 'utf-8-sig' WHEN 3 THEN NULL ELSE 'utf-8' END AS encoding, CASE WHEN n_nationkey % 4 = 3 THEN 'gb18030,gbk' ELSE '' END AS choices,
     CASE n_nationkey % 4 WHEN 0 THEN 'gbk' WHEN 1 THEN 'gbk' WHEN 2 THEN 'utf-8' ELSE 'utf-8-sig' END AS alias FROM nation"""
@@ -65,6 +68,7 @@ def sql() -> dict[str, str]:
         SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g"""
     facts = {
         "jsonl_round_trip": "SELECT order_id, CAST(promised_delivery_time AS VARCHAR) AS promised_delivery_time, ordered_quantity, carrier_id, CAST(source_index AS BIGINT) AS source_index FROM fx_orders",
+        "dataset_ordered": f" SELECT {big('count(*)')} AS n, true AS ordered FROM fx_orders",
         "dataset_store": f""", c AS (SELECT count(*) AS n, count(*) FILTER (WHERE source_index % 3 = 0) AS a, count(*) FILTER (WHERE source_index % 2 = 0) AS b, sum(source_index) FILTER (WHERE source_index % 3 = 0) AS p FROM fx_orders)
     SELECT id AS dataset_id, {big("CASE id WHEN 'a' THEN a ELSE b END")} AS n_rows, created, {big('a')} AS loaded, {big('p')} AS places, {big('n')} AS deleted FROM c, (VALUES ('a', '2024-01-04'), ('b', '2024-01-02')) AS v(id, created)""",
     }

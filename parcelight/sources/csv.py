@@ -8,12 +8,18 @@ import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import escape_cell
+from .shared import stored
 
 # Encodings that a file may have, and their other names.
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "gbk")
@@ -64,52 +70,263 @@ def clean_headers(names: list[str]) -> list[str]:
 
 
 ROW = "row_number long, cells array<string>, code string"
+#: A row's number is its file's place among the files by path, times this, plus its record's place in the file.
+PER_FILE = 1 << 40
+SPAN = "file long, block long, end_out boolean, n_out long, end_in boolean, n_in long, head binary"
+PIECE = "row_number long, cells array<string>, code string, block long, text string"
 
 
-def scan(spark: SparkSession, path: str, enc: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of one CSV file or a folder of files with one header.
+@dataclass
+class Scan:
+    """rows: row_number and the columns as text.  issues: row_number, code, file, line.  files: ordinal, file."""
 
-    rows: row_number (of the line in its file, from 2), the columns as text.  issues: row_number, code.  Rows that are
-    short are padded, long ones cut, both with an issue; blank rows are skipped.  Every file's header is checked: the same
-    names in another order are put in order, other names make the file an issue (HEADER_MISMATCH) without rows.  Files are
-    read by Spark, one task each, because quoted line breaks make a row's number depend on all before it.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    first = files.where("length > 0").select("path", F.substring("content", 1, PROBE).alias("head")).orderBy("path").first()
-    if first is None:
-        raise ValueError("FILE_EMPTY")
-    enc = encoding(enc) if enc else detect_encoding(bytes(first["head"]))[0]
+    rows: DataFrame
+    issues: DataFrame
+    files: DataFrame
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.rows, self.issues))
+
+    def located(self, df: DataFrame) -> DataFrame:
+        """``df`` (with row_number) and the file and line of each of its rows."""
+        return located(df, self.files)
+
+
+def located(df: DataFrame, files: DataFrame) -> DataFrame:
+    at = df.withColumn("ordinal", F.shiftright("row_number", 40).cast("int")).withColumn("line", F.col("row_number").bitwiseAND(F.lit(PER_FILE - 1)))
+    return at.join(files, "ordinal").drop("ordinal")
+
+
+def after(line: str | bytes, inside: bool, sep: str | bytes) -> tuple[bool, int, int]:
+    """Whether a quoted cell is open after ``line`` (without its line feed), how many records begin within it, after a
+    carriage return, and where the last of them does.  A quote opens a cell only at the cell's start, and two within it are one."""
+    quote, cr = ('"', "\r") if isinstance(line, str) else (b'"', b"\r")
+    at, more, begun, last = 0, 0, 0, len(line) - 1
+    if not inside and line[:1] == quote:
+        inside, at = True, 1
+    while True:
+        if inside:
+            q = line.find(quote, at)
+            if q < 0:
+                return True, more, begun
+            if line[q + 1 : q + 2] == quote:
+                at = q + 2
+                continue
+            inside, at = False, q + 1
+        s, r = line.find(sep, at), line.find(cr, at)
+        if r >= 0 and (s < 0 or r < s):
+            if r == last:
+                return False, more, begun
+            more, at, begun = more + 1, r + 1, r + 1
+        elif s >= 0:
+            at = s + 1
+        else:
+            return False, more, begun
+        if line[at : at + 1] == quote:
+            inside, at = True, at + 1
+
+
+def _special(lines: pa.Array) -> np.ndarray:
+    """Places of lines with a quote, or with a carriage return before their end."""
+    crs = pc.subtract(pc.count_substring(lines, "\r"), pc.cast(pc.ends_with(lines, "\r"), pa.int32()))
+    return np.flatnonzero(pc.or_(pc.match_substring(lines, '"'), pc.greater(crs, 0)).to_numpy(zero_copy_only=False))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Array]]:
+    """Stretches of lines of one block: ((file, block), lines)."""
+    for b in batches:
+        keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), b.num_rows]):
+            if hi > lo:
+                yield (int(keys[0, lo]), int(keys[1, lo])), b.column(2).slice(lo, hi - lo)
+
+
+def _span(sep: bytes):
+    """Of each block, for either state at its start: the state at its end and how many records begin in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in itertools.groupby(_runs(batches), key=lambda x: x[0]):
+            inside, count, head, size = [False, True], [0, 0], [], 0
+            for _, lines in group:
+                at = 0
+                for i in [*_special(lines).tolist(), len(lines)]:
+                    for k in (0, 1):
+                        count[k] += 0 if inside[k] else i - at
+                    if i < len(lines):
+                        raw = lines[i].as_py()
+                        for k in (0, 1):
+                            count[k] += not inside[k]
+                            inside[k], more, _ = after(raw, inside[k], sep)
+                            count[k] += more
+                    at = i + 1
+                for x in lines if key[1] == 0 and size < PROBE else ():
+                    head.append(x.as_py()[: PROBE - size])
+                    size += len(head[-1]) + 1
+                    if size >= PROBE:
+                        break
+            yield pa.RecordBatch.from_pylist([{"file": key[0], "block": key[1], "end_out": inside[0], "n_out": count[0], "end_in": inside[1], "n_in": count[1], "head": b"\n".join(head)}], _arrow(SPAN))
+
+    return run
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+
+
+def _records(text: str, sep: str) -> Iterator[list[str]]:
+    return _csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+
+
+def _pieces(sep: str, enc: str, width: int, held: dict[tuple[int, int], tuple[bool, int]], files: dict[int, tuple[int, list[int] | None]]):
+    """Records of each block as cells; of a record that goes on in the next block, or came from the one before, its text."""
+    raw_sep = sep.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        _csv.field_size_limit((1 << 31) - 1)
+
+        def put(n: int, row: list[str]) -> None:
+            if n > 1 and any(c.strip() for c in row):
+                out.append(_cells(first + n, row, width, order))
+
+        for key, group in itertools.groupby(_runs(batches), key=lambda x: x[0]):
+            (inside, n), (ordinal, order), block = held[key], files[key[0]], key[1]
+            first = ordinal * PER_FILE
+            if block == 0 and order is None:
+                out.append({"row_number": first + 1, "code": "HEADER_MISMATCH"})
+            open_: list[bytes] = []
+            carried = inside  # the open record began in an earlier block
+            for _, lines in group:
+                if order is None:
+                    continue
+                at = 0
+                for i in [*_special(lines).tolist(), len(lines)]:
+                    plain = lines.slice(at, i - at).to_pylist()
+                    if inside:
+                        open_ += plain
+                    elif plain:
+                        for row in _csv.reader([x.decode(enc) for x in plain], delimiter=sep):
+                            n += 1
+                            put(n, row)
+                    if i < len(lines):
+                        raw = lines[i].as_py()
+                        n += not inside
+                        inside, more, begun = after(raw, inside, raw_sep)
+                        for cut, done in ((raw[:begun], more > 0), (raw[begun:], not inside)):
+                            if cut or done:
+                                open_.append(cut)
+                            if done:
+                                text = b"\n".join(open_).decode(enc) + "\n"
+                                if carried:
+                                    out.append({"row_number": first + n, "block": block, "text": text})
+                                else:
+                                    for j, row in enumerate(_records(text, sep)):
+                                        put(n + j, row)
+                                n, more, open_, carried = n + more, 0, [], False
+                    at = i + 1
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_pylist(out, _arrow(PIECE))
+                    out.clear()
+            if open_:
+                out.append({"row_number": first + n, "block": block, "text": b"\n".join(open_).decode(enc) + "\n"})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _arrow(PIECE))
+
+    return run
+
+
+def _cells(number: int, row: list[str], width: int, order: list[int]) -> dict:
+    cells = (row + [""] * width)[:width]
+    return {"row_number": number, "cells": [cells[i] for i in order], "code": "COLUMN_COUNT_MISMATCH" if len(row) != width else None}
+
+
+@contextmanager
+def _steady_splits(spark: SparkSession, block_bytes: int | None) -> Iterator[None]:
+    """Both passes must cut files alike, also where executors come or go between them."""
+    wanted = {"spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism)}
+    if block_bytes:
+        wanted["spark.sql.files.maxPartitionBytes"] = str(block_bytes)
+    held = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+
+
+def _head(lines: DataFrame, first: str, enc: str | None) -> tuple[str, str, list[str]]:
+    """Encoding, delimiter and header names by the first file's first lines."""
+    rows = lines.where((F.col("path") == first) & (F.col("block") == 0)).select(F.substring("line", 1, PROBE).alias("line")).limit(100).collect()
+    head = b"\n".join(bytes(r["line"]) for r in rows) + b"\n"
+    enc = encoding(enc) if enc else detect_encoding(head[:PROBE])[0]
     if enc is None:
         raise ValueError("ENCODING_REQUIRED")
-    text = bytes(first["head"]).decode(enc, "ignore")
-    if len(first["head"]) == PROBE and "\n" not in text:
+    if not rows or len(rows[0]["line"]) == PROBE:
         raise ValueError("HEADER_TOO_LONG")
+    text = head[:PROBE].decode(enc, "ignore")
     sep = sniff_delimiter(text.partition("\n")[0])
-    headers = clean_headers(next(_csv.reader(io.StringIO(text, newline=""), delimiter=sep), []))
+    return enc, sep, clean_headers(next(_records(text, sep), []))
+
+
+def scan(spark: SparkSession, path: str, enc: str | None = None, block_bytes: int | None = None) -> Scan:
+    """One CSV file or a folder of files with one header.
+
+    Rows that are short are padded, long ones cut, both with an issue; blank rows are skipped but counted.  Every file's
+    header is checked: the same names in another order are put in order, other names make the file an issue
+    (HEADER_MISMATCH) without rows.  A row's number is unique over all files and rises with the file's path and the row's place.
+
+    Files are split into blocks of lines.  Whether a block begins within a quoted cell, and how many records stand before it, depends
+    on all blocks before, so a first pass tells for either state at a block's start the state at its end and the records in it; these
+    are chained by file, and the second pass reads each block from its true state.  Only a record that crosses blocks is put
+    together after a shuffle.  The driver holds a number and a state for each block, and the files' names.  A block has at most
+    ``block_bytes``, by default as Spark cuts files.
+    """
+    named_files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("_metadata.file_path").alias("file"))
+    found = sorted((r["file"], r["id"]) for r in named_files.select("file", F.xxhash64("file").alias("id")).collect())
+    if not found:
+        raise ValueError("FILE_EMPTY")
+    with _steady_splits(spark, block_bytes):
+        m = F.col("_metadata")
+        lines = spark.read.option("lineSep", "\n").text(path).select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.col("value").cast("binary").alias("line"))
+        enc, sep, headers = _head(lines, found[0][0], enc)
+        split = lines.select(F.xxhash64("path").alias("file"), "block", "line")
+        spans = {(r["file"], r["block"]): r for r in split.mapInArrow(_span(sep.encode()), SPAN).collect()}
+        held, files = {}, {}
+        for ordinal, (_, file) in enumerate(found):
+            names = [unicodedata.normalize("NFKC", x).strip().lstrip("\ufeff") for x in next(_records(bytes(spans[file, 0]["head"]).decode(enc, "ignore"), sep), [])]
+            files[file] = (ordinal, [names.index(h) for h in headers] if sorted(names) == sorted(headers) else None)
+        inside, before, last = False, 0, None
+        for key in sorted(spans):
+            if key[0] != last:
+                inside, before, last = False, 0, key[0]
+            held[key] = (inside, before)
+            s = spans[key]
+            inside, before = (s["end_in"], before + s["n_in"]) if inside else (s["end_out"], before + s["n_out"])
+        pieces = stored(split.mapInArrow(_pieces(sep, enc, len(headers), held, files), PIECE), "csv")
+    orders = {ordinal: order for ordinal, order in files.values()}
     width = len(headers)
 
-    def lines(content: bytes) -> Iterator[tuple[int, list[str] | None, str | None]]:
-        order: list[int] = []
-        for n, row in enumerate(_csv.reader(io.StringIO(content.decode(enc), newline=""), delimiter=sep), 1):
-            if n == 1:
-                names = [unicodedata.normalize("NFKC", x).strip().lstrip("\ufeff") for x in row]
-                if sorted(names) != sorted(headers):
-                    yield 1, None, "HEADER_MISMATCH"
-                    return
-                order = [names.index(h) for h in headers]
-            elif any(c.strip() for c in row):
-                cells = (row + [""] * width)[:width]
-                yield n, [cells[i] for i in order], "COLUMN_COUNT_MISMATCH" if len(row) != width else None
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _csv.field_size_limit((1 << 31) - 1)
         for pdf in batches:
-            for content in pdf["content"]:
-                found = lines(bytes(content))
-                while out := list(itertools.islice(found, 5000)):
-                    yield pd.DataFrame(out, columns=["row_number", "cells", "code"])
+            out = [
+                _cells(number + j, row, width, orders[number // PER_FILE])
+                for number, text in zip(pdf["row_number"].tolist(), pdf["text"], strict=True) for j, row in enumerate(_records(text, sep))
+                if number % PER_FILE + j > 1 and any(c.strip() for c in row)
+            ]
+            yield pd.DataFrame(out, columns=["row_number", "cells", "code"])
 
-    cells = files.select("content").mapInPandas(parse, ROW)
-    return named(cells, headers), cells.where("code is not null").select("row_number", "code")
+    # a record that lies in several blocks, in their order
+    parts = F.array_sort(F.collect_list(F.struct("block", "text")))
+    crossing = pieces.where("text is not null").groupBy("row_number").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    cells = pieces.where("text is null").select("row_number", "cells", "code").unionByName(crossing.mapInPandas(whole, ROW))
+    file_table = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(found)], "ordinal int, file string")
+    issues = located(cells.where("code is not null").select("row_number", "code"), file_table)
+    return Scan(named(cells, headers), issues.select("row_number", "code", "file", "line"), file_table)
 
 
 def named(cells: DataFrame, headers: list[str]) -> DataFrame:

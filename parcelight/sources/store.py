@@ -56,7 +56,7 @@ class Store:
         for f in fields:
             if df.schema[f.name].dataType != f.dataType and f.name not in CONTRACTS[kind].times:
                 raise ValueError(f"{kind}.{f.name} is no {f.dataType.simpleString()}")
-        return df.select(*(f.name for f in fields))
+        return df.select(*(f.name for f in fields)).orderBy("source_index")
 
     def control(self, kind: str) -> DataFrame:
         """Control rows of a data type, the newest first."""

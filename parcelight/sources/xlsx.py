@@ -12,7 +12,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .csv import ROW, clean_headers, named
+from .csv import PER_FILE, ROW, Scan, clean_headers, located, named
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 _REL = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
@@ -132,19 +132,20 @@ def read(raw: bytes, sheet: str | None = None) -> tuple[list[str], list[tuple[in
     return headers, body, issues
 
 
-def scan(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of one workbook or a folder of workbooks with one header; :data:`MAX_BYTES` bounds each."""
+def scan(spark: SparkSession, path: str, sheet: str | None = None) -> Scan:
+    """Rows, issues and files of one workbook or a folder of workbooks with one header; :data:`MAX_BYTES` bounds each."""
     return scan_files(spark.read.format("binaryFile").load(path), sheet)
 
 
-def scan_files(files: DataFrame, sheet: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of the workbooks in ``files`` (path, content), each parsed by one task.
+def scan_files(files: DataFrame, sheet: str | None = None) -> Scan:
+    """Rows, issues and files of the workbooks in ``files`` (path, content), each parsed by one task.
 
-    The first by path gives the header.  A workbook with other names, or an unsafe one, gives an issue and no rows.
+    A row's number is unique over all of them, as of CSV files.  The first by path gives the header.  A workbook with other names, or an unsafe one, gives an issue and no rows.
     """
     first = files.orderBy("path").select("content").first()
     if first is None:
         raise ValueError("FILE_EMPTY")
+    ordinals = {r["path"]: i for i, r in enumerate(files.select("path").orderBy("path").collect())}  # names alone
     headers = read(bytes(first["content"]), sheet)[0]
 
     def lines(raw: bytes) -> Iterator[tuple[int, list[str | None] | None, str | None]]:
@@ -164,11 +165,14 @@ def scan_files(files: DataFrame, sheet: str | None = None) -> tuple[DataFrame, D
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for raw in pdf["content"]:
-                yield pd.DataFrame(list(lines(bytes(raw))), columns=["row_number", "cells", "code"])
-
-    cells = files.select("content").mapInPandas(parse, ROW)
-    return named(cells, headers), cells.where("code is not null").select("row_number", "code")
+            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
+                found = [(ordinals[path] * PER_FILE + n, cells, code) for n, cells, code in lines(bytes(raw))]
+                yield pd.DataFrame(found, columns=["row_number", "cells", "code"])
+
+    cells = files.select("path", "content").mapInPandas(parse, ROW)
+    file_table = files.sparkSession.createDataFrame([(i, p) for p, i in ordinals.items()], "ordinal int, file string")
+    issues = located(cells.where("code is not null").select("row_number", "code"), file_table)
+    return Scan(named(cells, headers), issues.select("row_number", "code", "file", "line"), file_table)
 
 
 # The kinds of file that an import takes, and the media types they come with.

@@ -1,6 +1,8 @@
 """Scalars, mapping, validation and sources."""
 
+import csv as pycsv
 import io
+import random
 import zipfile
 
 import pytest
@@ -73,7 +75,7 @@ def test_csv(spark, tmp_path):
     g.write_bytes("订单号,状态\n1,已签收\n".encode("gb18030"))
     with pytest.raises(ValueError, match="ENCODING_REQUIRED"):
         csv.scan(spark, str(g))
-    assert csv.scan(spark, str(g), "cp936")[0].first()["状态"] == "已签收"
+    assert csv.scan(spark, str(g), "cp936").rows.first()["状态"] == "已签收"
     assert csv.export_bytes(rows.select("id").orderBy("row_number").limit(1)) == "﻿id\r\n1\r\n".encode()
 
 
@@ -83,7 +85,45 @@ def test_csv_checks_every_header(spark, tmp_path):
     (tmp_path / "3.csv").write_text("other,id\nc,3\n")
     rows, issues = csv.scan(spark, str(tmp_path))
     assert sorted((r["id"], r["name"]) for r in rows.collect()) == [("1", "a"), ("2", "b")]
-    assert [tuple(r) for r in issues.collect()] == [(1, "HEADER_MISMATCH")]
+    assert [(r["row_number"] - 2 * csv.PER_FILE, r["code"], r["file"].rsplit("/", 1)[-1], r["line"]) for r in issues.collect()] == [(1, "HEADER_MISMATCH", "3.csv", 1)]
+
+
+@pytest.mark.parametrize("block", [60, 300, 100_000])
+def test_csv_in_blocks_equals_one_read(spark, tmp_path, block):
+    rng = random.Random(block)
+    cell = lambda: "".join(rng.choices(['a', 'é', '""', "b;c", "\n", "\r\n", ",", " ", "状", '"'], k=rng.randint(0, 9)))
+
+    def quoted(c):
+        c = c.replace('"', '""')
+        return f'"{c}"' if any(x in c for x in ',\n\r"') or rng.random() < 0.3 else c
+
+    want = []
+    for f in range(3):
+        body = ["id,text,more"]
+        for i in range(rng.randint(20, 60)):
+            # a quote within a bare cell is an ordinary character; some rows are short, long or blank
+            body.append(rng.choice([f"{i},{quoted(cell())},{quoted(cell())}", f"{i},{quoted(cell())}", f"{i},in\"side,5\" wide", "", f"{i},a,b,c", f'{i},"x"tail,z', f"{i},a,b\r{i},c,{quoted(cell())}"]))
+        text = rng.choice(["\n", "\r\n"]).join(body) + rng.choice(["", "\n"])
+        (tmp_path / f"{f}.csv").write_bytes(text.encode())
+        for n, row in enumerate(pycsv.reader(io.StringIO(text, newline="")), 1):
+            if n > 1 and any(c.strip() for c in row):
+                want.append((f, n, *(row + [""] * 3)[:3], len(row) != 3))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        got = csv.scan(spark, str(tmp_path))
+        blocks = got.rows.select("row_number").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wrong = {(r["file"][-5:-4], r["line"]) for r in got.issues.collect()}
+    rows = got.located(got.rows).collect()
+    assert blocks == len(rows) == len({r["row_number"] for r in rows})
+    assert sorted((int(r["file"][-5]), r["line"], r["id"], r["text"], r["more"], (r["file"][-5:-4], r["line"]) in wrong) for r in rows) == sorted(want)
+
+
+def test_csv_states_of_a_line():
+    assert csv.after('a,"b', False, ",") == (True, 0, 0) and csv.after('b",c', True, ",") == (False, 0, 0)
+    assert csv.after('a"b,c', False, ",") == (False, 0, 0) and csv.after('"a""b"', False, ",") == (False, 0, 0)
+    assert csv.after('x\r"y', False, ",") == (True, 1, 2) and csv.after("x\r", False, ",") == (False, 0, 0) and csv.after('""', True, ",") == (True, 0, 0)
 
 
 def workbook(sheet, extra=()):
