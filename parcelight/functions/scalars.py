@@ -14,35 +14,44 @@ from ..contract import UNKNOWN
 _FOLDED = [c for c in map(chr, range(0x80, 0xFFFE)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFKC", c) != c and len(unicodedata.normalize("NFKC", c)) == 1]
 _WIDE = "".join(_FOLDED)
 _NARROW = "".join(unicodedata.normalize("NFKC", c) for c in _FOLDED)
-_CJK_MARKS, _ASCII_MARKS = "，。：；（）【】、", ",.:;()[],"
+CJK_MARKS, ASCII_MARKS = "，。：；（）【】、", ",.:;()[],"
+#: All white space, that of other scripts and the separators of ASCII too.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(col(c), F.lit(WHITE))
+
+
 def parse_text(c: Column | str) -> Column:
-    return F.trim(F.translate(col(c), _WIDE, _NARROW))
+    """Folded, then stripped, within the JVM: what unfolds to several characters stays (:func:`.text.unfolded` covers all)."""
+    return stripped(F.translate(col(c), _WIDE, _NARROW))
 
 
 def is_empty(c: Column | str) -> Column:
-    return col(c).isNull() | (F.trim(col(c)) == "")
+    return col(c).isNull() | (stripped(c) == "")
 
 
 def dimension(c: Column | str) -> Column:
     """A missing or blank dimension counts as ``unknown``."""
-    return F.when(is_empty(c), UNKNOWN).otherwise(F.trim(col(c)))
+    return F.when(is_empty(c), UNKNOWN).otherwise(stripped(c))
 
 
-def parse_number(c: Column | str, integer: bool = False) -> Column:
-    """struct(value double, error string): commas only as thousands separators; no NaN or infinity."""
-    t = parse_text(c)
+def parse_number(c: Column | str, integer: bool = False, parsed: bool = False) -> Column:
+    """struct(value double, error string): commas only as thousands separators; no NaN or infinity.  ``parsed``: the text is
+    folded and stripped already."""
+    t = col(c) if parsed else parse_text(c)
     plain = F.when(t.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"), F.regexp_replace(t, ",", "")).otherwise(t)
     v = F.when(plain.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
-    bad = F.when(F.lower(t).isin("true", "false"), "BOOLEAN_NOT_NUMBER").when(v.isNull() | (F.abs(v) == float("inf")), "INVALID_NUMBER")
+    bad = F.when(F.contains(plain, F.lit(",")), "AMBIGUOUS_NUMBER_FORMAT").when(v.isNull() | (F.abs(v) == float("inf")), "UNPARSEABLE_NUMBER")
     if integer:
-        bad = bad.when(v != F.floor(v), "INTEGER_REQUIRED")
-    error = F.when(is_empty(c), F.lit(None).cast("string")).otherwise(bad)
+        bad = bad.when(v != F.floor(v), "UNPARSEABLE_INTEGER")
+    error = F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).otherwise(bad)
     return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))
 
 
@@ -56,7 +65,7 @@ def ratio(n: Column, d: Column) -> Column:
 
 def parse_time(c: Column | str) -> Column:
     """ISO text with an offset to an instant; text without an offset is null."""
-    c = F.trim(col(c))
+    c = stripped(c)
     seconds = F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})$", "$1:00$2")
     return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), seconds.try_cast("timestamp"))
 
@@ -81,15 +90,16 @@ def attach_zone(naive: Column, zone: str) -> Column:
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
-def parse_datetime(c: Column | str, zone: str = "Asia/Shanghai") -> Column:
-    """struct(value, error) of import text: ISO with offset, ``GMT+hhmm`` text, then the naive formats in ``zone``."""
-    t = parse_text(c)
+def parse_datetime(c: Column | str, zone: str = "Asia/Shanghai", parsed: bool = False) -> Column:
+    """struct(value, error) of import text: ISO with offset, ``GMT+hhmm`` text, then the naive formats in ``zone``.  ``parsed``: the
+    text is folded and stripped already."""
+    t = col(c) if parsed else parse_text(c)
     js = F.regexp_extract(t, r"^\w{3} (\w{3} \d{2} \d{4} \d{2}:\d{2}:\d{2}) GMT([+-]\d{4})", 0)
     js_time = F.when(js != "", F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract(t, r"^\w{3} (\w{3} \d{2} \d{4} \d{2}:\d{2}:\d{2})", 1), F.regexp_extract(t, r"GMT([+-]\d{4})", 1)), F.lit("MMM dd yyyy HH:mm:ss Z")))
     fixed = F.coalesce(js_time, parse_time(t))
     naive = F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in NAIVE_FORMATS))
     local = attach_zone(naive, zone)
-    error = F.when(is_empty(c), F.lit(None).cast("string")).when(fixed.isNull() & naive.isNull(), "INVALID_DATETIME").when(fixed.isNull(), local["error"])
+    error = F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).when(fixed.isNull() & naive.isNull(), "INVALID_TIME").when(fixed.isNull(), local["error"])
     return F.struct(F.coalesce(fixed, local["value"]).alias("value"), error.alias("error"))
 
 
@@ -119,8 +129,8 @@ def six_hour_bucket(ts: Column) -> Column:
 
 def lookup_text(c: Column | str) -> Column:
     """Text as a lookup key: full-width and CJK marks to ASCII, white space collapsed, lower case."""
-    t = F.translate(parse_text(c), _CJK_MARKS, _ASCII_MARKS)
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    t = F.translate(parse_text(c), CJK_MARKS, ASCII_MARKS)
+    return F.lower(F.trim(F.regexp_replace(t, r"[\s\p{Z}]+", " ")))
 
 
 def escape_cell(c: Column | str) -> Column:

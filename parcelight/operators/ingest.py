@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..contract import ORDERS, TRACKING_EVENTS, WAREHOUSE_EVENTS
 from ..functions import scalars as S
+from ..functions.text import lookup_form, unfolded
+from ..sources.shared import stored
 
 MAX_CELL = 4096
 
@@ -248,15 +250,17 @@ LONGEST_ID = 128
 Keywords = list[tuple[str, tuple[str, ...], float]]
 
 
-def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = None, keywords: Keywords | None = None, auxiliary: tuple[str, ...] = ()) -> Column:
+def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = None, keywords: Keywords | None = None, auxiliary: tuple[str, ...] = (), looks: dict[str, str] | None = None) -> Column:
     """struct(code, source, confidence): the project's own mapping, known synonyms, standard codes, then keywords (the
     table's own, unless given) in the raw status and in auxiliary columns, the first rule that fits; else ``unmapped``.
 
-    Exact tiers are literal maps (a few dozen entries), keywords a chain of conditions, so a row costs no join.
+    Exact tiers are literal maps (a few dozen entries), keywords a chain of conditions, so a row costs no join.  ``looks`` names the
+    columns that hold the lookup text of ``raw`` and of auxiliary columns, where these are there already.
     """
-    look = S.lookup_text(raw)
+    looked = lambda c: F.col(looks[c]) if looks else S.lookup_text(c)
+    look = looked(raw)
     found = lambda code, source, conf: F.struct(code.alias("code"), F.lit(source).alias("source"), F.lit(float(conf)).alias("confidence"))
-    table = lambda m: F.create_map(*(S.lookup_text(F.lit(k)) if i % 2 == 0 else F.lit(k) for kv in m.items() for i, k in enumerate(kv)))
+    table = lambda m: F.create_map(*(F.lit(lookup_form(k) if i % 2 == 0 else k) for kv in m.items() for i, k in enumerate(kv)))
     tiers = []
     if project_map:
         own = F.try_element_at(table(project_map), look)
@@ -265,12 +269,12 @@ def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = N
     tiers.append(F.when(known.isNotNull(), found(known, "builtin_exact", 0.98)))
     tiers.append(F.when(look.isin(*CODES[kind]), found(look, "standard_code", 1.0)))
     for column in (raw, *auxiliary):
-        text = S.lookup_text(column)
+        text = looked(column)
         name = "builtin_keyword_raw" if column == raw else f"auxiliary_keyword:{column}"
         for target, words, conf in KEYWORDS.get(kind, []) if keywords is None else keywords:
             hit = None
             for w in words:
-                c = F.contains(text, S.lookup_text(F.lit(w)))
+                c = F.contains(text, F.lit(lookup_form(w)))
                 hit = c if hit is None else hit | c
             if target in CODES[kind] and hit is not None:
                 tiers.append(F.when(hit, found(F.lit(target), name, conf)))
@@ -279,11 +283,13 @@ def normalize_status(kind: str, raw: str, project_map: dict[str, str] | None = N
 
 @dataclass
 class Validation:
-    """valid: rows of the contract.  issues: (row_number, field, code, severity).  statuses: what each raw status became."""
+    """valid: rows of the contract.  issues: (row_number, field, code, severity); row_number is null where an issue is of the whole
+    file.  statuses: what each raw status became.  nulls: (field, nulls) of each field of the contract."""
 
     valid: DataFrame
     issues: DataFrame
     statuses: DataFrame
+    nulls: DataFrame
 
     def can_confirm(self) -> bool:
         """Whether the import may go on: some row is valid and none has an error."""
@@ -293,70 +299,115 @@ class Validation:
         return self.issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_number").alias("rows"))
 
 
-def validate(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone: str = "Asia/Shanghai", project_map: dict[str, str] | None = None, keywords: Keywords | None = None, auxiliary: tuple[str, ...] = ()) -> Validation:
-    """``rows``: text columns and row_number.  Rows with an error are left out; warnings stay.
+ISSUE = "row_number long, field string, code string, severity string"
+
+
+def _issue(cond: Column, field: str, code: Column | str, severity: str = "ERROR") -> Column:
+    found = F.struct(F.lit(field).alias("field"), (F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(severity).alias("severity"))
+    return F.when(F.coalesce(cond, F.lit(False)), found)
 
-    Identical repeats of a key keep the first; repeats that differ are errors, all of them.
+
+def _parsed(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone: str, project_map, keywords, auxiliary) -> DataFrame:
+    """row_number, the contract's columns, ``st`` (the status) and ``problems`` of each row by itself.
+
+    Text is folded and stripped in one pass of Arrow; times and numbers are parsed once, into columns that checks read.
     """
-    df = rows.select("row_number", *(F.col(f"`{s}`").cast("string").alias(t) for s, t in mapping.items()))
-    for f in contract.schema.fieldNames():
-        if f not in df.columns and f != "source_index":
-            df = df.withColumn(f, F.lit(None).cast("string"))
-    problems: list[Column] = []
-    issue = lambda cond, field, code, severity="ERROR": F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"), F.lit(severity).alias("severity")))
-    coded = lambda err, field: F.when(err.isNotNull(), F.struct(F.lit(field).alias("field"), err.alias("code"), F.lit("ERROR").alias("severity")))
+    names = [f for f in contract.schema.fieldNames() if f != "source_index"]
+    raw = contract.raw_status if contract.raw_status in mapping.values() else contract.status
+    df = rows.select("row_number", *(F.col(f"`{s}`").cast("string").alias(t) for s, t in mapping.items()), *(F.col(f"`{a}`").cast("string").alias(a) for a in auxiliary if a not in mapping.values()))
+    df = df.select("*", *(F.lit(None).cast("string").alias(f) for f in dict.fromkeys((*names, raw)) if f not in df.columns))
+    looks = {c: f"look_{i}" for i, c in enumerate((raw, *auxiliary))}
+    df = unfolded(df, {f"text_{f}": (f, "text") for f in names} | {look: (c, "lookup") for c, look in looks.items()})
+    text = lambda f: F.col(f"text_{f}")
+    blank = lambda f: text(f).isNull() | (text(f) == "")
+    kinds = {f.name: f.dataType.simpleString() for f in contract.schema.fields}
+    numbers = [f for f in names if kinds[f] in ("double", "bigint")]
+    status = normalize_status(contract.name, raw, project_map, keywords, auxiliary, looks)
+    df = df.select(
+        "*", status.alias("st"), *(S.parse_datetime(f"text_{f}", zone, parsed=True).alias(f"time_{f}") for f in contract.times),
+        *(S.parse_number(f"text_{f}", kinds[f] == "bigint", parsed=True).alias(f"number_{f}") for f in numbers),
+    )
     out: dict[str, Column] = {}
-    for field in contract.schema.fields:
-        f, kind = field.name, field.dataType.simpleString()
-        if f == "source_index":
-            continue
-        problems.append(issue(F.length(f) > MAX_CELL, f, "TEXT_TOO_LONG"))
-        if f in contract.required and f != contract.key and (f in mapping.values() or f != contract.raw_status):
-            problems.append(issue(S.is_empty(f), f, "REQUIRED_VALUE_MISSING"))
-        if f in contract.times:
-            t = S.parse_datetime(f, zone)
-            problems.append(coded(t["error"], f))
-            out[f] = t["value"]
-        elif kind in ("double", "bigint"):
-            n = S.parse_number(f, kind == "bigint")
-            problems.append(coded(n["error"], f))
-            out[f] = n["value"].cast(kind)
-            problems.append(issue((n["value"] <= 0) if f == "ordered_quantity" else (n["value"] < 0), f, "QUANTITY_OUT_OF_RANGE"))
-        elif f == contract.status:
-            continue
-        else:
-            text = S.parse_text(f)
-            out[f] = F.when(text != "", text)
-            problems.append(issue(F.length(text) > LONGEST.get(f, LONGEST_ID), f, "SCHEMA_VALIDATION_ERROR"))
+    problems: list[Column] = []
+    derived = contract.name == "tracking_events" and contract.key not in mapping.values()
+    for f in names:
+        problems.append(_issue(F.length(f) > MAX_CELL, f, "LONG_TEXT_VALUE"))
+        needed = f in contract.required or f == contract.key and not derived
+        if needed and f not in (contract.raw_status, contract.status):
+            problems.append(_issue(blank(f), f, "REQUIRED_VALUE_MISSING"))
+        if f in contract.times or f in numbers:
+            held = F.col(f"time_{f}" if f in contract.times else f"number_{f}")
+            problems.append(_issue(held["error"].isNotNull(), f, held["error"]))
+            out[f] = held["value"] if f in contract.times else held["value"].cast(kinds[f])
+            if f in numbers:
+                wrong = held["value"] <= 0 if f == "ordered_quantity" else held["value"] < 0
+                problems.append(_issue(wrong, f, "NEGATIVE_OR_INVALID_QUANTITY"))
+        elif f == contract.raw_status:
+            out[f] = F.col(raw)
+        elif f != contract.status:
+            out[f] = F.when(text(f) != "", text(f))
+            problems.append(_issue(F.length(text(f)) > LONGEST.get(f, LONGEST_ID), f, "SCHEMA_VALIDATION_ERROR"))
+    if raw in mapping.values():
+        problems += [_issue(blank(raw), contract.raw_status, "REQUIRED_STATUS_MISSING"), _issue(~blank(raw) & (F.col("st.code") == "unmapped"), contract.status, "UNKNOWN_STATUS", "WARNING")]
     if contract.name == "orders":
-        made = S.parse_datetime("created_at", zone)["value"]
-        problems += [issue(S.parse_datetime(f, zone)["value"] < made, f, "TIME_ORDER_CONFLICT") for f in ("promised_delivery_time", "actual_delivery_time")]
+        problems += [_issue(F.col(f"time_{f}.value") < F.col("time_created_at.value"), f, "TIME_ORDER_CONFLICT") for f in ("promised_delivery_time", "actual_delivery_time")]
     if contract.name == "warehouse_events":
-        problems.append(issue(S.is_empty("quantity") != S.is_empty("quantity_unit"), "quantity", "SCHEMA_VALIDATION_ERROR"))
-    if contract.name == "tracking_events":
-        made_id = S.generated_event_id([S.parse_text(F.coalesce(F.col(c), F.lit(""))) for c in ("shipment_id", "event_time", "raw_status", "order_id", "carrier_id", "sequence_number")], F.col("row_number"), [F.col(c) for c in ("shipment_id", "event_time", "raw_status")])
-        out["tracking_event_id"] = F.coalesce(F.when(~S.is_empty("tracking_event_id"), S.parse_text("tracking_event_id")), made_id)
-        out["exception_code"] = S.exception_code("exception_code")
-        problems.append(issue(S.unknown_exception("exception_code"), "exception_code", "EXCEPTION_CODE_UNKNOWN", "WARNING"))
-    else:
-        problems.append(issue(S.is_empty(contract.key), contract.key, "REQUIRED_VALUE_MISSING"))
-    raw = contract.raw_status if contract.raw_status in mapping.values() else contract.status
-    status = normalize_status(contract.name, raw, project_map, keywords, auxiliary)
-    checked = df.select("row_number", *(c.alias(f) for f, c in out.items() if f != contract.raw_status), F.col(raw).alias(contract.raw_status), status.alias("st"), F.array_compact(F.array(*problems)).alias("problems"))
-    body = [f for f in out if f not in (contract.key, contract.raw_status)]
-    w = Window.partitionBy(contract.key)
-    same = F.struct(*body, contract.raw_status)  # null-safe, as a hash of the values is not
-    # rows without a key stand alone
-    checked = checked.withColumns({"h": same, "lo": F.min(same).over(w), "hi": F.max(same).over(w), "nth": F.row_number().over(w.orderBy("row_number"))})
-    named = F.col(contract.key).isNotNull()
-    conflict, repeat = named & (F.col("lo") != F.col("hi")), named & (F.col("lo") == F.col("hi")) & (F.col("nth") > 1)
-    more = F.array_compact(F.array(issue(conflict, contract.key, "DUPLICATE_KEY_CONFLICT"), issue(repeat, contract.key, "EXACT_DUPLICATE_ROW", "WARNING"), issue(F.col("st.code") == "unmapped", contract.status, "STATUS_UNMAPPED", "WARNING")))
-    checked = checked.withColumn("problems", F.concat("problems", more))
+        problems.append(_issue(blank("quantity") != blank("quantity_unit"), "quantity", "SCHEMA_VALIDATION_ERROR"))
     if contract.name == "tracking_events":
-        before = F.last("event_time", True).over(Window.partitionBy("order_id", "shipment_id").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1))
-        checked = checked.withColumn("problems", F.concat("problems", F.array_compact(F.array(issue(F.col("event_time") < before, "event_time", "EVENT_OUT_OF_ORDER", "WARNING")))))
+        own = [F.coalesce(text(c), F.lit("")) for c in ("shipment_id", "event_time", "raw_status", "order_id", "carrier_id", "sequence_number")]
+        if derived:
+            out[contract.key] = S.generated_event_id(own, F.col("row_number"), [text(c) for c in ("shipment_id", "event_time", "raw_status")])
+        out["exception_code"] = S.exception_code("text_exception_code")
+        problems.append(_issue(S.unknown_exception("text_exception_code"), "exception_code", "GENERIC_OR_UNKNOWN_EXCEPTION", "WARNING"))
+    absent = F.array_compact(F.array(*(F.when(blank(f), F.lit(f)) for f in names)))
+    return df.select("row_number", *(c.alias(f) for f, c in out.items()), "st", absent.alias("absent"), F.array_compact(F.array(*problems)).alias("problems"))
+
+
+def validate(rows: DataFrame, contract: Contract, mapping: dict[str, str], zone: str = "Asia/Shanghai", project_map: dict[str, str] | None = None, keywords: Keywords | None = None, auxiliary: tuple[str, ...] = ()) -> Validation:
+    """``rows``: text columns and row_number.  Rows with an error are left out; warnings stay.
+
+    Identical repeats of a key keep the first; repeats that differ are errors, all of them.  Rows are parsed once and stored; keys
+    that repeat are counted first, so only rows of such keys are moved and compared.
+    """
+    parsed = stored(_parsed(rows, contract, mapping, zone, project_map, keywords, auxiliary), "parsed")
+    key, raw = contract.key, contract.raw_status
+    values = [c for c in parsed.columns if c not in ("row_number", "st", "absent", "problems")]
+    many = stored(parsed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(key), "repeated")
+    same = F.struct(*(c for c in values if c != key))  # null-safe, as a hash of the values is not
+    w = Window.partitionBy(key)
+    again = parsed.join(many, key, "left_semi").withColumns({"lo": F.min(same).over(w), "hi": F.max(same).over(w), "first_row": F.min("row_number").over(w)})
+    conflict = F.col("lo") != F.col("hi")
+    repeat = ~conflict & (F.col("row_number") > F.col("first_row"))
+    more = F.array_compact(F.array(_issue(conflict, key, "DUPLICATE_KEY_CONFLICT"), _issue(repeat, key, "EXACT_DUPLICATE_ROW", "WARNING")))
+    again = again.withColumns({"problems": F.concat("problems", more), "repeat": repeat}).select(*parsed.columns, "repeat")
+    alone = parsed.join(many, key, "left_anti").select(*parsed.columns, F.lit(False).alias("repeat"))
+    checked = alone.unionByName(again)
     issues = checked.select("row_number", F.explode("problems").alias("p")).select("row_number", "p.*")
-    good = checked.where(~F.exists("problems", lambda p: p["severity"] == "ERROR") & ~repeat)
-    fields = [F.col("st.code").alias(f) if f == contract.status else F.col("row_number").alias(f) if f == "source_index" else F.col(f) for f in contract.schema.fieldNames()]
-    statuses = checked.groupBy(F.col(contract.raw_status).alias("raw"), "st.code", "st.source", "st.confidence").agg(F.count(F.lit(1)).alias("n"))
-    return Validation(good.select(*fields), issues, statuses)
+    if contract.name != "orders":
+        by = [c for c in ("order_id", "shipment_id") if c in values]
+        # the last time before it of the same process, in the order of the rows
+        last = F.last("event_time", True).over(Window.partitionBy(*by).orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1))
+        late = parsed.select("row_number", "event_time", last.alias("before")).where("event_time < before")
+        issues = issues.unionByName(late.select("row_number", F.lit("event_time").alias("field"), F.lit("TIME_ORDER_CONFLICT").alias("code"), F.lit("WARNING").alias("severity")))
+    if contract.name == "tracking_events" and key not in mapping.values():
+        issues = issues.unionByName(rows.sparkSession.createDataFrame([(None, key, "GENERATED_TRACKING_EVENT_ID", "INFO")], ISSUE))
+    good = checked.where(~F.exists("problems", lambda p: p["severity"] == "ERROR") & ~F.col("repeat"))
+    named = {contract.status: F.col("st.code"), "source_index": F.col("row_number")}
+    valid = good.select(*(named.get(f, F.col(f) if f in values else F.lit(None)).cast(contract.schema[f].dataType).alias(f) for f in contract.schema.fieldNames()))
+    told = checked.where(F.col(raw).isNotNull() & (S.stripped(raw) != ""))
+    statuses = told.groupBy(F.col(raw).alias("raw"), "st.code", "st.source", "st.confidence").agg(F.count(F.lit(1)).alias("n"))
+    counts = checked.select(F.explode("absent").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("nulls"))
+    fields = rows.sparkSession.createDataFrame([(f,) for f in contract.schema.fieldNames() if f != "source_index"], "field string")
+    nulls = fields.join(counts, "field", "left").select("field", F.coalesce("nulls", F.lit(0)).alias("nulls"))
+    return Validation(valid, issues, statuses, nulls)
+
+
+def resolutions(contract: Contract, mapping: dict[str, str]) -> list[tuple[str, str | None, str]]:
+    """(field, source column, how it is resolved) of each field of the contract: mapped, derived, optional or missing."""
+    source = {t: s for s, t in mapping.items()}
+    out = []
+    for f in contract.schema.fieldNames():
+        if f != "source_index":
+            derived = f == contract.status and contract.raw_status in source or f == contract.raw_status and contract.status in source or contract.name == "tracking_events" and f == contract.key
+            out.append((f, source.get(f), "mapped" if f in source else "derived" if derived else "missing" if f in contract.required else "optional"))
+    return out

@@ -94,9 +94,9 @@ def _validations() -> dict[str, str]:
     number = "k % 19 <> 0 AND (k % 29 = 0 OR k % 41 = 0)"
     early = "k % 13 = 0 AND k % 17 <> 0"
     orders = _issues(
-        t, ("k % 31 = 0", "order_id", "REQUIRED_VALUE_MISSING", E), ("k % 17 = 0", "created_at", "INVALID_DATETIME", E), (early, "promised_delivery_time", "TIME_ORDER_CONFLICT", E),
-        ("k % 19 = 0", "ordered_quantity", "QUANTITY_OUT_OF_RANGE", E), (f"{number} AND k % 29 = 0", "ordered_quantity", "INVALID_NUMBER", E), (f"{number} AND k % 29 <> 0", "ordered_quantity", "BOOLEAN_NOT_NUMBER", E),
-        ("k % 43 = 0", "quantity_unit", "SCHEMA_VALIDATION_ERROR", E), ("k % 47 = 0", "warehouse_id", "TEXT_TOO_LONG", E), ("k % 47 = 0", "warehouse_id", "SCHEMA_VALIDATION_ERROR", E), ("k % 23 = 0", "order_status", "STATUS_UNMAPPED", W),
+        t, ("k % 31 = 0", "order_id", "REQUIRED_VALUE_MISSING", E), ("k % 17 = 0", "created_at", "INVALID_TIME", E), (early, "promised_delivery_time", "TIME_ORDER_CONFLICT", E),
+        ("k % 19 = 0", "ordered_quantity", "NEGATIVE_OR_INVALID_QUANTITY", E), (f"{number} AND k % 29 = 0", "ordered_quantity", "AMBIGUOUS_NUMBER_FORMAT", E), (f"{number} AND k % 29 <> 0", "ordered_quantity", "UNPARSEABLE_NUMBER", E),
+        ("k % 43 = 0", "quantity_unit", "SCHEMA_VALIDATION_ERROR", E), ("k % 47 = 0", "warehouse_id", "LONG_TEXT_VALUE", E), ("k % 47 = 0", "warehouse_id", "SCHEMA_VALIDATION_ERROR", E), ("k % 23 = 0", "order_status", "UNKNOWN_STATUS", W),
     ) + " UNION ALL " + _issues(twins, ("d > 1", "order_id", "DUPLICATE_KEY_CONFLICT", E), ("d = 1 AND r > 1", "order_id", "EXACT_DUPLICATE_ROW", W))
     bad = f"k % 31 = 0 OR k % 17 = 0 OR ({early}) OR k % 19 = 0 OR {number} OR k % 43 = 0 OR k % 47 = 0 OR k IN (SELECT k FROM {twins} WHERE d > 1 OR r > 1)"
     local = "strftime(CAST(o_orderdate AS TIMESTAMP) - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M')"
@@ -106,8 +106,8 @@ def _validations() -> dict[str, str]:
     when = f"(SELECT {K} AS k, {K} // 4 AS g, CASE WHEN {K} % 19 <> 0 THEN o_orderdate + (({K} * 7) % 24) * INTERVAL 1 HOUR END AS t FROM orders)"
     late = f"(SELECT k, t, last_value(t IGNORE NULLS) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM {when})"
     tracking = _issues(
-        f"(SELECT {K} AS k FROM orders)", ("k % 19 = 0", "event_time", "REQUIRED_VALUE_MISSING", E), ("k % 10 IN (3, 5)", "event_code", "STATUS_UNMAPPED", W), ("k % 3 = 0", "exception_code", "EXCEPTION_CODE_UNKNOWN", W),
-    ) + " UNION ALL " + _issues(late, ("t < p", "event_time", "EVENT_OUT_OF_ORDER", W))
+        f"(SELECT {K} AS k FROM orders)", ("k % 19 = 0", "event_time", "REQUIRED_VALUE_MISSING", E), ("k % 10 IN (3, 5)", "event_code", "UNKNOWN_STATUS", W), ("k % 3 = 0", "exception_code", "GENERIC_OR_UNKNOWN_EXCEPTION", W),
+    ) + " UNION ALL " + _issues(late, ("t < p", "event_time", "TIME_ORDER_CONFLICT", W)) + " UNION ALL SELECT NULL, 'tracking_event_id', 'GENERATED_TRACKING_EVENT_ID', 'INFO'"
     rows = ", ".join(f"({i}, '{r}', '{c}', '{s}', {conf}e0)" for i, (r, c, s, conf) in enumerate(STATUS))
     counts = f"SELECT raw, code, source, confidence, {big('count(*)')} AS n FROM orders JOIN (VALUES {rows}) AS v(i, raw, code, source, confidence) ON {K} % 10 = i GROUP BY ALL"
     w = f"(SELECT {K} AS k FROM orders WHERE {K} % 10 IN (2, 3, 4, 5, 6))"
@@ -116,7 +116,7 @@ def _validations() -> dict[str, str]:
     body = lambda x: f"(CASE WHEN ({x}) % 7 = 0 THEN 3 WHEN ({x}) % 7 = 1 THEN -3 END, CASE WHEN ({x}) % 7 = 1 THEN 'piece' WHEN ({x}) % 7 = 2 THEN 'box' END)"
     differ = lambda x, y: f"{body(x)} IS DISTINCT FROM {body(y)}"
     warehouse = _issues(
-        w, ("k % 7 = 1", "quantity", "QUANTITY_OUT_OF_RANGE", E), ("k % 7 = 0 OR k % 7 = 2", "quantity", "SCHEMA_VALIDATION_ERROR", E),
+        w, ("k % 7 = 1", "quantity", "NEGATIVE_OR_INVALID_QUANTITY", E), ("k % 7 = 0 OR k % 7 = 2", "quantity", "SCHEMA_VALIDATION_ERROR", E),
         (f"k % 10 = 3 AND {twin(1)} AND {differ('k', 'k - 1')}", "event_id", "DUPLICATE_KEY_CONFLICT", E), (f"k % 10 = 2 AND {twin(-1)} AND {differ('k', 'k + 1')}", "event_id", "DUPLICATE_KEY_CONFLICT", E),
         (f"k % 10 = 3 AND {twin(1)} AND NOT ({differ('k', 'k - 1')})", "event_id", "EXACT_DUPLICATE_ROW", W),
         (f"k % 10 = 5 AND {twin(1)}", "event_id", "DUPLICATE_KEY_CONFLICT", E), (f"k % 10 = 4 AND {twin(-1)}", "event_id", "DUPLICATE_KEY_CONFLICT", E),
@@ -134,8 +134,8 @@ def _scalars() -> dict[str, str]:
     ident = f"CASE WHEN {K} % 5 <> 0 THEN printf('TRE-GEN-%06d-%08X', {K}, {h}) END"
     q["scalar_texts"] = f"SELECT {K}, 'Ab ' || {middle} AS parsed, 'ab ' || regexp_replace({middle}, '\\s+', ' ', 'g') AS lookup, {ident} AS ident, {exception} AS exception FROM orders"
     # text: value, error, error where a whole number is asked for
-    numbers = [(1234.0, None, None), (None, "INVALID_NUMBER", "INVALID_NUMBER"), (0.5, None, "INTEGER_REQUIRED"), (12.0, None, None), (None, "BOOLEAN_NOT_NUMBER", "BOOLEAN_NOT_NUMBER"),
-               (None, "INVALID_NUMBER", "INVALID_NUMBER"), (7.0, None, None), (1000.0, None, None), (3.0, None, None), (-0.5, None, "INTEGER_REQUIRED"), (None, None, None)]
+    numbers = [(1234.0, None, None), (None, "AMBIGUOUS_NUMBER_FORMAT", "AMBIGUOUS_NUMBER_FORMAT"), (0.5, None, "UNPARSEABLE_INTEGER"), (12.0, None, None), (None, "UNPARSEABLE_NUMBER", "UNPARSEABLE_NUMBER"),
+               (None, "UNPARSEABLE_NUMBER", "UNPARSEABLE_NUMBER"), (7.0, None, None), (1000.0, None, None), (3.0, None, None), (-0.5, None, "UNPARSEABLE_INTEGER"), (None, None, None)]
     pick = lambda j: f"CASE {K} % 11 " + " ".join(f"WHEN {i} THEN {'NULL' if r[j] is None else repr(r[j]) + ('e0' if j == 0 else '')}" for i, r in enumerate(numbers)) + " END"
     q["scalar_numbers"] = f"SELECT {K}, {big(f'round_even({K} % 100 + 0.5e0, 0)')} AS rounded, {K} % 4 <= 1 AS near, CAST({pick(0)} AS DOUBLE) AS value, {pick(1)} AS error, {pick(2)} AS whole FROM orders"
     hour, spring = f"({K} // 2 % 6)", f"{K} % 2 = 0"

@@ -129,8 +129,8 @@ SELECT 'V-' || upper(substr(sha256(path), 1, 8)) AS variant, path, CAST(count(*)
     q["browser_pairs"] = """, s AS (SELECT shipment_id, lag(event_code) OVER w AS a, event_code AS b, epoch_us(event_time - lag(event_time) OVER w) / 3.6e9 AS h FROM fx_tracking WINDOW w AS (PARTITION BY shipment_id ORDER BY event_time, source_index))
 SELECT a || '_to_' || b AS code, CAST(count(h) AS BIGINT) AS n, CAST(count(DISTINCT shipment_id) AS BIGINT) AS entities, round(avg(h), 6) AS mean, round(quantile_cont(h, 0.5), 6) AS median, round(quantile_cont(h, 0.9), 6) AS p90 FROM s WHERE a IS NOT NULL GROUP BY a, b"""
     q["validated_orders"] = """, t AS (SELECT source_index AS k, order_status FROM fx_orders WHERE ordered_quantity IS NOT NULL AND source_index < 1000000000)
-SELECT 'ERROR' AS severity, 'INVALID_DATETIME' AS code, CAST(count(*) AS BIGINT) AS n FROM t WHERE k % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'ERROR', 'QUANTITY_OUT_OF_RANGE', CAST(count(*) AS BIGINT) FROM t WHERE k % 19 = 0 HAVING count(*) > 0
-UNION ALL SELECT 'WARNING', 'STATUS_UNMAPPED', CAST(count(*) AS BIGINT) FROM t WHERE k % 23 = 0 OR order_status = 'unmapped' HAVING count(*) > 0"""
+SELECT 'ERROR' AS severity, 'INVALID_TIME' AS code, CAST(count(*) AS BIGINT) AS n FROM t WHERE k % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'ERROR', 'NEGATIVE_OR_INVALID_QUANTITY', CAST(count(*) AS BIGINT) FROM t WHERE k % 19 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'WARNING', 'UNKNOWN_STATUS', CAST(count(*) AS BIGINT) FROM t WHERE k % 23 = 0 OR order_status = 'unmapped' HAVING count(*) > 0"""
     q["orphan_events"] = "SELECT DISTINCT event_id, order_id FROM w2 WHERE fault = 'ORPHAN_EVENT' UNION SELECT tracking_event_id, order_id FROM t2 WHERE fault = 'ORPHAN_EVENT'"
     q |= _edge()
     from . import import_sql, scale_sql

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import COMPLETED, UNKNOWN, resolve_rules
-from ..operators import diagnostics, metrics
+from ..functions.scalars import is_empty
+from ..functions.text import unfolded
+from ..operators import diagnostics, ingest, metrics
 from ..operators.quantiles import others_quantile
 from ..sources.shared import new_path
 from ..streaming import intervals
@@ -68,5 +70,40 @@ def streamed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("code is null").select("order_id", "interval_code", blank("shipment"), blank("location"), *_r("hours"))
 
 
+#: Texts that unfold to several characters, fold case in full or are blank, by an order's number.
+ODD_TEXTS = ("\tﬁne\u3000", "Straße", "\u1112\u1161\u11ab글", "Ⅷ℃", "\u00a0\u2003\t", "ﷺ", "（ＡＢ　Ｃ）：", "İ", "①½", "  a \x1f b\u2028", "\n", "e\u0301t")
+
+
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.get(F.array(*map(F.lit, ODD_TEXTS)), (k % len(ODD_TEXTS)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("row_number"), text.alias("text"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("at"))
+
+
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the two normal forms, and whether they are blank."""
+    rows = unfolded(_odd(spark, sf_dir), {"folded": ("text", "text"), "lookup": ("text", "lookup")})
+    return rows.select("row_number", "folded", "lookup", is_empty("text").alias("blank"))
+
+
+def blank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of orders whose unit or number is such a text: blank ones are missing values."""
+    k = F.col("row_number")
+    rows = _odd(spark, sf_dir).select("row_number", "at", F.when(k % 2 == 0, F.col("text")).otherwise("piece").alias("unit"), F.when(k % 2 == 1, F.col("text")).otherwise(F.concat(F.lit("O-"), k.cast("string"))).alias("id"))
+    mapping = {"id": "order_id", "at": "created_at", "unit": "quantity_unit", "qty": "ordered_quantity", "state": "raw_order_status"}
+    found = ingest.validate(rows.withColumns({"qty": F.lit("１，２００"), "state": F.lit("已签收")}), ingest.CONTRACTS["orders"], mapping)
+    return found.issues.where("code <> 'DUPLICATE_KEY_CONFLICT'").select("row_number", "field", "code", "severity")
+
+
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank cells of each field of the contract, with how the field is resolved."""
+    rows = _odd(spark, sf_dir).select("row_number", "at", "text")
+    mapping = {"text": "order_id", "at": "created_at"}
+    contract = ingest.CONTRACTS["orders"]
+    how = spark.createDataFrame(ingest.resolutions(contract, mapping), "field string, source string, resolution string")
+    return ingest.validate(rows, contract, mapping).nulls.join(how, "field").select("field", "nulls", "source", "resolution")
+
+
 def queries() -> dict[str, Query]:
-    return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes, "streamed_intervals": streamed_intervals}
+    return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes, "streamed_intervals": streamed_intervals,
+        "folded_texts": folded_texts, "blank_cells": blank_cells, "null_counts": null_counts}

@@ -36,8 +36,31 @@ SELECT k AS finding, CASE WHEN h1 AND h2 THEN 'high' ELSE 'medium' END AS severi
     round(CASE WHEN h1 THEN {gap}e0 ELSE {times}e0 * pp END, 6) AS threshold, round(CASE WHEN h1 THEN peer ELSE pp END, 6) AS baseline, round({_ratio("kn", "n")}, 6) AS coverage FROM h WHERE h1 OR h2"""
 
 
+#: What :data:`.scale_queries.ODD_TEXTS` are in the two normal forms, the Arabic ligature apart.
+FOLDED = ("fine", "Straße", "한글", "VIII°C", "", "صلى الله عليه وسلم", "(AB C):", "İ", "11⁄2", "a \x1f b", "", "ét")
+LOOKUPS = ("fine", "strasse", "한글", "viii°c", "", "صلى الله عليه وسلم", "(ab c):", "i\u0307", "11⁄2", "a b", "", "ét")
+_SPREAD = f"SELECT o_orderkey AS k, o_orderkey % {len(FOLDED)} AS i FROM orders"
+
+
+def _case(values: tuple[str, ...]) -> str:
+    return "CASE i " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def plain() -> dict[str, str]:
+    """Queries over the driver's own tables."""
+    blank = ", ".join(str(i) for i, v in enumerate(FOLDED) if not v)
+    issue = "SELECT k AS row_number, '{}' AS field, 'REQUIRED_VALUE_MISSING' AS code, 'ERROR' AS severity FROM ({}) WHERE k % 2 = {} AND i IN ({})"
+    price = "[('order_id', 'text', 'mapped'), ('created_at', 'at', 'mapped'), ('promised_delivery_time', NULL, 'optional'), ('actual_delivery_time', NULL, 'optional'), ('ordered_quantity', NULL, 'missing'), ('delivered_quantity', NULL, 'optional'), ('quantity_unit', NULL, 'missing'), ('order_status', NULL, 'optional'), ('raw_order_status', NULL, 'missing'), ('warehouse_id', NULL, 'optional'), ('carrier_id', NULL, 'optional'), ('destination_region', NULL, 'optional'), ('sales_channel', NULL, 'optional')]"
+    return {
+        "folded_texts": f"SELECT k AS row_number, {_case(FOLDED)} AS folded, {_case(LOOKUPS)} AS lookup, i IN ({blank}) AS blank FROM ({_SPREAD})",
+        "blank_cells": issue.format("quantity_unit", _SPREAD, 0, blank) + " UNION ALL " + issue.format("order_id", _SPREAD, 1, blank),
+        "null_counts": f"""SELECT f[1] AS field, CAST(CASE f[1] WHEN 'order_id' THEN b WHEN 'created_at' THEN 0 ELSE n END AS BIGINT) AS nulls, f[2] AS source, f[3] AS resolution
+            FROM (SELECT count(*) AS n, count(*) FILTER (WHERE i IN ({blank})) AS b FROM ({_SPREAD})), (SELECT unnest({price}) AS f)""",
+    }
+
+
 def sql() -> dict[str, str]:
     """Queries over the fixture views, which :data:`HEAD` defines."""
     q = {"breakdown_all": breakdown_all(), "peer_quantiles": peer_quantiles(), "fl_cr_001_lanes": close_lanes()}
     q["streamed_intervals"] = " SELECT order_id, code AS interval_code, sh AS shipment, loc AS location, round(hours, 6) AS hours FROM iv"
-    return {k: HEAD + v for k, v in q.items()}
+    return {k: HEAD + v for k, v in q.items()} | plain()

@@ -20,7 +20,7 @@ def one(spark, make, *values):
 
 def test_numbers_and_text(spark):
     got = one(spark, S.parse_number, "1,234.5", "12,34", "１２", "true", "NaN", "", None, "-3", "1e3")
-    assert [(r["value"], r["error"]) for r in got] == [(1234.5, None), (None, "INVALID_NUMBER"), (12.0, None), (None, "BOOLEAN_NOT_NUMBER"), (None, "INVALID_NUMBER"), (None, None), (None, None), (-3.0, None), (1000.0, None)]
+    assert [(r["value"], r["error"]) for r in got] == [(1234.5, None), (None, "AMBIGUOUS_NUMBER_FORMAT"), (12.0, None), (None, "UNPARSEABLE_NUMBER"), (None, "UNPARSEABLE_NUMBER"), (None, None), (None, None), (-3.0, None), (1000.0, None)]
     assert one(spark, S.escape_cell, "=a", " -1", "ok", None) == ["'=a", "' -1", "ok", None]
     assert one(spark, S.mask_identifier, "ORD-1234", "abc") == ["***1234", "***c"]
     assert one(spark, S.exception_code, "1", "none", "addr bad!", None) == ["GENERIC_EXCEPTION", None, "ADDR_BAD", None]
@@ -41,7 +41,7 @@ def test_times(spark):
     text = ["2024-01-02T03:04:05Z", "2024-01-02T03:04+08:00", "2024-01-02 03:04", "2024/1/2 3:04", "1/2/2024 3:04 PM", "2024年1月2日 3:04", "Tue Jan 02 2024 03:04:05 GMT+0800", "2024-02-30 03:04", "", None]
     got = one(spark, lambda c: F.struct(F.date_format(S.parse_datetime(c)["value"], "yyyy-MM-dd HH:mm:ss").alias("t"), S.parse_datetime(c)["error"].alias("e")), *text)
     assert [r["t"] for r in got] == ["2024-01-02 03:04:05", "2024-01-01 19:04:00", "2024-01-01 19:04:00", "2024-01-01 19:04:00", "2024-01-02 07:04:00", "2024-01-01 19:04:00", "2024-01-01 19:04:05", None, None, None]
-    assert [r["e"] for r in got][-3:] == ["INVALID_DATETIME", None, None]
+    assert [r["e"] for r in got][-3:] == ["INVALID_TIME", None, None]
     zone = one(spark, lambda c: S.parse_datetime(c, "America/New_York")["error"], "2024-03-10 02:30", "2024-11-03 01:30", "2024-07-01 12:00")
     assert zone == ["NONEXISTENT_LOCAL_TIME", "AMBIGUOUS_LOCAL_TIME", None]
     assert one(spark, S.parse_time, "2024-01-02T03:04:05") == [None]
@@ -62,7 +62,7 @@ def test_validation(spark):
     good = {r["source_index"]: (r["event_code"], r["tracking_event_id"][:14]) for r in v.valid.collect()}
     assert good == {2: ("delivered", "TRE-GEN-000002"), 3: ("delivered", "TRE-GEN-000003"), 5: ("unmapped", "TRE-GEN-000005"), 6: ("delivered", "TRE-GEN-000006")}
     codes = {(r["row_number"], r["code"]) for r in v.issues.collect()}
-    assert {(4, "REQUIRED_VALUE_MISSING"), (5, "STATUS_UNMAPPED"), (3, "EVENT_OUT_OF_ORDER")} <= codes
+    assert {(4, "REQUIRED_VALUE_MISSING"), (5, "UNKNOWN_STATUS"), (3, "TIME_ORDER_CONFLICT"), (None, "GENERATED_TRACKING_EVENT_ID")} <= codes
 
 
 def test_csv(spark, tmp_path):
