@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..contract import UNKNOWN
+from .zones import shifted
 
 # characters of the basic plane that compatibility normalisation (NFKC) folds to one other: full-width and half-width forms,
 # circled and raised digits, compatibility ideographs, wide spaces; those that unfold to several are not covered
@@ -82,11 +83,8 @@ def attach_zone(naive: Column, zone: str) -> Column:
 
     ``naive`` is a timestamp read as if it were UTC.
     """
-    value = F.to_utc_timestamp(naive, zone)
-    gap = F.from_utc_timestamp(value, zone) != naive
-    shown = lambda minutes: F.from_utc_timestamp(value + F.expr(f"INTERVAL '{minutes}' MINUTE"), zone) == naive
-    twice = shown(60) | shown(-60) | shown(30) | shown(-30)
-    error = F.when(gap, "NONEXISTENT_LOCAL_TIME").when(twice, "AMBIGUOUS_LOCAL_TIME")
+    value, found = F.to_utc_timestamp(naive, zone), shifted(naive, zone)
+    error = F.when(found["gap"], "NONEXISTENT_LOCAL_TIME").when(found["twice"], "AMBIGUOUS_LOCAL_TIME")
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import COMPLETED, UNKNOWN, resolve_rules
-from ..functions.scalars import is_empty
+from ..functions.scalars import attach_zone, is_empty
 from ..functions.text import unfolded
-from ..operators import diagnostics, ingest, metrics
+from ..operators import dashboard, diagnostics, ingest, metrics, report
 from ..operators.quantiles import others_quantile
 from ..sources.shared import new_path
 from ..streaming import intervals
@@ -104,6 +104,53 @@ def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validate(rows, contract, mapping).nulls.join(how, "field").select("field", "nulls", "source", "resolution")
 
 
+#: Zones with changes of the clock of 30 minutes, an hour, two hours and a day, each with a time near one.
+CLOCKS = (
+    ("Antarctica/Troll", "2024-03-31 01:00"), ("Antarctica/Troll", "2024-10-27 01:00"), ("Australia/Lord_Howe", "2024-04-07 01:30"), ("Australia/Lord_Howe", "2024-10-06 02:00"),
+    ("Pacific/Apia", "2011-12-30 00:00"), ("Asia/Pyongyang", "2015-08-14 23:30"), ("Asia/Pyongyang", "2018-05-04 23:30"), ("America/New_York", "2024-11-03 01:00"), ("Asia/Shanghai", "2024-03-10 02:00"),
+)
+
+
+def clock_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall times around changes of several zones' clocks, ten minutes apart: skipped, shown twice, or neither."""
+    k, n = F.col("o_orderkey"), len(CLOCKS)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), (F.floor(k / n) % 60).cast("int").alias("step"))
+    out = []
+    for i, (zone, near) in enumerate(CLOCKS):
+        naive = F.lit(near).cast("timestamp") + F.make_dt_interval(mins=F.col("step") * 10 - 300)
+        out.append(rows.where(F.col("k") % n == i).select("k", F.lit(zone).alias("zone"), F.date_format(naive, "yyyy-MM-dd HH:mm").alias("wall"), attach_zone(naive, zone)["error"].alias("error")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def masked_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events gathered under their orders, with identifiers in structs, lists and maps, after masking."""
+    f = _facts(spark, sf_dir)
+    event = F.struct("tracking_event_id", "event_code", F.create_map(F.lit("source_order_id"), F.col("order_id"), F.lit("code"), F.col("event_code")).alias("more"))
+    rows = f.tracking.groupBy("order_id").agg(F.array_sort(F.collect_list(event), lambda a, b: F.when(a["tracking_event_id"] < b["tracking_event_id"], -1).otherwise(1)).alias("events"))
+    rows = rows.select("order_id", F.struct("events", F.array("order_id", F.lit("abc")).alias("order_ids")).alias("body"), F.struct(F.col("order_id").alias("note")).alias("kept"))
+    e = F.explode("body.events").alias("e")
+    return report.masked(rows).select("order_id", "body.order_ids", "kept.note", e).select("order_id", F.array_join("order_ids", ",").alias("ids"), "note", F.col("e.tracking_event_id").alias("event"), "e.event_code", F.col("e.more")["source_order_id"].alias("source"), F.col("e.more")["code"].alias("code"))
+
+
+def browser_order_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of orders by id as the browser sorts them: the number within an id counts as a number."""
+    ordered = dashboard.sort_orders_as_text(_facts(spark, sf_dir).orders, "order_id", True)
+    return dashboard.page(ordered, 3, 50).select("order_id", "order_status")
+
+
+def browser_status_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = dashboard.sort_orders_as_text(_facts(spark, sf_dir).orders.where("order_status <> 'delivered'"), "order_status", False)
+    return dashboard.page(ordered, 1, 100).select("order_id", "order_status")
+
+
+def groups_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three carriers by rising OTIF as the browser and the edge sort them, one of them without a rate."""
+    groups = metrics.breakdown(_facts(spark, sf_dir), "carrier_id").where("code = 'otif_rate'")
+    groups = groups.withColumn("value", F.when(F.col("group_key") != "CAR-1", F.col("value")))
+    return dashboard.sort_groups_by_number(groups, "value", "group_key", False).limit(3).select("group_key", *_r("value"))
+
+
 def queries() -> dict[str, Query]:
     return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes, "streamed_intervals": streamed_intervals,
-        "folded_texts": folded_texts, "blank_cells": blank_cells, "null_counts": null_counts}
+        "folded_texts": folded_texts, "blank_cells": blank_cells, "null_counts": null_counts,
+        "clock_changes": clock_changes, "masked_tree": masked_tree, "browser_order_page": browser_order_page, "browser_status_page": browser_status_page, "groups_by_number": groups_by_number}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .metric_sql import ROUNDED, metrics
 from .oracle import HEAD
-from .scale_queries import CLOSE, DIMENSIONS
+from .scale_queries import CLOCKS, CLOSE, DIMENSIONS
 
 
 def _ratio(a: str, b: str) -> str:
@@ -46,12 +46,25 @@ def _case(values: tuple[str, ...]) -> str:
     return "CASE i " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
+def clock_changes() -> str:
+    """Stretches that a clock skips (g) or shows twice (t), by the public rules of each zone."""
+    changes = [
+        (0, "2024-03-31 01:00", "2024-03-31 03:00", "g"), (1, "2024-10-27 01:00", "2024-10-27 03:00", "t"), (2, "2024-04-07 01:30", "2024-04-07 02:00", "t"), (3, "2024-10-06 02:00", "2024-10-06 02:30", "g"),
+        (4, "2011-12-30 00:00", "2011-12-31 00:00", "g"), (5, "2015-08-14 23:30", "2015-08-15 00:00", "t"), (6, "2018-05-04 23:30", "2018-05-05 00:00", "g"), (7, "2024-11-03 01:00", "2024-11-03 02:00", "t"),
+    ]
+    near = ", ".join(f"({i}, '{z}', TIMESTAMP '{t}:00')" for i, (z, t) in enumerate(CLOCKS))
+    rows = ", ".join(f"({i}, TIMESTAMP '{a}:00', TIMESTAMP '{b}:00', '{'NONEXISTENT' if kind == 'g' else 'AMBIGUOUS'}_LOCAL_TIME')" for i, a, b, kind in changes)
+    return f"""SELECT k, zone, strftime(t, '%Y-%m-%d %H:%M') AS wall, (SELECT max(e) FROM (VALUES {rows}) AS c(j, a, b, e) WHERE j = i AND t >= a AND t < b) AS error
+        FROM (SELECT o_orderkey AS k, i, zone, near + (o_orderkey // {len(CLOCKS)} % 60 * 10 - 300) * INTERVAL 1 MINUTE AS t FROM orders JOIN (VALUES {near}) AS n(i, zone, near) ON o_orderkey % {len(CLOCKS)} = i)"""
+
+
 def plain() -> dict[str, str]:
     """Queries over the driver's own tables."""
     blank = ", ".join(str(i) for i, v in enumerate(FOLDED) if not v)
     issue = "SELECT k AS row_number, '{}' AS field, 'REQUIRED_VALUE_MISSING' AS code, 'ERROR' AS severity FROM ({}) WHERE k % 2 = {} AND i IN ({})"
     price = "[('order_id', 'text', 'mapped'), ('created_at', 'at', 'mapped'), ('promised_delivery_time', NULL, 'optional'), ('actual_delivery_time', NULL, 'optional'), ('ordered_quantity', NULL, 'missing'), ('delivered_quantity', NULL, 'optional'), ('quantity_unit', NULL, 'missing'), ('order_status', NULL, 'optional'), ('raw_order_status', NULL, 'missing'), ('warehouse_id', NULL, 'optional'), ('carrier_id', NULL, 'optional'), ('destination_region', NULL, 'optional'), ('sales_channel', NULL, 'optional')]"
     return {
+        "clock_changes": clock_changes(),
         "folded_texts": f"SELECT k AS row_number, {_case(FOLDED)} AS folded, {_case(LOOKUPS)} AS lookup, i IN ({blank}) AS blank FROM ({_SPREAD})",
         "blank_cells": issue.format("quantity_unit", _SPREAD, 0, blank) + " UNION ALL " + issue.format("order_id", _SPREAD, 1, blank),
         "null_counts": f"""SELECT f[1] AS field, CAST(CASE f[1] WHEN 'order_id' THEN b WHEN 'created_at' THEN 0 ELSE n END AS BIGINT) AS nulls, f[2] AS source, f[3] AS resolution
@@ -63,4 +76,10 @@ def sql() -> dict[str, str]:
     """Queries over the fixture views, which :data:`HEAD` defines."""
     q = {"breakdown_all": breakdown_all(), "peer_quantiles": peer_quantiles(), "fl_cr_001_lanes": close_lanes()}
     q["streamed_intervals"] = " SELECT order_id, code AS interval_code, sh AS shipment, loc AS location, round(hours, 6) AS hours FROM iv"
+    mask = "'***' || right({0}, CASE WHEN length({0}) < 4 THEN 1 ELSE 4 END)"
+    q["masked_tree"] = f" SELECT {mask.format('order_id')} AS order_id, {mask.format('order_id')} || ',***c' AS ids, order_id AS note, {mask.format('tracking_event_id')} AS event, event_code, {mask.format('order_id')} AS source, event_code AS code FROM pt"
+    number = "CAST(substr(order_id, 5) AS BIGINT)"
+    q["browser_order_page"] = f" SELECT order_id, order_status FROM oe ORDER BY {number} DESC LIMIT 50 OFFSET 100"
+    q["browser_status_page"] = " SELECT order_id, order_status FROM oe WHERE order_status <> 'delivered' ORDER BY order_status, order_id LIMIT 100"
+    q["groups_by_number"] = f", {metrics('SELECT order_id, carrier_id AS g FROM oe')} SELECT g AS group_key, round(v, 6) AS value FROM (SELECT g, CASE WHEN g <> 'CAR-1' THEN value END AS v FROM m WHERE code = 'otif_rate') ORDER BY coalesce(v, -1), g LIMIT 3"
     return {k: HEAD + v for k, v in q.items()} | plain()
