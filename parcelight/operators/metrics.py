@@ -23,6 +23,11 @@ def count_if(c: Column) -> Column:
     return F.count_if(F.coalesce(c, F.lit(False)))
 
 
+#: All metrics in the order in which a report lists them.
+CODES = (
+    "order_count", "valid_order_count", *RATES, *(f"fulfillment_duration_{s}_hours" for s in ("mean", "median", "p90")),
+    "cancellation_rate", "return_rate", "anomaly_order_rate", "data_coverage_rate", *(f"node_duration_{i}_{s}_hours" for i in INTERVALS for s in ("mean", "median", "p90")),
+)
 P50_P90 = {"p50": 0.5, "p90": 0.9}
 
 

@@ -18,7 +18,7 @@ from ..operators.quantiles import others_quantile
 from ..sources.shared import new_path
 from ..streaming import intervals
 from ..streaming.sink import run_stream, state_store
-from .queries import _facts, _r
+from .queries import _analysis, _facts, _r
 
 Query = Callable[[SparkSession, str], DataFrame]
 LAST = "the last event"
@@ -150,7 +150,23 @@ def groups_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.sort_groups_by_number(groups, "value", "group_key", False).limit(3).select("group_key", *_r("value"))
 
 
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown document's own lines of four sections, in order, with the mark where rows are left out."""
+    f, evidence = _analysis(spark, sf_dir)
+    wanted = ("metrics", "trend", "breakdown", "diagnostics")
+    text = report.markdown("report", [s for s in report.document(f, evidence, resolve_rules()) if s[0] in wanted])
+    out, section, place = [], "", 0
+    for row in text.split("\n")[1:]:
+        if row.startswith("## "):
+            section, place = row[3:], 0
+        elif row and not row.startswith("| ---") and not row.startswith("|" + " --- |"):
+            out.append((section, place, row))
+            place += 1
+    return spark.createDataFrame(out, "section string, place int, line string")
+
+
 def queries() -> dict[str, Query]:
     return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes, "streamed_intervals": streamed_intervals,
         "folded_texts": folded_texts, "blank_cells": blank_cells, "null_counts": null_counts,
-        "clock_changes": clock_changes, "masked_tree": masked_tree, "browser_order_page": browser_order_page, "browser_status_page": browser_status_page, "groups_by_number": groups_by_number}
+        "clock_changes": clock_changes, "masked_tree": masked_tree, "browser_order_page": browser_order_page, "browser_status_page": browser_status_page, "groups_by_number": groups_by_number,
+        "report_markdown": report_markdown}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .metric_sql import ROUNDED, metrics
+from ..operators.metrics import CODES
+from .metric_sql import ALL, ROUNDED, TOTAL, WEEK, evidence, metrics
 from .oracle import HEAD
 from .scale_queries import CLOCKS, CLOSE, DIMENSIONS
 
@@ -72,6 +73,25 @@ def plain() -> dict[str, str]:
     }
 
 
+def report_markdown() -> str:
+    """Each section's lines: the names, the first hundred rows, and the mark where there are more."""
+    rates = "('ot_rate', 'if_rate', 'otif_rate')"
+    number = lambda c: f"CASE WHEN {c} IS NULL THEN '—' ELSE format('{{:g}}', {c}) END"
+    cells = lambda *c: "'| ' || " + " || ' | ' || ".join(c) + " || ' |'"
+    parts = {
+        "metrics": ("code, value, coverage, warnings", f"SELECT {cells('code', number('value'), number('coverage'), 'warnings')} AS line, row_number() OVER (ORDER BY p) AS k FROM (SELECT *, list_position({list(CODES)}, code) AS p FROM m)"),
+        "trend": ("group_key, code, value", f"SELECT {cells('g', 'code', number('value'))} AS line, row_number() OVER (ORDER BY g, code) AS k FROM mw WHERE code IN {rates}"),
+        "breakdown": ("group_key, code, value", f"SELECT {cells('g', 'code', number('value'))} AS line, row_number() OVER (ORDER BY g, code) AS k FROM mc WHERE code IN {rates}"),
+        "diagnostics": ("place, rule_id, finding, severity, affected", f"SELECT {cells('CAST(place AS VARCHAR)', 'rule_id', 'finding', 'severity', 'CAST(affected AS VARCHAR)')} AS line, place AS k FROM fi"),
+    }
+    out = []
+    for name, (columns, rows) in parts.items():
+        out.append(f"SELECT '{name}' AS section, 0 AS place, '| {' | '.join(columns.split(', '))} |' AS line")
+        out.append(f"SELECT '{name}', CAST(k AS INTEGER), line FROM ({rows}) WHERE k <= 100")
+        out.append(f"SELECT '{name}', 101, 'The first 100 of ' || n || ' rows.' FROM (SELECT count(*) AS n FROM ({rows})) WHERE n > 100")
+    return f", {evidence()}, {metrics(ALL, **TOTAL)}, {metrics(f'SELECT order_id, {WEEK} AS g FROM oe', suffix='w')}, {metrics('SELECT order_id, carrier_id AS g FROM oe', suffix='c')}\n" + " UNION ALL ".join(out)
+
+
 def sql() -> dict[str, str]:
     """Queries over the fixture views, which :data:`HEAD` defines."""
     q = {"breakdown_all": breakdown_all(), "peer_quantiles": peer_quantiles(), "fl_cr_001_lanes": close_lanes()}
@@ -82,4 +102,5 @@ def sql() -> dict[str, str]:
     q["browser_order_page"] = f" SELECT order_id, order_status FROM oe ORDER BY {number} DESC LIMIT 50 OFFSET 100"
     q["browser_status_page"] = " SELECT order_id, order_status FROM oe WHERE order_status <> 'delivered' ORDER BY order_status, order_id LIMIT 100"
     q["groups_by_number"] = f", {metrics('SELECT order_id, carrier_id AS g FROM oe')} SELECT g AS group_key, round(v, 6) AS value FROM (SELECT g, CASE WHEN g <> 'CAR-1' THEN value END AS v FROM m WHERE code = 'otif_rate') ORDER BY coalesce(v, -1), g LIMIT 3"
+    q["report_markdown"] = report_markdown()
     return {k: HEAD + v for k, v in q.items()} | plain()

@@ -178,3 +178,17 @@ def test_report(spark):
     df = spark.createDataFrame([("a|b", 0.5)], "name string, value double")
     assert "a\\|b" in report.markdown("t", [("s", df)]) and "<td>a|b</td>" in report.html_document("t", [("s", df)])
     assert report.export_stem("con") == "report" and report.export_stem("a/b:c") == "a_b_c"
+
+
+def test_documents_have_charts_and_mark_what_they_leave_out(spark):
+    weeks = [(f"2026-{i // 28 + 1:02d}-{i % 28 + 1:02d}", c, None if i == 7 else i / 60) for i in range(60) for c in ("ot_rate", "if_rate")]
+    trend = spark.createDataFrame(weeks, "group_key string, code string, value double").orderBy("group_key", "code")
+    groups = spark.createDataFrame([(f"<C{i}>", "otif_rate", i / 20) for i in range(20)], "group_key string, code string, value double").orderBy("value")
+    sections = [("trend", trend), ("breakdown", groups), ("empty", groups.limit(0)), ("distribution", spark.createDataFrame([], "bin int, lower double, upper double, n long"))]
+    doc = report.html_document("t", sections, most=50)
+    assert doc.count("<svg") == 3 and doc.count("<polyline") == 4 and "The first 50 of 120 rows." in doc and "the first 12 of 20" in doc
+    assert "&lt;C0&gt;" in doc and "<C0>" not in doc and doc.count("The first") == 1
+    text = report.markdown("t", sections, most=50)
+    assert text.count("The first 50 of 120 rows.") == 1 and "<svg" not in text
+    few = report.tables(sections[:1], most=50, most_charted=60)[0]
+    assert (few.total, len(few.rows), few.chart) == (120, 50, "")
