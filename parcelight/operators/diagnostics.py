@@ -243,6 +243,28 @@ def samples(evidence: DataFrame, most: int = 20) -> DataFrame:
     return rows.join(held, ["rule_id", "finding"], "left").withColumn("sample", F.coalesce("sample", empty))
 
 
+def evidence_list(f: Facts, evidence: DataFrame, most: int = 20) -> DataFrame:
+    """Per finding its first ``most`` evidence rows by order and falling value, each with a text and the ids of the events that bound its
+    interval: rule_id, finding, place, order_id, text, event_ids.
+
+    The rank is cut to ``most`` a group before the shuffle already, so a finding of many rows moves few; events are looked up for
+    the orders that are left.
+    """
+    by = Window.partitionBy("rule_id", "finding").orderBy(F.col("order_id").asc_nulls_last(), F.col("observed").desc_nulls_last(), F.col("threshold").asc_nulls_last())
+    first = evidence.select("rule_id", "finding", "order_id", "dimension", "dimension_value", "observed", "threshold", F.row_number().over(by).alias("place")).where(F.col("place") <= most)
+    span = f.intervals.select("order_id", F.col("interval_code").alias("dimension_value"), "start_ts", "end_ts", "hours")
+    ends = F.create_map(*(x for c, (a, b) in INTERVALS.items() for x in (F.lit(c), F.array(F.lit(a), F.lit(b)))))
+    timed = first.where("dimension = 'node'").join(span, ["order_id", "dimension_value"]).where("abs(hours - observed) < 1e-9")
+    each = F.explode(F.array(F.struct(F.get(ends[F.col("dimension_value")], F.lit(0)).alias("event_code"), F.col("start_ts").alias("event_ts")), F.struct(F.get(ends[F.col("dimension_value")], F.lit(1)).alias("event_code"), F.col("end_ts").alias("event_ts"))))
+    bounds = timed.select("rule_id", "finding", "place", "order_id", each.alias("b")).select("rule_id", "finding", "place", "order_id", "b.*")
+    found = bounds.join(merged_events(f).select("order_id", "event_code", "event_ts", "id"), ["order_id", "event_code", "event_ts"])
+    ids = found.groupBy("rule_id", "finding", "place").agg(F.array_sort(F.collect_set("id")).alias("event_ids"))
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    text = F.when(F.col("observed").isNull(), F.col("finding")).otherwise(F.concat(F.col("finding"), F.lit(": "), number("observed"), F.lit(" against "), number("threshold")))
+    out = first.join(ids, ["rule_id", "finding", "place"], "left")
+    return out.select("rule_id", "finding", "place", "order_id", text.alias("text"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids"))
+
+
 def order_findings(evidence: DataFrame, order_id: str) -> DataFrame:
     """One order's findings and those without an order, merged per category: the primary is the one of highest
     severity, then priority; largest sample, least coverage."""

@@ -15,6 +15,7 @@ from ..functions.scalars import attach_zone, is_empty
 from ..functions.text import unfolded
 from ..operators import dashboard, diagnostics, ingest, metrics, report
 from ..operators.quantiles import others_quantile
+from ..sources import store
 from ..sources.shared import new_path
 from ..streaming import intervals
 from ..streaming.sink import run_stream, state_store
@@ -150,6 +151,21 @@ def groups_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.sort_groups_by_number(groups, "value", "group_key", False).limit(3).select("group_key", *_r("value"))
 
 
+def stored_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status letters of orders under words that a user has stored, one of them changed later: what each became."""
+    s = store.Store(spark, new_path(spark, "store"))
+    s.save_status_mappings("orders", {"f": "delivered", "Ｏ": "created"})
+    s.save_status_mappings("orders", {"Ｏ": "processing"})
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_number"), F.concat(F.lit("O-"), F.col("o_orderkey").cast("string")).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), F.col("o_orderstatus").alias("state"))
+    mapping = {"id": "order_id", "at": "created_at", "state": "raw_order_status"}
+    return ingest.validate(rows, ingest.CONTRACTS["orders"], mapping, project_map=s.status_mappings("orders")).statuses
+
+
+def evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = diagnostics.evidence_list(*_analysis(spark, sf_dir), most=20)
+    return rows.select("rule_id", "finding", "place", "order_id", "text", F.array_join("event_ids", ",").alias("events"))
+
+
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown document's own lines of four sections, in order, with the mark where rows are left out."""
     f, evidence = _analysis(spark, sf_dir)
@@ -169,4 +185,4 @@ def queries() -> dict[str, Query]:
     return {"breakdown_all": breakdown_all, "peer_quantiles": peer_quantiles, "fl_cr_001_lanes": close_lanes, "streamed_intervals": streamed_intervals,
         "folded_texts": folded_texts, "blank_cells": blank_cells, "null_counts": null_counts,
         "clock_changes": clock_changes, "masked_tree": masked_tree, "browser_order_page": browser_order_page, "browser_status_page": browser_status_page, "groups_by_number": groups_by_number,
-        "report_markdown": report_markdown}
+        "report_markdown": report_markdown, "evidence_list": evidence_list, "stored_mappings": stored_mappings}

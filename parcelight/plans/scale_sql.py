@@ -66,6 +66,8 @@ def plain() -> dict[str, str]:
     price = "[('order_id', 'text', 'mapped'), ('created_at', 'at', 'mapped'), ('promised_delivery_time', NULL, 'optional'), ('actual_delivery_time', NULL, 'optional'), ('ordered_quantity', NULL, 'missing'), ('delivered_quantity', NULL, 'optional'), ('quantity_unit', NULL, 'missing'), ('order_status', NULL, 'optional'), ('raw_order_status', NULL, 'missing'), ('warehouse_id', NULL, 'optional'), ('carrier_id', NULL, 'optional'), ('destination_region', NULL, 'optional'), ('sales_channel', NULL, 'optional')]"
     return {
         "clock_changes": clock_changes(),
+        "stored_mappings": """SELECT o_orderstatus AS raw, CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'processing' ELSE 'unmapped' END AS code, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'project_user' ELSE 'unmapped' END AS source,
+            CASE WHEN o_orderstatus IN ('F', 'O') THEN 1e0 ELSE 0e0 END AS confidence, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus""",
         "folded_texts": f"SELECT k AS row_number, {_case(FOLDED)} AS folded, {_case(LOOKUPS)} AS lookup, i IN ({blank}) AS blank FROM ({_SPREAD})",
         "blank_cells": issue.format("quantity_unit", _SPREAD, 0, blank) + " UNION ALL " + issue.format("order_id", _SPREAD, 1, blank),
         "null_counts": f"""SELECT f[1] AS field, CAST(CASE f[1] WHEN 'order_id' THEN b WHEN 'created_at' THEN 0 ELSE n END AS BIGINT) AS nulls, f[2] AS source, f[3] AS resolution
@@ -92,6 +94,15 @@ def report_markdown() -> str:
     return f", {evidence()}, {metrics(ALL, **TOTAL)}, {metrics(f'SELECT order_id, {WEEK} AS g FROM oe', suffix='w')}, {metrics('SELECT order_id, carrier_id AS g FROM oe', suffix='c')}\n" + " UNION ALL ".join(out)
 
 
+def evidence_list() -> str:
+    return f""", {evidence()}, el2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, finding ORDER BY order_id NULLS LAST, observed DESC NULLS LAST, threshold NULLS LAST) AS place FROM ee) WHERE place <= 20),
+ms AS (SELECT order_id, event_id AS id, event_time, event_code FROM pw UNION ALL SELECT order_id, tracking_event_id, event_time, event_code FROM pt),
+ei AS (SELECT r.rule_id, r.finding, r.place, string_agg(DISTINCT ms.id, ',' ORDER BY ms.id) AS events FROM el2 r JOIN iv ON iv.order_id = r.order_id AND iv.code = r.dimension_value AND r.dimension = 'node' AND abs(iv.hours - r.observed) < 1e-9
+    JOIN defs ON defs.code = iv.code JOIN ms ON ms.order_id = r.order_id AND ((ms.event_code = defs.a AND ms.event_time = iv.s) OR (ms.event_code = defs.b AND ms.event_time = iv.e)) GROUP BY 1, 2, 3)
+SELECT rule_id, finding, CAST(place AS INTEGER) AS place, order_id, CASE WHEN observed IS NULL THEN finding ELSE finding || ': ' || printf('%.2f', observed) || ' against ' || printf('%.2f', threshold) END AS text, coalesce(events, '') AS events
+FROM el2 LEFT JOIN ei USING (rule_id, finding, place)"""
+
+
 def sql() -> dict[str, str]:
     """Queries over the fixture views, which :data:`HEAD` defines."""
     q = {"breakdown_all": breakdown_all(), "peer_quantiles": peer_quantiles(), "fl_cr_001_lanes": close_lanes()}
@@ -102,5 +113,5 @@ def sql() -> dict[str, str]:
     q["browser_order_page"] = f" SELECT order_id, order_status FROM oe ORDER BY {number} DESC LIMIT 50 OFFSET 100"
     q["browser_status_page"] = " SELECT order_id, order_status FROM oe WHERE order_status <> 'delivered' ORDER BY order_status, order_id LIMIT 100"
     q["groups_by_number"] = f", {metrics('SELECT order_id, carrier_id AS g FROM oe')} SELECT g AS group_key, round(v, 6) AS value FROM (SELECT g, CASE WHEN g <> 'CAR-1' THEN value END AS v FROM m WHERE code = 'otif_rate') ORDER BY coalesce(v, -1), g LIMIT 3"
-    q["report_markdown"] = report_markdown()
+    q |= {"report_markdown": report_markdown(), "evidence_list": evidence_list()}
     return {k: HEAD + v for k, v in q.items()} | plain()

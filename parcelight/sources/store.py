@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import CONTRACTS
+from ..operators.ingest import CODES, CONTRACTS
 
 KINDS = tuple(CONTRACTS)
 CONTROL = "dataset_id string, kind string, n_rows long, created_at timestamp"
@@ -75,6 +75,25 @@ class Store:
         """Keep a result that belongs to a dataset (a scenario, a report) until the dataset goes."""
         self._write(rows.withColumn("dataset_id", F.lit(dataset_id)), f"{self.root}/_bound/{name}")
 
+    def save_status_mappings(self, kind: str, mappings: dict[str, str]) -> None:
+        """Add to a data type's own status words; a word given again gets the new code.  A code that the type does not have is an error."""
+        unknown = sorted({c for c in mappings.values() if c not in CODES[kind]})
+        if unknown:
+            raise ValueError(f"{kind} has no status {', '.join(unknown)}")
+        held = self.status_mappings(kind) | mappings
+        rows = self.spark.createDataFrame([(raw, code, kind) for raw, code in sorted(held.items())], "raw string, code string, dataset_id string")
+        self._write(rows.coalesce(1), f"{self.root}/_status_mappings")
+
+    def status_mappings(self, kind: str) -> dict[str, str]:
+        """A data type's own status words, as :func:`..operators.ingest.validate` takes them: a few a type."""
+        self._path(kind)
+        path = f"{self.root}/_status_mappings"
+        p, fs = self._file(path)
+        if not fs.exists(p):
+            return {}
+        rows = self.spark.read.schema("raw string, code string, dataset_id string").parquet(path).where(F.col("dataset_id") == kind)
+        return {r["raw"]: r["code"] for r in rows.collect()}
+
     def delete(self, dataset_id: str) -> dict[str, int]:
         """Drop the dataset's rows of every type, its control rows and what is bound to it; how many rows each type had, and how many
         bound results there were (``bound``)."""

@@ -4,11 +4,13 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelight.functions import scalars as S
 from parcelight.functions.text import unfolded
 from parcelight.operators import ingest
+from parcelight.sources import store
 
 
 def test_forms_equal_python(spark):
@@ -38,3 +40,14 @@ def test_blank_cells_are_missing_and_ids_fold(spark):
     assert v.valid.isEmpty() and {(r["code"], r["n"]) for r in v.statuses.collect()} == {("delivered", 5)}
     assert {r["field"]: r["nulls"] for r in v.nulls.collect()}["ordered_quantity"] == 1
     assert ("order_status", None, "derived") in ingest.resolutions(ingest.CONTRACTS["orders"], mapping)
+
+
+def test_stored_status_words(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}")
+    assert s.status_mappings("orders") == {}
+    s.save_status_mappings("orders", {"done": "delivered", "x": "created"})
+    s.save_status_mappings("tracking_events", {"done": "exception"})
+    s.save_status_mappings("orders", {"x": "shipped"})
+    assert s.status_mappings("orders") == {"done": "delivered", "x": "shipped"} and s.status_mappings("tracking_events") == {"done": "exception"}
+    with pytest.raises(ValueError, match="no status"):
+        s.save_status_mappings("orders", {"y": "in_transit"})
