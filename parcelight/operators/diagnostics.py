@@ -259,7 +259,7 @@ def evidence_list(f: Facts, evidence: DataFrame, most: int = 20) -> DataFrame:
     bounds = timed.select("rule_id", "finding", "place", "order_id", each.alias("b")).select("rule_id", "finding", "place", "order_id", "b.*")
     found = bounds.join(merged_events(f).select("order_id", "event_code", "event_ts", "id"), ["order_id", "event_code", "event_ts"])
     ids = found.groupBy("rule_id", "finding", "place").agg(F.array_sort(F.collect_set("id")).alias("event_ids"))
-    number = lambda c: F.format_string("%.2f", F.col(c))
+    number = lambda c: F.format_string("%.4f", F.col(c))
     text = F.when(F.col("observed").isNull(), F.col("finding")).otherwise(F.concat(F.col("finding"), F.lit(": "), number("observed"), F.lit(" against "), number("threshold")))
     out = first.join(ids, ["rule_id", "finding", "place"], "left")
     return out.select("rule_id", "finding", "place", "order_id", text.alias("text"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids"))

@@ -99,7 +99,7 @@ def evidence_list() -> str:
 ms AS (SELECT order_id, event_id AS id, event_time, event_code FROM pw UNION ALL SELECT order_id, tracking_event_id, event_time, event_code FROM pt),
 ei AS (SELECT r.rule_id, r.finding, r.place, string_agg(DISTINCT ms.id, ',' ORDER BY ms.id) AS events FROM el2 r JOIN iv ON iv.order_id = r.order_id AND iv.code = r.dimension_value AND r.dimension = 'node' AND abs(iv.hours - r.observed) < 1e-9
     JOIN defs ON defs.code = iv.code JOIN ms ON ms.order_id = r.order_id AND ((ms.event_code = defs.a AND ms.event_time = iv.s) OR (ms.event_code = defs.b AND ms.event_time = iv.e)) GROUP BY 1, 2, 3)
-SELECT rule_id, finding, CAST(place AS INTEGER) AS place, order_id, CASE WHEN observed IS NULL THEN finding ELSE finding || ': ' || printf('%.2f', observed) || ' against ' || printf('%.2f', threshold) END AS text, coalesce(events, '') AS events
+SELECT rule_id, finding, CAST(place AS INTEGER) AS place, order_id, CASE WHEN observed IS NULL THEN finding ELSE finding || ': ' || printf('%.4f', observed) || ' against ' || printf('%.4f', threshold) END AS text, coalesce(events, '') AS events
 FROM el2 LEFT JOIN ei USING (rule_id, finding, place)"""
 
 
