@@ -19,26 +19,26 @@ import numpy as np
 PLAIN = re.compile("[^\t\n\r -~¡-¬®-ʯ]")
 _L = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _N = "0-9²³¹¼-¾"
-#: The pre-token patterns that the two vocabularies' own files state, over PLAIN characters.
-BYTE_LEVEL = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
-WORD_END = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-_WORD = re.compile(f"[{_L}]+")
-_SPACED = re.compile(f" [{_L}]+")
+#: The pre-token patterns that the two vocabularies' own files state, over PLAIN characters; letters, the most common kind, first.
+BYTE_LEVEL = re.compile(f" ?[{_L}]++|'(?:[stmd]|re|ve|ll)| ?[^\\s{_L}{_N}]++| ?[{_N}]++|\\s+(?!\\S)|\\s++")
+WORD_END = re.compile(f"[{_L}]++|'(?:[stmd]|re|ve|ll)|[^\\s{_L}{_N}]++|[{_N}]")
 
 
 class CachedTokenizer:
     """``encode(texts)`` gives, for each text, its ids as little-endian uint32 bytes.
 
-    ``max_cached`` bounds the table: when it is full it starts anew, so memory does not grow with
-    the corpus.  Null counts as empty.
+    ``max_cached`` bounds the table, so memory does not grow with the corpus: it has two halves, and when the newer
+    is full it replaces the older.  Pre-tokens met again are taken over from the older half, so the common
+    ones stay.  Null counts as empty.
     """
 
-    def __init__(self, path: str, max_cached: int = 600_000, together: int = 400):
+    def __init__(self, path: str, max_cached: int = 600_000, together: int = 100):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.max_cached, self.together = max_cached, together
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = self.lib.get_vocab_size(with_added_tokens=True)
         names = [self.lib.id_to_token(i) or "" for i in range(size)]
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
@@ -51,17 +51,15 @@ class CachedTokenizer:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put the ids of new pre-tokens in the table; runs of plain words go to the library as one text."""
+    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        """Put the ids of new pre-tokens in ``known``; runs of plain words go to the library as one text."""
         words, spaced, rest = [], [], []
-        for p in pieces:
-            (words if _WORD.fullmatch(p) else spaced if _SPACED.fullmatch(p) else rest).append(p)
-        if len(self.cache) + len(pieces) > self.max_cached:
-            self.cache.clear()
+        for p in pieces:  # a pre-token that starts with a letter holds letters alone, and so does one of a space and a letter
+            (words if p[0].isalpha() else spaced if p[0] == " " and p[-1].isalpha() else rest).append(p)
         for group, glue in ((words, " " if self.word_end else "\n"), (spaced, "")):
-            for i in range(0, len(group), self.together):
-                some = group[i : i + self.together]
-                ids = self._ids(glue.join(some))
+            parts = [group[i : i + self.together] for i in range(0, len(group), self.together)]
+            for some, e in zip(parts, self.lib.encode_batch_fast([glue.join(g) for g in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
                 if self.word_end:
                     ends = np.flatnonzero(self.mark[ids]) + 1
                     starts, stops = np.concatenate(([0], ends[:-1])), ends
@@ -73,13 +71,13 @@ class CachedTokenizer:
                     stops = np.concatenate((starts[1:], [len(ids)]))
                 if len(starts) == len(some):
                     raw = ids.tobytes()
-                    self.cache.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts.tolist(), stops.tolist(), strict=True))
+                    known.update(zip(some, map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist())), strict=True))
                 else:  # not seen in practice; the library alone decides then
                     rest += some
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            for p, e in zip(some, self.lib.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -98,20 +96,24 @@ class CachedTokenizer:
             found = list(map(get, pieces))
             try:
                 out.append(b"".join(found))
-            except TypeError:  # a piece is new
-                new.update((p, None) for p, f in zip(pieces, found, strict=True) if f is None)
-                open_.append((k, pieces, found))
+            except TypeError:  # a piece is not in the table
+                holes = [i for i, f in enumerate(found) if f is None]
+                names = [pieces[i] for i in holes]
+                new.update(dict.fromkeys(names))
+                open_.append((k, found, holes, names))
                 out.append(b"")
         if new:
-            self._learn(list(new))
-            get = self.cache.get
-            for k, pieces, found in open_:
-                out[k] = b"".join(f if f is not None else (g if (g := get(p)) is not None else self._alone(p)) for p, f in zip(pieces, found, strict=True))
+            self._learn([p for p in new if p not in self.older], new)
+            new.update((p, self.older[p]) for p, f in new.items() if f is None)
+            for k, found, holes, names in open_:
+                for i, p in zip(holes, names, strict=True):
+                    found[i] = new[p]
+                out[k] = b"".join(found)
+            if 2 * (len(self.cache) + len(new)) > self.max_cached:
+                self.older, self.cache = self.cache, {}
+            self.cache.update(new)
         return out
 
-    def _alone(self, piece: str) -> bytes:
-        return np.array(self.lib.encode_batch([piece], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> CachedTokenizer:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from parcelight.llm import packing
 from parcelight.llm.queries import tokenizer_file
-from parcelight.llm.tokens import CachedTokenizer
+from parcelight.llm.tokens import PLAIN, CachedTokenizer
 
 TEXTS = [
     None, "", "a", "Plain words, and more.", "tab\tand  two spaces \n\n line", "it's we'll DON'T", "naïve Größe él 12² ½", "日本語 mixed with العربية", "x\u0301 combining \u00a0 nbsp\u3000wide", "<|endoftext|> inside <|startoftext|>", " lead", "trail ", "\r\nCR", "word " * 3000, "ß" * 900, "\x1c\x1d odd \x85 controls",
@@ -27,6 +27,50 @@ def test_cached_ids_equal_the_library(name):
             assert got == want
 
 
+class Asked:
+    """The library, with a note of the texts that it is given."""
+
+    def __init__(self, lib):
+        self.lib, self.texts = lib, []
+
+    def encode(self, text, **more):
+        self.texts.append(text)
+        return self.lib.encode(text, **more)
+
+    def encode_batch(self, texts, **more):
+        self.texts += texts
+        return self.lib.encode_batch(texts, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.lib.encode_batch_fast(texts, **more)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_common_words_stay_when_rare_ones_fill_the_table(name):
+    path = tokenizer_file(name)
+    lib = Tokenizer.from_file(path)
+    cached = CachedTokenizer(path, max_cached=1000)
+    cached.lib = asked = Asked(cached.lib)
+    rng = random.Random(7)
+    for _ in range(20):  # 4,000 rare words in all
+        texts = ["so the common xylophones, " + " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(20)) for _ in range(10)]
+        assert cached.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(cached.cache) + len(cached.older) <= 1000
+    assert sum(t.count("xylophones") for t in asked.texts) == 1
+    assert sum(t.count(",") for t in asked.texts) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_beside_every_plain_character(name):
+    path = tokenizer_file(name)
+    lib = Tokenizer.from_file(path)
+    # the lower cases of two of them, \u023a and \u023e, are letters outside PLAIN: the table of lower-cased words is wrong there
+    chars = [c for c in map(chr, range(0x2B0)) if name == "byte_bpe_50k.json" or not PLAIN.search(c.lower())]
+    texts = [f"{a}{c} {c}{b}" for c in chars for a in "a '" for b in ("b", "'s", "")]
+    assert CachedTokenizer(path).encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def brute_pieces(lib, text, capacity, end):
     ids = lib.encode(text or "", add_special_tokens=False).ids + [end]
     first = len(ids) % capacity or capacity
