@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from parcelight.contract import resolve_rules
+from parcelight.functions.scalars import is_empty
 from parcelight.operators import diagnostics, facts, prep
 from parcelight.plans import queries
 from parcelight.sources import shared
@@ -76,3 +77,10 @@ def test_evidence_is_by_order_and_transitions_are_taken_once(spark):
     f, evidence = queries._analysis(spark, SF)
     assert "Exchange" not in plan(diagnostics.affected_orders(evidence))
     assert plan(diagnostics.data_quality(f, resolve_rules()["FL-DQ-001"])).count("Window [") == 1
+
+
+def test_blank_texts_are_told_by_their_first_character_or_in_full(spark):
+    texts = ["a", " a", "", " ", "　\t", " x", "~", "!", "\x7f", "\x1f", "订", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(is_empty("t")).collect()] == [t is None or not t.strip() for t in texts]
+    assert "ascii" in plan(df.where(~is_empty("t")))
