@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parcelight.contract import resolve_rules
 from parcelight.functions.scalars import is_empty
 from parcelight.operators import diagnostics, facts, prep
-from parcelight.plans import queries
+from parcelight.plans import more_queries, queries
 from parcelight.sources import shared
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,10 @@ def test_blank_texts_are_told_by_their_first_character_or_in_full(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(is_empty("t")).collect()] == [t is None or not t.strip() for t in texts]
     assert "ascii" in plan(df.where(~is_empty("t")))
+
+
+def test_adjustments_alone_store_nothing_but_facts(spark, monkeypatch):
+    queries._facts(spark, SF)
+    monkeypatch.setattr(shared, "new_path", lambda *a: 1 / 0)
+    monkeypatch.setattr(more_queries, "stored", lambda *a: 1 / 0)
+    assert more_queries.pickup_by_carrier(spark, SF).count() > 0
